@@ -11,6 +11,11 @@ from feedback_rank.schemas import MONEY
 OK, FAILED = "ok", "failed"
 UNNAMED = "Unknown"  # fixed value: the name of a feature without one
 
+_FEATURES = (
+    "array<struct<feature:string,accounts:array<struct<name:string,platform_client_id:string,mrr:double>>,"
+    "sample_feedbacks:array<string>,total_mrr:double,account_count:int,insight:string>>"
+)
+
 
 def _unfence(text: Column) -> Column:
     """Drop a fence of three back quotes, with its language word, around the text."""
@@ -19,16 +24,6 @@ def _unfence(text: Column) -> Column:
     return F.when(text.startswith("```"), inner).otherwise(text)
 
 
-def _one_value(text: Column) -> Column:
-    """The JSON value in the text; null unless the text is exactly one value.
-
-    Parsed as the only element of an array, since a plain parse would stop after
-    the first value and ignore what follows.
-    """
-    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(items) == 1, items[0])
-
-
 def _accounts(feature: Column) -> Column:
     accounts = F.coalesce(
         F.try_variant_get(feature, "$.accounts", "array<variant>"), F.array().cast("array<variant>")
@@ -62,27 +57,44 @@ def parse_payload(payloads: DataFrame) -> DataFrame:
     The payload may be bare or fenced; an array of features or an object that
     holds one under ``features``; any other JSON value holds none. Text that is
     no JSON fails its chunk, the other chunks go on.
+
+    The text is parsed as the one element of an array, since a plain parse stops
+    after the first value and ignores what follows. Each step is a column of its
+    own, so that nothing is parsed twice.
     """
-    none = F.array().cast("array<variant>")
-    value, kind = F.col("_value"), F.schema_of_variant(F.col("_value"))
+    text, value = F.col("_text"), F.col("_values")[0]
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     items = (
-        F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
-        .when(kind.startswith("OBJECT"), F.try_variant_get(value, "$.features", "array<variant>"))
+        F.when(text.startswith("["), F.try_variant_get(value, "$", "array<variant>"))
+        .when(text.startswith("{"), F.try_variant_get(value, "$.features", "array<variant>"))
     )
-    objects = F.filter(F.coalesce(items, none), lambda item: F.schema_of_variant(item).startswith("OBJECT"))
-    parsed = payloads.withColumn("_value", _one_value(_unfence(F.col("payload"))))
-    unreadable = (F.col("status") == OK) & value.isNull()
-    return parsed.select(
-        "chunk_id",
-        F.when(unreadable, F.lit(FAILED)).otherwise(F.col("status")).alias("status"),
-        F.when(unreadable, F.lit("payload is no JSON")).otherwise(F.col("error")).alias("error"),
-        F.transform(objects, _feature).alias("features"),
+    objects = F.filter(
+        F.coalesce(items, F.array().cast("array<variant>")),
+        lambda item: F.try_variant_get(item, "$", "map<string,variant>").isNotNull(),
+    )
+    one_value = F.coalesce(F.size("_values") == 1, F.lit(False))
+    unreadable = (F.col("status") == OK) & ~F.col("_readable")
+    return (
+        payloads.withColumn("_text", C.strip(_unfence(F.col("payload"))))
+        .withColumn("_values", values)
+        .withColumn("_readable", one_value)
+        .withColumn("_objects", F.when(one_value, objects))
+        .select(
+            "chunk_id",
+            F.when(unreadable, F.lit(FAILED)).otherwise(F.col("status")).alias("status"),
+            F.when(unreadable, F.lit("payload is no JSON")).otherwise(F.col("error")).alias("error"),
+            F.coalesce(F.transform("_objects", _feature), F.array().cast(_FEATURES)).alias("features"),
+        )
     )
 
 
 def payload_features(parsed: DataFrame) -> DataFrame:
-    """A row per feature, in all chunks that did not fail; repeats are kept."""
-    return parsed.where(F.col("status") == OK).selectExpr("chunk_id", "inline(features)")
+    """A row per feature, in all chunks that did not fail; repeats are kept.
+
+    A failed chunk has no features. The outer form, with the empty rows taken off
+    afterwards, keeps the optimizer from parsing once more to look for empty lists.
+    """
+    return parsed.selectExpr("chunk_id", "inline_outer(features)").where(F.col("feature").isNotNull())
 
 
 def payload_mentions(parsed: DataFrame) -> DataFrame:
