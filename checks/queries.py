@@ -285,7 +285,7 @@ def chunk_assign(t):
 
 @query
 def extract_mentions(t):
-    return extract.extract_mentions(t.feedback(), t.phrase())
+    return extract.extract_mentions(t.spread(t.feedback()), t.phrase())
 
 
 @query
@@ -324,7 +324,7 @@ def merge_features(t):
 
 @query
 def analyze_all(t):
-    return analyze.analyze(t.feedback(), t.phrase())
+    return analyze.analyze(t.spread(t.feedback()), t.phrase())
 
 
 # --- runs, history, exports ------------------------------------------------------

@@ -15,6 +15,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows over all tasks, for heavy work per row: the driver's files are one row group, so one task, each."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism)
+
     def account(self) -> DataFrame:
         nation = self.read("nation").select("n_nationkey", F.col("n_name").alias("account_owner"))
         customer = self.read("customer")
@@ -97,7 +101,7 @@ class Tables:
         """Each text that is not blank as a request of its account."""
         from feedback_rank.functions.columns import nonblank
 
-        return self.feedback().where(nonblank(F.col("feedback"))).select(
+        return self.spread(self.feedback()).where(nonblank(F.col("feedback"))).select(
             F.col("feedback").alias("feature"), "account_name", "platform_client_id", "mrr",
             F.substring("feedback", 1, 200).alias("sample"),
         )
@@ -182,7 +186,7 @@ class Tables:
             .when(F.col("l_linenumber") == 6, partial)
             .otherwise(F.concat(one, F.lit(" and more")))
         )
-        return self.mention().join(account, "account_id").select(
+        return self.spread(self.mention().join(account, "account_id")).select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"),
             F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), forms.alias("payload"),
         )

@@ -17,6 +17,12 @@ SAMPLES_KEPT = 3
 SAMPLE_SEPARATOR = " | "
 LABEL_SEPARATOR = ", "
 
+# The characters that count as blanks.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Plain decimal numbers only: a cast alone would also take a Java suffix such as '12d'.
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
@@ -51,9 +57,14 @@ def truncate(col: Column, length: int) -> Column:
     return F.substring(col, 1, length)
 
 
+def strip(col: Column) -> Column:
+    """Drop blanks of every kind at both ends (a plain ``trim`` drops spaces only)."""
+    return F.btrim(col, F.lit(BLANKS))
+
+
 def nonblank(col: Column) -> Column:
     """True if the text holds anything but blanks (tabs and no-break blanks included)."""
-    return col.isNotNull() & col.rlike(r"(?U)\S")
+    return F.coalesce(strip(col) != "", F.lit(False))
 
 
 def keyword_match(col: Column, keyword: str) -> Column:
@@ -80,19 +91,10 @@ def sample_join(samples: Column) -> Column:
 
 def sample_split(text: Column) -> Column:
     """Joined samples back to at most three trimmed, non-empty texts."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), _strip)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), strip)
     return F.slice(F.filter(parts, lambda part: part != ""), 1, SAMPLES_KEPT)
 
 
-def _strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
-
-
-def strip(col: Column) -> Column:
-    """Drop blanks of every kind at both ends (``trim`` drops spaces only)."""
-    return _strip(col)
-
-
 def prompt_line(name: Column, client_id: Column, mrr: Column, feedback: Column) -> Column:
     """``name | id | $mrr | text`` with the text cut for the model call."""
     return F.concat_ws(

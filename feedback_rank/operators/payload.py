@@ -18,32 +18,28 @@ _FEATURES = (
 
 
 def _unfence(text: Column) -> Column:
-    """Drop a fence of three back quotes, with its language word, around the text."""
-    text = C.strip(text)
+    """Drop a fence of three back quotes, with its language word, around the stripped text."""
     inner = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*(\n|$)", ""), r"(^|\n)[^\S\n]*```$", "")
-    return F.when(text.startswith("```"), inner).otherwise(text)
+    return F.when(text.startswith("```"), C.strip(inner)).otherwise(text)
 
 
-def _accounts(feature: Column) -> Column:
-    accounts = F.coalesce(
-        F.try_variant_get(feature, "$.accounts", "array<variant>"), F.array().cast("array<variant>")
-    )
-    return F.transform(accounts, lambda account: F.struct(
+def _account(account: Column) -> Column:
+    return F.struct(
         F.coalesce(F.try_variant_get(account, "$.name", "string"), F.lit("")).alias("name"),
         F.coalesce(F.try_variant_get(account, "$.platform_client_id", "string"), F.lit("")).alias("platform_client_id"),
         F.coalesce(F.try_variant_get(account, "$.mrr", "double"), F.lit(0.0)).alias("mrr"),
-    ))
+    )
 
 
 def _feature(item: Column) -> Column:
     """One feature with every missing or null key filled in."""
-    accounts = _accounts(item)
+    accounts = F.coalesce(F.try_variant_get(item, "$.accounts", "array<variant>"), F.array().cast("array<variant>"))
     samples = F.coalesce(
         F.try_variant_get(item, "$.sample_feedbacks", "array<string>"), F.array().cast("array<string>")
     )
     return F.struct(
         F.coalesce(F.try_variant_get(item, "$.feature", "string"), F.lit(UNNAMED)).alias("feature"),
-        accounts.alias("accounts"),
+        F.transform(accounts, _account).alias("accounts"),
         samples.alias("sample_feedbacks"),
         F.coalesce(F.try_variant_get(item, "$.total_mrr", "double"), F.lit(0.0)).alias("total_mrr"),
         F.coalesce(F.try_variant_get(item, "$.account_count", "int"), F.size(accounts)).alias("account_count"),
@@ -75,7 +71,8 @@ def parse_payload(payloads: DataFrame) -> DataFrame:
     one_value = F.coalesce(F.size("_values") == 1, F.lit(False))
     unreadable = (F.col("status") == OK) & ~F.col("_readable")
     return (
-        payloads.withColumn("_text", C.strip(_unfence(F.col("payload"))))
+        payloads.withColumn("_stripped", C.strip(F.col("payload")))
+        .withColumn("_text", _unfence(F.col("_stripped")))
         .withColumn("_values", values)
         .withColumn("_readable", one_value)
         .withColumn("_objects", F.when(one_value, objects))
