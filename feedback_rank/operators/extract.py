@@ -87,7 +87,7 @@ def extract_mentions(feedback: DataFrame, phrases: DataFrame, broadcast_bytes: i
     whole = F.when(start >= 1, F.slice("_words", F.greatest(start, F.lit(1)), F.size("phrase_words")) == F.col("phrase_words"))
     return hits.where(whole).select(
         "insight_id", "feature", "account_name", "platform_client_id", "mrr", "sample"
-    ).dropDuplicates(["insight_id", "feature"])
+    ).distinct()
 
 
 def normalize_phrases(mentions: DataFrame, synonyms: DataFrame) -> DataFrame:
