@@ -17,13 +17,15 @@ from feedback_rank.schemas import MONEY
 LABELS_PER_ROW = 10_000
 
 
+def _once(mentions: DataFrame) -> DataFrame:
+    """Each account once per feature, with its highest revenue; a missing id is an empty one."""
+    client_id = F.coalesce("platform_client_id", F.lit("")).alias("platform_client_id")
+    return mentions.groupBy("feature", "account_name", client_id).agg(F.max("mrr").alias("mrr"))
+
+
 def feature_accounts(mentions: DataFrame) -> DataFrame:
-    """Each account once per feature, with its highest revenue."""
-    return (
-        mentions.where(F.col("account_name").isNotNull())
-        .groupBy("feature", "account_name", "platform_client_id")
-        .agg(F.max("mrr").alias("mrr"))
-    )
+    """The accounts of each feature, one row each."""
+    return _once(mentions.where(F.col("account_name").isNotNull()))
 
 
 def feature_rollup(mentions: DataFrame) -> DataFrame:
@@ -32,12 +34,7 @@ def feature_rollup(mentions: DataFrame) -> DataFrame:
     Mentions are first cut to one row per feature and account; what is left of a
     hot feature is summed before it is shuffled.
     """
-    once = mentions.groupBy("feature", "account_name", "platform_client_id").agg(F.max("mrr").alias("mrr"))
-    named = F.col("account_name").isNotNull()
-    return once.groupBy("feature").agg(
-        F.coalesce(F.sum(F.when(named, F.col("mrr"))), F.lit(0)).cast(MONEY).alias("total_mrr"),
-        F.count(F.when(named, 1)).cast("int").alias("account_count"),
-    )
+    return _rolled_up(_once(mentions), F.col("account_name").isNotNull())
 
 
 def feature_samples(mentions: DataFrame) -> DataFrame:
@@ -59,27 +56,42 @@ def feature_samples(mentions: DataFrame) -> DataFrame:
     )
 
 
-def feature_account_labels(mentions: DataFrame, per_row: int = LABELS_PER_ROW) -> DataFrame:
-    """The account labels of each feature joined to text, in rows of ``per_row`` labels.
-
-    Nearly every feature has one row. A feature that most accounts ask for has
-    more, numbered by ``accounts_part``, so no text and no group grows without end.
-    """
+def _numbered_accounts(mentions: DataFrame) -> DataFrame:
+    """Each account once per feature, numbered by label; rows without an account come last."""
     label = C.account_label(F.col("account_name"), F.col("platform_client_id"))
-    labels = feature_accounts(mentions).select(
-        "feature", label.alias("label"), "account_name", F.coalesce("platform_client_id", F.lit("")).alias("_id")
-    )
-    numbered = number_rows(
-        labels, [F.col("label"), F.col("account_name"), F.col("_id")], groups=["feature"], name="_n"
+    labels = _once(mentions).select(
+        "feature", F.col("account_name").isNotNull().alias("named"), label.alias("label"), "mrr",
+        "account_name", "platform_client_id",
     )
+    order = [F.desc("named"), F.col("label"), F.col("account_name"), F.col("platform_client_id")]
+    return number_rows(labels, order, groups=["feature"], name="_n")
+
+
+def _joined_labels(numbered: DataFrame, per_row: int) -> DataFrame:
     part = (F.floor((F.col("_n") - 1) / per_row) + 1).cast("int")
     return (
-        numbered.groupBy("feature", part.alias("accounts_part"))
+        numbered.where("named").groupBy("feature", part.alias("accounts_part"))
         .agg(F.array_sort(F.collect_list("label")).alias("labels"))
         .select("feature", "accounts_part", F.array_join("labels", C.LABEL_SEPARATOR).alias("accounts"))
     )
 
 
+def _rolled_up(once: DataFrame, named: Column) -> DataFrame:
+    return once.groupBy("feature").agg(
+        F.coalesce(F.sum(F.when(named, F.col("mrr"))), F.lit(0)).cast(MONEY).alias("total_mrr"),
+        F.count(F.when(named, 1)).cast("int").alias("account_count"),
+    )
+
+
+def feature_account_labels(mentions: DataFrame, per_row: int = LABELS_PER_ROW) -> DataFrame:
+    """The account labels of each feature joined to text, in rows of ``per_row`` labels.
+
+    Nearly every feature has one row. A feature that most accounts ask for has
+    more, numbered by ``accounts_part``, so no text and no group grows without end.
+    """
+    return _joined_labels(_numbered_accounts(mentions), per_row)
+
+
 def rank_rows(features: DataFrame) -> DataFrame:
     """Add the place by revenue, highest first, nulls last, ties by feature text."""
     ranked = number_rows(features, [F.desc_nulls_last("total_mrr"), F.col("feature")], name="rank")
@@ -103,10 +115,14 @@ def insight_text(total_mrr: Column, account_count: Column, rank: Column) -> Colu
 
 
 def rank_features(mentions: DataFrame, labels_per_row: int = LABELS_PER_ROW) -> DataFrame:
-    """The ranked table: a row per feature (and part of its accounts) with all texts."""
-    ranked = feature_rank(mentions)
+    """The ranked table: a row per feature (and part of its accounts) with all texts.
+
+    Sums, counts and labels come from one pass over the mentions, samples from another.
+    """
+    numbered = _numbered_accounts(mentions)
+    ranked = rank_rows(_rolled_up(numbered, F.col("named")))
+    labels = _joined_labels(numbered, labels_per_row)
     samples = feature_samples(mentions)
-    labels = feature_account_labels(mentions, labels_per_row)
     return (
         ranked.join(labels, "feature", "left")
         .join(samples, "feature", "left")

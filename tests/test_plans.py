@@ -48,7 +48,7 @@ def test_missing_accounts_are_spread_over_tasks(spark, sf_dir):
 def test_minimum_revenue_reaches_the_account_table(spark, sf_dir):
     plan = plan_of(QUERIES["min_mrr"](Tables(spark, sf_dir)))
     assert "LeftOuter" not in plan.split("BroadcastHashJoin")[1][:200]
-    assert ">= 1000.00" in plan.split("customer.parquet")[0].split("FileScan")[-1] or ">= 1000.00" in plan
+    assert ">= 1000.00" in plan
 
 
 def test_checkpoints_go_to_the_folder_of_the_session(spark):

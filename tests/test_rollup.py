@@ -38,6 +38,7 @@ def mentions(spark):
         ("export", "A", "1", Decimal("10.00"), "s3"), ("export", "A", "1", Decimal("12.00"), "s1"),
         ("export", "A", "2", Decimal("5.00"), "s2"), ("export", "B", "", Decimal("1.50"), "s4"),
         ("export", "B", "", Decimal("1.50"), "s1"), ("login", "C", None, Decimal("18.50"), None),
+        ("login", "C", "", Decimal("18.00"), None),
         ("empty", None, None, None, " "), ("long", "D", "4", Decimal("0.00"), "x" * 300),
     ]
     return spark.createDataFrame(rows, MENTION)
