@@ -311,13 +311,14 @@ _QUERIES: dict[str, tuple[str, str]] = {
     "filters_parse": ("", "SELECT id, subcategories, account_owners, mrr_filter, min_mrr, top_n FROM v_filters"),
     "filter_tags": ("", "SELECT id, tags FROM v_tags"),
     "history_runs": ("", """
-        SELECT id, created_at, start_date, end_date, filters, total_feedbacks, unique_accounts, total_mrr FROM v_run"""),
+        SELECT id, created_at, start_date, end_date, filters, total_feedbacks,
+               CAST(unique_accounts AS VARCHAR) AS unique_accounts, total_mrr FROM v_run"""),
     "run_features": ("", f"SELECT {_RUN_COLUMNS} FROM v_run_feature WHERE run_id = 7"),
     "save_roundtrip": ("", """
         SELECT CAST(1 AS BIGINT) AS run_id, rank, feature, total_mrr, account_count, samples AS sample_feedbacks
         FROM v_rank JOIN v_labels USING (feature) JOIN v_samples USING (feature)"""),
     "cascade_delete": ("", """
-        SELECT h.id, f.run_id, f.features FROM (SELECT id FROM v_run WHERE total_mrr <= 10000) h
+        SELECT h.id, COALESCE(f.features, 0) AS features FROM (SELECT id FROM v_run WHERE total_mrr <= 10000) h
         LEFT JOIN (SELECT run_id, count(*) AS features FROM v_run_feature GROUP BY run_id) f ON h.id = f.run_id"""),
     "history_cards": ("""
     n AS (SELECT run_id, CAST(count(*) AS INT) AS feature_count FROM v_run_feature GROUP BY run_id),

@@ -365,7 +365,7 @@ def history_runs(t):
     saved.save_headers(t.run(), path)
     return stored.load_runs(t.spark, path).select(
         "id", naive("created_at"), day("start_date"), day("end_date"), "filters",
-        "total_feedbacks", "unique_accounts", "total_mrr",
+        "total_feedbacks", F.col("unique_accounts").cast("string").alias("unique_accounts"), "total_mrr",
     )
 
 
@@ -392,7 +392,10 @@ def cascade_delete(t):
     saved.delete_runs(runs.where(F.col("total_mrr") > 10000).select(F.col("id").alias("run_id")), path)
     left = stored.load_features(t.spark, path).groupBy("run_id").agg(F.count("*").alias("features"))
     heads = stored.load_runs(t.spark, path).select("id")
-    return heads.join(left, heads["id"] == left["run_id"], "full").select("id", "run_id", "features")
+    # a feature without its run would show as run -1
+    return heads.join(left, heads["id"] == left["run_id"], "full").select(
+        F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("features", F.lit(0)).alias("features")
+    )
 
 
 @query
