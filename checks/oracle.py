@@ -34,7 +34,7 @@ VIEWS = {
           AND subcategory IN ('src1', 'src2', 'src3', 'src5', 'src8', 'src13')
           AND account_owner IN (SELECT n_name FROM nation WHERE CAST(substr(n_name, 8) AS INT) BETWEEN 2 AND 19)""",
     "v_mention": """
-        SELECT p_name AS feature, o_custkey AS account_id, l_orderkey, l_linenumber,
+        SELECT p_name AS feature, o_custkey AS account_id, l_suppkey AS supplier_id, l_orderkey, l_linenumber,
                'req ' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS sample
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "v_account_mention": """
@@ -66,27 +66,27 @@ VIEWS = {
                || CASE WHEN rank <= 3 THEN 'high' WHEN rank <= 10 THEN 'medium' ELSE 'low' END || '.' AS ai_insight
         FROM v_rank""",
     "v_run_feature": """
-        WITH m AS (SELECT DISTINCT c_nationkey, feature, account_id, CAST(c_acctbal AS DECIMAL(18,2)) AS mrr
+        WITH m AS (SELECT DISTINCT supplier_id, feature, account_id, CAST(c_acctbal AS DECIMAL(18,2)) AS mrr
                    FROM v_mention JOIN customer ON account_id = c_custkey),
-             a AS (SELECT CAST(c_nationkey + 1 AS BIGINT) AS run_id, feature,
+             a AS (SELECT supplier_id + 1 AS run_id, feature,
                           CAST(sum(mrr) AS DECIMAL(18,2)) AS total_mrr, CAST(count(*) AS INT) AS account_count
-                   FROM m GROUP BY c_nationkey, feature)
+                   FROM m GROUP BY supplier_id, feature)
         SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY total_mrr DESC, feature) AS INT) AS rank,
                feature, total_mrr, account_count, CAST(1 AS INT) AS accounts_part, account_count || ' accounts' AS accounts,
                'one ' || feature || ' | two' AS sample_feedbacks, 'about ' || feature AS ai_insight
         FROM a""",
     "v_run": """
-        SELECT id, TIMESTAMP '2025-11-01 00:00:00' + to_days(CAST(id AS INT)) AS created_at,
+        SELECT id, TIMESTAMP '2025-11-01 00:00:00' + to_days(CAST(id % 1000 AS INT)) AS created_at,
                '2025-10-01' AS start_date, '2025-12-30' AS end_date,
-               CASE WHEN NOT full_run THEN NULL
-                    WHEN id % 3 = 0 THEN '{"subcategories":["src1","src2"],"account_owners":[],"mrr_filter":"No filter","min_mrr":0.0,"top_n":0}'
-                    WHEN id % 3 = 1 THEN '{"subcategories":[],"account_owners":["NATION_4"],"mrr_filter":"Minimum MRR","min_mrr":1000.0,"top_n":0}'
-                    ELSE '{"subcategories":null,"account_owners":[],"mrr_filter":"Top N accounts","min_mrr":0.0,"top_n":10}' END AS filters,
+               CASE WHEN s_name IS NULL THEN NULL
+                    WHEN id % 3 = 0 THEN '{"subcategories":["src1","' || s_name || '"],"account_owners":[],"mrr_filter":"No filter","min_mrr":0.0,"top_n":0}'
+                    WHEN id % 3 = 1 THEN '{"subcategories":[],"account_owners":["' || s_name || '"],"mrr_filter":"Minimum MRR","min_mrr":' || s_acctbal || ',"top_n":0}'
+                    ELSE '{"subcategories":null,"account_owners":[],"mrr_filter":"Top N accounts","min_mrr":0.0,"top_n":' || id || '}' END AS filters,
                CAST(id * 40 AS INT) AS total_feedbacks,
-               CASE WHEN full_run THEN CAST(id * 3 AS INT) END AS unique_accounts,
+               CASE WHEN s_name IS NOT NULL THEN CAST(id * 3 AS INT) END AS unique_accounts,
                CAST(id * 1000.5 AS DECIMAL(18,2)) AS total_mrr
-        FROM (SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, TRUE AS full_run FROM nation
-              UNION ALL SELECT CAST(r_regionkey + 101 AS BIGINT), FALSE FROM region)""",
+        FROM (SELECT s_suppkey + 1 AS id, s_name, s_acctbal FROM supplier
+              UNION ALL SELECT CAST(n_nationkey + 1000001 AS BIGINT), NULL, NULL FROM nation)""",
     "v_filters": """
         SELECT id, COALESCE(array_to_string(CAST(filters->'$.subcategories' AS VARCHAR[]), ','), '') AS subcategories,
                COALESCE(array_to_string(CAST(filters->'$.account_owners' AS VARCHAR[]), ','), '') AS account_owners,
@@ -318,7 +318,7 @@ _QUERIES: dict[str, tuple[str, str]] = {
         SELECT CAST(1 AS BIGINT) AS run_id, rank, feature, total_mrr, account_count, samples AS sample_feedbacks
         FROM v_rank JOIN v_labels USING (feature) JOIN v_samples USING (feature)"""),
     "cascade_delete": ("", """
-        SELECT h.id, COALESCE(f.features, 0) AS features FROM (SELECT id FROM v_run WHERE total_mrr <= 10000) h
+        SELECT h.id, COALESCE(f.features, 0) AS features FROM (SELECT id FROM v_run WHERE COALESCE(filters, '') NOT LIKE '%Top N%') h
         LEFT JOIN (SELECT run_id, count(*) AS features FROM v_run_feature GROUP BY run_id) f ON h.id = f.run_id"""),
     "history_cards": ("""
     n AS (SELECT run_id, CAST(count(*) AS INT) AS feature_count FROM v_run_feature GROUP BY run_id),

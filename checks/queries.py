@@ -389,7 +389,7 @@ def cascade_delete(t):
     runs = t.run()
     saved.save_features(t.run_feature(), path)
     saved.save_headers(runs, path)
-    saved.delete_runs(runs.where(F.col("total_mrr") > 10000).select(F.col("id").alias("run_id")), path)
+    saved.delete_runs(runs.where(F.col("filters").contains("Top N")).select(F.col("id").alias("run_id")), path)
     left = stored.load_features(t.spark, path).groupBy("run_id").agg(F.count("*").alias("features"))
     heads = stored.load_runs(t.spark, path).select("id")
     # a feature without its run would show as run -1

@@ -92,8 +92,8 @@ class Tables:
         )
 
     def mention(self) -> DataFrame:
-        """(feature, account_id, sample) from the order lines."""
-        lines = self.read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+        """(feature, account_id, supplier_id, sample) from the order lines."""
+        lines = self.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         orders = self.read("orders").select("o_orderkey", F.col("o_custkey").alias("account_id"))
         parts = self.read("part").select("p_partkey", F.col("p_name").alias("feature"))
         sample = F.concat(
@@ -103,7 +103,7 @@ class Tables:
         return (
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .select("feature", "account_id", "l_orderkey", "l_linenumber", sample.alias("sample"))
+            .select("feature", "account_id", F.col("l_suppkey").alias("supplier_id"), "l_orderkey", "l_linenumber", sample.alias("sample"))
         )
 
     def account_mention(self) -> DataFrame:
@@ -122,16 +122,13 @@ class Tables:
         )
 
     def run_feature(self) -> DataFrame:
-        """Past runs: one per nation, its features ranked by the revenue of its customers."""
+        """Past runs: one per supplier, the features of its order lines ranked by the revenue of the customers."""
         from pyspark.sql import Window
 
-        customer = self.read("customer").select(
-            F.col("c_custkey").alias("account_id"), (F.col("c_nationkey") + 1).cast("long").alias("run_id"),
-            F.col("c_acctbal").cast(MONEY).alias("mrr"),
-        )
+        account = self.read("customer").select(F.col("c_custkey").alias("account_id"), F.col("c_acctbal").cast(MONEY).alias("mrr"))
         totals = (
-            self.mention().join(customer, "account_id").select("run_id", "feature", "account_id", "mrr").distinct()
-            .groupBy("run_id", "feature")
+            self.mention().join(account, "account_id").select("supplier_id", "feature", "account_id", "mrr").distinct()
+            .groupBy((F.col("supplier_id") + 1).alias("run_id"), "feature")
             .agg(F.sum("mrr").cast(MONEY).alias("total_mrr"), F.count("*").cast("int").alias("account_count"))
         )
         by_mrr = Window.partitionBy("run_id").orderBy(F.desc("total_mrr"), "feature")
@@ -144,25 +141,26 @@ class Tables:
         )
 
     def run(self) -> DataFrame:
-        """Headers: one run per nation, and one without features, filters and account count per region."""
+        """Headers: one run per supplier, and one without features, filters and account count per nation."""
+        key, name, balance = F.col("id"), F.col("s_name"), F.col("s_acctbal").cast("string")
         kinds = (
-            '{"subcategories":["src1","src2"],"account_owners":[],"mrr_filter":"No filter","min_mrr":0.0,"top_n":0}',
-            '{"subcategories":[],"account_owners":["NATION_4"],"mrr_filter":"Minimum MRR","min_mrr":1000.0,"top_n":0}',
-            '{"subcategories":null,"account_owners":[],"mrr_filter":"Top N accounts","min_mrr":0.0,"top_n":10}',
+            F.concat(F.lit('{"subcategories":["src1","'), name, F.lit('"],"account_owners":[],"mrr_filter":"No filter","min_mrr":0.0,"top_n":0}')),
+            F.concat(F.lit('{"subcategories":[],"account_owners":["'), name,
+                     F.lit('"],"mrr_filter":"Minimum MRR","min_mrr":'), balance, F.lit(',"top_n":0}')),
+            F.concat(F.lit('{"subcategories":null,"account_owners":[],"mrr_filter":"Top N accounts","min_mrr":0.0,"top_n":'),
+                     key.cast("string"), F.lit("}")),
         )
-        key = F.col("id")
         filters = F.when(key % 3 == 0, kinds[0]).when(key % 3 == 1, kinds[1]).otherwise(kinds[2])
-        nations = self.read("nation").select((F.col("n_nationkey") + 1).cast("long").alias("id"), F.lit(True).alias("full"))
-        regions = self.read("region").select((F.col("r_regionkey") + 101).cast("long").alias("id"), F.lit(False).alias("full"))
-        full = F.col("full")
-        return nations.unionByName(regions).select(
+        full = self.read("supplier").select((F.col("s_suppkey") + 1).alias("id"), "s_name", "s_acctbal")
+        empty = self.read("nation").select((F.col("n_nationkey") + 1000001).cast("long").alias("id"))
+        return full.unionByName(empty, allowMissingColumns=True).select(
             "id",
-            F.expr("timestampadd(DAY, CAST(id AS INT), TIMESTAMP_NTZ '2025-11-01 00:00:00')").cast("timestamp").alias("created_at"),
+            F.expr("timestampadd(DAY, CAST(id % 1000 AS INT), TIMESTAMP_NTZ '2025-11-01 00:00:00')").cast("timestamp").alias("created_at"),
             F.lit("2025-10-01").cast("date").alias("start_date"),
             F.lit("2025-12-30").cast("date").alias("end_date"),
-            F.when(full, filters).alias("filters"),
+            F.when(name.isNotNull(), filters).alias("filters"),
             (key * 40).cast("int").alias("total_feedbacks"),
-            F.when(full, (key * 3).cast("int")).alias("unique_accounts"),
+            F.when(name.isNotNull(), (key * 3).cast("int")).alias("unique_accounts"),
             (key * F.lit(1000.5)).cast(MONEY).alias("total_mrr"),
         )
 

@@ -1,10 +1,10 @@
 """Runs and their features saved, and deleted again.
 
-Both tables have a folder per run, and a save replaces the folder of its run, so
-a save that is repeated after a failure leaves no second copy. Features are
-written first and the header last: a run is there once its header is. A delete
-adds the run to a list that every reader takes off; it changes no file that
-someone may be reading.
+Features have a folder per run, and a save replaces the folder of its run; headers
+are added to their table, and readers take the newest of each run. So a save that
+is repeated leaves no second copy. Features are written first and the header last:
+a run is there once its header is. A delete adds the run to a list that every reader
+takes off; it changes no file that someone may be reading.
 """
 
 from __future__ import annotations
@@ -65,11 +65,7 @@ def save_features(features: DataFrame, path: str) -> None:
 
 
 def save_headers(runs: DataFrame, path: str) -> None:
-    (
-        runs.select(*RUNS.names)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("id").parquet(runs_path(path))
-    )
+    runs.select(*RUNS.names).write.mode("append").parquet(runs_path(path))
 
 
 def save_run(

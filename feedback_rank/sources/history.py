@@ -37,8 +37,9 @@ def _not_deleted(spark: SparkSession, table: DataFrame, key: str, path: str) ->
 
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
-    """All run headers, newest first."""
-    runs = _read(spark, runs_path(path), RUNS)
+    """All run headers, newest first; of a run that was saved again the newest one."""
+    saved = _read(spark, runs_path(path), RUNS)
+    runs = saved.groupBy("id").agg(F.max_by(F.struct(*RUNS.names[1:]), "created_at").alias("_run")).select("id", "_run.*")
     return _not_deleted(spark, runs, "id", path).select(*RUNS.names).orderBy(F.desc("created_at"), F.desc("id"))
 
 
