@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedback_rank.llm.secrets import secret_digests
 from feedback_rank.llm.token_files import read_tokens, write_tokens
 from feedback_rank.session import scratch_path
 
@@ -28,6 +29,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@_query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every document, in short."""
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, written, and read back from the files."""
