@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedback_rank.llm.mixing import mixed_sizes
 from feedback_rank.llm.secrets import secret_digests
 from feedback_rank.llm.token_files import read_tokens, write_tokens
 from feedback_rank.session import scratch_path
@@ -35,6 +36,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words the mix takes of each."""
+    return mixed_sizes(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, written, and read back from the files."""
