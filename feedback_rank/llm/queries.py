@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from feedback_rank.llm.language import held_out, predict_language, train_language_model
 from feedback_rank.llm.mixing import mixed_sizes
 from feedback_rank.llm.secrets import secret_digests
 from feedback_rank.llm.token_files import read_tokens, write_tokens
@@ -48,3 +50,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
     return read_tokens(spark, path, with_ids=False)
+
+
+@_query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three of four folds."""
+    docs, held = _table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
+    model = train_language_model(docs.where(F.col("doc_id").isNotNull() & ~held))
+    return predict_language(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")

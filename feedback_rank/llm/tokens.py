@@ -110,8 +110,8 @@ class Words:
         return np.uint64(total % (1 << 64))
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, bounds of the rows' texts) by slices of SLICE_BYTES.
+def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, bounds of the rows' texts) by slices of about ``size`` bytes.
 
     A null is an empty text.
     """
@@ -126,11 +126,11 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     if column.null_count:  # what lies under a null is not defined
         empty = column.is_null().to_numpy(zero_copy_only=False)
         if (np.diff(offsets)[empty] > 0).any():
-            yield from text_slices(column.fill_null(""))
+            yield from text_slices(column.fill_null(""), size)
             return
     first = 0
     while first < len(column):
-        upto = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1)
+        upto = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
         upto = min(upto, len(column))
         yield first, upto, data[offsets[first]:offsets[upto]], offsets[first:upto + 1] - offsets[first]
         first = upto
