@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedback_rank.llm.decontaminate import leaked_items
 from feedback_rank.llm.language import held_out, predict_language, train_language_model
 from feedback_rank.llm.mixing import mixed_sizes
 from feedback_rank.llm.secrets import secret_digests
@@ -38,6 +39,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the items."""
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words the mix takes of each."""
