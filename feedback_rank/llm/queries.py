@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from feedback_rank.llm.decontaminate import leaked_items
 from feedback_rank.llm.language import held_out, predict_language, train_language_model
 from feedback_rank.llm.mixing import mixed_sizes
+from feedback_rank.llm.quality import document_statistics, quality_scores, train_quality
 from feedback_rank.llm.secrets import secret_digests
 from feedback_rank.llm.token_files import read_tokens, write_tokens
-from feedback_rank.session import scratch_path
+from feedback_rank.session import checkpointed, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,6 +40,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of four of five folds."""
+    held = held_out(F.col("doc_id"), 5, 0)
+    stats = checkpointed(document_statistics(_table(spark, sf_dir, "documents")))
+    model = train_quality(stats, _table(spark, sf_dir, "labels").where(~held))
+    return quality_scores(stats, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @_query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the items."""
