@@ -13,6 +13,7 @@ from feedback_rank.llm.mixing import mixed_sizes
 from feedback_rank.llm.quality import document_statistics, quality_scores, train_quality
 from feedback_rank.llm.secrets import secret_digests
 from feedback_rank.llm.token_files import read_tokens, write_tokens
+from feedback_rank.llm.topk import top_products, whole_vectors
 from feedback_rank.session import checkpointed, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,28 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector, among all vectors."""
+    vectors = whole_vectors(_table(spark, sf_dir, "embeddings"))
+    return top_products(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+ORACLE_SQL["op3_topk"] = """
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS point
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.point, v.point)::BIGINT AS score
+  FROM valid q JOIN valid v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from the labels of four of five folds."""
