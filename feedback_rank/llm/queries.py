@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedback_rank.llm.decontaminate import leaked_items
+from feedback_rank.llm.fixity import audit, fixity, laid_out, warc_records
 from feedback_rank.llm.language import held_out, predict_language, train_language_model
 from feedback_rank.llm.mixing import mixed_sizes
 from feedback_rank.llm.quality import document_statistics, quality_scores, train_quality
@@ -35,6 +36,57 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of all pages in their files, and a second copy of these files with faults.
+
+    By page_id, one of 97 records has a byte changed, one of 101 is cut short, one of 103 is
+    gone, and after one of 107 there is a stray byte. Each page is read and hashed once.
+    """
+    record, page = F.col("record"), F.col("page_id")
+    half = F.floor(F.octet_length(record) / 2).cast("int")
+    damaged = (
+        F.when(page % 97 == 13, F.overlay(record, F.lit(b"\x00"), half)).when(page % 101 == 7, F.substring(record, 1, 40))
+        .otherwise(record)
+    )
+    (length, digest), (their_length, their_digest) = fixity(record), fixity(damaged)
+    rows = warc_records(pages).select(
+        "file", "page_id", length.alias("length"), digest.alias("digest"), their_length.alias("their_length"), their_digest.alias("their_digest")
+    )
+    placed = checkpointed(laid_out(rows, ["page_id", "digest"]))
+    theirs = placed.where(page.isNull() | (page % 103 != 5)).select(
+        "file", "offset", F.col("their_length").alias("length"), F.col("their_digest").alias("digest")
+    )
+    stray = placed.where(page % 107 == 3).select(
+        "file", (F.col("offset") + 1).alias("offset"), F.lit(1).cast("long").alias("length"), F.sha2(F.lit("x"), 256).alias("digest")
+    )
+    return placed.select("file", "offset", "length", "digest"), theirs.unionByName(stray)
+
+
+@_query
+def op1_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the faulty copy of all pages' records differs from the sound one."""
+    return audit(*replicas(_table(spark, sf_dir, "pages")))
+
+
+ORACLE_SQL["op1_fixity"] = """
+WITH records AS (
+  SELECT floor(page_id / 1000)::BIGINT AS file, page_id,
+    strlen('WARC/1.1..WARC-Type: response..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Target-URI: ' || url
+      || '..Content-Type: text/html..Content-Length: ' || strlen(html) || '....' || html || '....')::BIGINT AS length
+  FROM pages
+), placed AS (
+  SELECT *, coalesce(sum(length) OVER (
+    PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM records
+)
+SELECT file, "offset", CASE WHEN page_id % 103 = 5 THEN 'missing' ELSE 'changed' END AS status, length AS our_length,
+  CASE WHEN page_id % 103 = 5 THEN NULL WHEN page_id % 97 = 13 THEN length WHEN page_id % 101 = 7 THEN 40 ELSE length END AS their_length
+FROM placed WHERE page_id % 103 = 5 OR page_id % 97 = 13 OR page_id % 101 = 7
+UNION ALL
+SELECT file, "offset" + 1, 'extra', NULL, 1 FROM placed WHERE page_id % 107 = 3
+"""
+
+
 @_query
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document, in short."""
