@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedback_rank.llm.decontaminate import leaked_items
 from feedback_rank.llm.fixity import audit, fixity, laid_out, warc_records
+from feedback_rank.llm.hmm import score_documents
 from feedback_rank.llm.language import held_out, predict_language, train_language_model
 from feedback_rank.llm.mixing import mixed_sizes
 from feedback_rank.llm.quality import document_statistics, quality_scores, train_quality
@@ -144,6 +145,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, with_ids=False)
 
 
+@_query
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of six of seven folds."""
+    docs, held = _table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2)
+    scored = score_documents(docs, F.col("doc_id").isNotNull() & ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three of four folds."""
