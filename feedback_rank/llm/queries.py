@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedback_rank.llm.decontaminate import leaked_items
 from feedback_rank.llm.fixity import audit, fixity, laid_out, warc_records
 from feedback_rank.llm.hmm import score_documents
+from feedback_rank.llm.jaccard import near_duplicates
 from feedback_rank.llm.language import held_out, predict_language, train_language_model
 from feedback_rank.llm.mixing import mixed_sizes
 from feedback_rank.llm.quality import document_statistics, quality_scores, train_quality
@@ -116,6 +117,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+@_query
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document among runs of four words that are alike to 85 percent."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from the labels of four of five folds."""
