@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from feedback_rank.llm.jaccard import components, linked_sets, near_duplicates
+from feedback_rank.llm.jaccard import _signatures, components, deduplicated, hopeful, linked_sets, near_duplicates
 
 
 def plain_components(sets, num, den):
@@ -53,6 +53,28 @@ def test_forest_connects_what_pairs_connect(percent):
                         assert label[a] == label[b]
 
 
+@pytest.mark.parametrize("percent", [40, 60, 85])
+def test_bitmaps_leave_every_linked_member(percent):
+    rng = np.random.default_rng(percent)
+    for trial in range(5):
+        base, sets = rng.integers(0, 1 << 60, 400).astype(np.uint64), []
+        for _ in range(120):
+            kept = base[:rng.choice([3, 30, 60, 70, 400])]
+            kept = kept[rng.random(len(kept)) > rng.choice([0.0, 0.1, 0.5])]
+            sets.append(np.unique(np.append(kept, rng.integers(0, 1 << 60, rng.integers(1, 200)).astype(np.uint64))))
+        sizes = np.array([len(s) for s in sets])
+        bitmaps = _signatures(np.concatenate(sets), sizes, np.concatenate([[0], np.cumsum(sizes)])).to_pylist()
+        assert all(2 * n <= 8 * len(b) for n, b in zip(sizes, bitmaps))
+        side = rng.integers(0, 2, len(sets)) if trial % 2 else None
+        may = hopeful(sizes, bitmaps, side, percent, 100)
+        for a in range(len(sets)):
+            for b in range(a):
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                if (side is None or side[a] != side[b]) and 100 * len(x & y) >= percent * len(x | y):
+                    assert may[a] and may[b]
+        assert percent < 80 or not may.all()
+
+
 def corpus(seed=1, n=260):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(5000)}"
@@ -99,3 +121,20 @@ def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_one_of_each_component_stays(spark):
+    rows = corpus(3) + [(None, "w1 w2 w3"), (None, "w1 w2 w3"), (4, "other words of this id"), (4, "other words of this id")]
+    docs = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], "component int, doc_id long, text string, key string")
+    kept = deduplicated(docs)
+    assert kept.columns == docs.columns
+    label = plain_components([text_set(text, 5) for _, text in rows], 80, 100)
+    groups = {}
+    for (doc_id, text), x in zip(rows, label):
+        groups.setdefault(x, []).append((doc_id is None, doc_id or 0, text_set(text, 5)))
+    found = [(r.doc_id is None, r.doc_id or 0, text_set(r.text, 5)) for r in kept.collect()]
+    empty = [f for f in found if not f[2]]
+    assert len(empty) == sum(not text_set(t, 5) for _, t in rows)
+    expected = [min(g, key=lambda x: x[:2]) for g in groups.values() if g[0][2]]
+    assert sorted(f[:2] for f in found if f[2]) == sorted(e[:2] for e in expected)
+    assert deduplicated(docs.limit(0)).count() == 0
