@@ -8,6 +8,10 @@ from feedback_rank.llm import stages
 from feedback_rank.session import scratch_path
 
 STAGES = [
+    ("language", stages.language),
+    ("near duplicates", stages.near_duplicates),
+    ("decontamination", stages.decontamination),
+    ("mixing", stages.mixing),
     ("token files", stages.token_files),
 ]
 

@@ -30,6 +30,7 @@ PIECE = 40              # letters after which a run without a break is parted, a
 SCRIPT_SHARE = 0.001    # of a language's letters that make a script one of its own
 LETTER_BYTES = 1_000_000     # text taken apart at once
 SCORES_AT_ONCE = 8_000_000  # scores of words by language labelled at once, or those of one longer text
+LEAST_SHARE = 0.5           # of a text's letters that its language must have to be taken as written in it
 UNKNOWN = "und"
 
 # fixed values: where scripts lie, by their first and last code points
@@ -226,16 +227,24 @@ def train_language_model(labelled: DataFrame, buckets: int = BUCKETS) -> Languag
     )
 
 
+def _found(column: pa.Array, model: LanguageModel, penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
+    """(languages, shares of letters, spans) of all texts of a batch."""
+    langs: list[str] = []
+    shares: list[float] = []
+    spans: list[list[dict]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for _, _, data, bounds in text_slices(column, LETTER_BYTES):
+        found = _Letters(data, bounds)
+        held.append((found.lengths, np.diff(found.bounds), model.word_scores(found)))
+        if sum(scores.size for _, _, scores in held) > SCORES_AT_ONCE:
+            _label(held, model, penalty, langs, shares, spans)
+    _label(held, model, penalty, langs, shares, spans)
+    return langs, shares, spans
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel, penalty: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, shares, spans = [], [], []
-        held: list[tuple[_Letters, np.ndarray]] = []
-        for _, _, data, bounds in text_slices(batch.column(1), LETTER_BYTES):
-            found = _Letters(data, bounds)
-            held.append((found.lengths, np.diff(found.bounds), model.word_scores(found)))
-            if sum(scores.size for _, _, scores in held) > SCORES_AT_ONCE:
-                _label(held, model, penalty, langs, shares, spans)
-        _label(held, model, penalty, langs, shares, spans)
+        langs, shares, spans = _found(batch.column(1), model, penalty)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, schema.field(3).type)], schema=schema
         )
@@ -295,6 +304,22 @@ def predict_language(docs: DataFrame, model: LanguageModel, penalty: float = PEN
     return narrow.mapInArrow(lambda batches: _predicted(batches, shared.value, penalty, arrow), schema)
 
 
+def in_one_language(docs: DataFrame, model: LanguageModel, least: float = LEAST_SHARE, penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``docs`` in which one language has ``least`` of the letters or more; the columns stay.
+
+    Texts that are null or without letters go, and all do under a model without languages.
+    """
+    text_at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, shares, _ = _found(batch.column(text_at), shared.value, penalty)
+            yield batch.filter(pa.array([lang != UNKNOWN and share >= least for lang, share in zip(langs, shares)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into the fold; a null id does not."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
