@@ -64,61 +64,49 @@ def _joined(*parts: Column) -> Column:
 
 
 def merkle_nodes(digests: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
-    """(file, level, place, records, hash): all nodes of each file's tree, level 0 the ranges of offsets.
+    """(replica, file, level, place, records, hash): all nodes of each replica's and file's tree, level 0 the ranges of offsets.
 
-    The tree of every file goes up to the level at which the largest file has one node, so
-    roots are the nodes of the highest level. Only ranges in which a record begins have nodes.
-    Records at the same offset are ordered by length and digest, those alike in all are counted.
-    Runs its jobs at once.
+    Every tree goes up to the level at which the largest file has one node, so roots are the
+    nodes of the highest level. Only ranges in which a record begins have nodes. Records at
+    the same offset are ordered by length and digest, those alike in all are counted. Written
+    once: runs its jobs at once.
     """
     place = F.coalesce(F.floor(F.col("offset") / range_bytes), F.lit(0))
     entries = F.array_sort(F.collect_list(_joined(F.lpad("offset", 20, "0"), F.col("length"), F.col("digest"), F.col("copies"))))
-    once = digests.groupBy("file", "offset", "length", "digest").agg(F.count("*").alias("copies"))
-    level = once.withColumn("place", place).groupBy("file", "place").agg(
+    once = digests.groupBy("replica", "file", "offset", "length", "digest").agg(F.count("*").alias("copies"))
+    ranges = once.withColumn("place", place).groupBy("replica", "file", "place").agg(
         F.sum("copies").alias("records"), F.sha2(F.array_join(entries, "\n"), 256).alias("hash")
-    ).select("file", F.lit(0).alias("level"), "place", "records", "hash")
-    level = nodes = checkpointed(level)
-    highest = level.agg(F.max("place")).first()[0] or 0
-    number = 0
+    )
+    level = nodes = checkpointed(ranges.select("replica", "file", F.lit(0).alias("level"), "place", "records", "hash"))
+    highest, number = level.agg(F.max("place")).first()[0] or 0, 0
     while highest > 0:
         highest, number = highest // fan_out, number + 1
         children = F.array_sort(F.collect_list(F.struct("place", "hash")))
         text = F.array_join(F.transform(children, lambda c: _joined(c["place"], c["hash"])), "\n")
-        level = level.groupBy("file", F.floor(F.col("place") / fan_out).alias("parent")).agg(
+        level = level.groupBy("replica", "file", F.floor(F.col("place") / fan_out).alias("parent")).agg(
             F.sum("records").alias("records"), F.sha2(text, 256).alias("hash")
-        ).select("file", F.lit(number).alias("level"), F.col("parent").alias("place"), "records", "hash")
-        level = checkpointed(level)
+        ).select("replica", "file", F.lit(number).alias("level"), F.col("parent").alias("place"), "records", "hash")
         nodes = nodes.unionByName(level)
-    return nodes
+    return checkpointed(nodes) if number else nodes
 
 
-def mismatched_ranges(ours: DataFrame, theirs: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """(file, place, ours, theirs): the ranges whose hashes differ, null where a replica has none.
+def mismatched_ranges(nodes: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """(file, place, ours, theirs): the ranges whose hashes differ between replicas 0 and 1, null where one has none.
 
-    Begins at the roots and goes down only where nodes differ. Of trees of different height
-    the higher one begins at the level of the other's root.
+    Begins at the roots and goes down only where nodes differ.
     """
-    def top_of(nodes: DataFrame) -> int:
-        return nodes.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
-
-    tops = top_of(ours), top_of(theirs)
+    highest = nodes.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
     open_nodes = None
-    for number in range(min(tops), -1, -1):
-        sides = []
-        for nodes, side in ((ours, "ours"), (theirs, "theirs")):
-            rows = nodes.where(F.col("level") == number).select("file", "place", F.col("hash").alias(side))
-            if open_nodes is not None:
-                parents = open_nodes.select(F.col("file").alias("_file"), F.col("place").alias("_place"))
-                rows = rows.join(
-                    parents, (F.floor(F.col("place") / fan_out) == F.col("_place")) & F.col("file").eqNullSafe(F.col("_file")), "left_semi"
-                )
-            sides.append(rows)
-        both = sides[0].alias("a").join(
-            sides[1].alias("b"), (F.col("a.place") == F.col("b.place")) & F.col("a.file").eqNullSafe(F.col("b.file")), "full"
-        ).select(
-            F.coalesce("a.file", "b.file").alias("file"), F.coalesce("a.place", "b.place").alias("place"), "ours", "theirs"
-        )
-        open_nodes = checkpointed(both.where(~F.col("ours").eqNullSafe(F.col("theirs"))))
+    for number in range(highest, -1, -1):
+        rows = nodes.where(F.col("level") == number)
+        if open_nodes is not None:
+            parents = open_nodes.select(F.col("file").alias("_file"), F.col("place").alias("_place"))
+            rows = rows.join(
+                parents, (F.floor(F.col("place") / fan_out) == F.col("_place")) & F.col("file").eqNullSafe(F.col("_file")), "left_semi"
+            )
+        open_nodes = rows.groupBy("file", "place").agg(
+            F.max(F.when(F.col("replica") == 0, F.col("hash"))).alias("ours"), F.max(F.when(F.col("replica") == 1, F.col("hash"))).alias("theirs")
+        ).where(~F.col("ours").eqNullSafe(F.col("theirs")))
     return open_nodes
 
 
@@ -129,25 +117,25 @@ def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE_BYTES, fa
     records of one offset that differ in bytes, length or number, ``missing`` where only we
     have one, ``extra`` where only they do. A record that moved is missing at one offset and
     extra at the other. Records of ranges that agree are not compared. Null files and offsets
-    are values like others; equal replicas, and empty ones, give no rows. Runs its jobs at once.
+    are values like others; equal replicas, and empty ones, give no rows. The trees are built
+    at once.
     """
-    mine, other = checkpointed(ours.select("file", "offset", "length", "digest")), checkpointed(theirs.select("file", "offset", "length", "digest"))
-    ranges = mismatched_ranges(merkle_nodes(mine, range_bytes, fan_out), merkle_nodes(other, range_bytes, fan_out), fan_out)
+    columns = "file", "offset", "length", "digest"
+    both = ours.select(F.lit(0).alias("replica"), *columns).unionByName(theirs.select(F.lit(1).alias("replica"), *columns))
+    ranges = mismatched_ranges(merkle_nodes(both, range_bytes, fan_out), fan_out)
     ranges = ranges.select(F.col("file").alias("_file"), F.col("place").alias("_place"))
     place = F.coalesce(F.floor(F.col("offset") / range_bytes), F.lit(0))
-
-    def inside(digests: DataFrame, side: str) -> DataFrame:
-        rows = digests.join(ranges, (place == F.col("_place")) & F.col("file").eqNullSafe(F.col("_file")), "left_semi")
-        once = rows.groupBy("file", "offset", "length", "digest").agg(F.count("*").alias("copies"))
-        return once.groupBy("file", "offset").agg(
-            F.array_sort(F.collect_list(F.struct("length", "digest", "copies"))).alias(side), F.max("length").alias(f"{side}_length")
-        )
-
-    a, b = inside(mine, "our").alias("a"), inside(other, "their").alias("b")
-    same = F.col("a.offset").eqNullSafe(F.col("b.offset")) & F.col("a.file").eqNullSafe(F.col("b.file"))
-    status = F.when(F.col("their").isNull(), "missing").when(F.col("our").isNull(), "extra").otherwise("changed")
-    return a.join(b, same, "full").where(~F.col("our").eqNullSafe(F.col("their"))).select(
-        F.when(F.col("our").isNull(), F.col("b.file")).otherwise(F.col("a.file")).alias("file"),
-        F.when(F.col("our").isNull(), F.col("b.offset")).otherwise(F.col("a.offset")).alias("offset"),
-        status.alias("status"), "our_length", "their_length",
-    )
+    rows = both.join(ranges, (place == F.col("_place")) & F.col("file").eqNullSafe(F.col("_file")), "left_semi")
+    once = rows.groupBy("replica", *columns).agg(F.count("*").alias("copies"))
+
+    def side(replica: int) -> list[Column]:
+        mine = F.col("replica") == replica
+        return [
+            F.array_sort(F.collect_list(F.when(mine, F.struct("length", "digest", "copies")))), F.max(F.when(mine, F.col("length")))
+        ]
+
+    (our, our_length), (their, their_length) = side(0), side(1)
+    status = F.when(F.size("their") == 0, "missing").when(F.size("our") == 0, "extra").otherwise("changed")
+    return once.groupBy("file", "offset").agg(
+        our.alias("our"), their.alias("their"), our_length.alias("our_length"), their_length.alias("their_length")
+    ).where(F.col("our") != F.col("their")).select("file", "offset", status.alias("status"), "our_length", "their_length")

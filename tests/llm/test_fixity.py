@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedback_rank.llm.fixity import audit, fixity, laid_out, merkle_nodes, mismatched_ranges, warc_records
 
@@ -54,15 +55,16 @@ def test_equal_and_empty_replicas(spark):
 def test_tree_and_descent(spark):
     ours = [(0, 100 * i, 100, f"d{i}") for i in range(64)]
     theirs = ours[:40] + [(0, 4000, 100, "bad")] + ours[41:]
-    a, b = (merkle_nodes(spark.createDataFrame(rows, SCHEMA), 100, 4) for rows in (ours, theirs))
-    nodes = {(r.level, r.place): r.hash for r in a.collect()}
+    frames = [spark.createDataFrame(rows, SCHEMA).withColumn("replica", F.lit(i)) for i, rows in enumerate((ours, theirs))]
+    both = merkle_nodes(frames[0].unionByName(frames[1]), 100, 4)
+    nodes = {(r.level, r.place): r.hash for r in both.where("replica = 0").collect()}
     assert len(nodes) == 64 + 16 + 4 + 1
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
     assert nodes[0, 3] == sha(f"{300:020d}:100:d3:1")
     for level in (1, 2, 3):
         for place in range(64 // 4**level):
             assert nodes[level, place] == sha("\n".join(f"{c}:{nodes[level - 1, c]}" for c in range(4 * place, 4 * place + 4)))
-    assert [(r.file, r.place) for r in mismatched_ranges(a, b, 4).collect()] == [(0, 40)]
+    assert [(r.file, r.place) for r in mismatched_ranges(both, 4).collect()] == [(0, 40)]
 
 
 def test_records_of_odd_pages(spark):
