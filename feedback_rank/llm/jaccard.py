@@ -8,11 +8,11 @@ the same first member are one, which spares a family of near copies most of its
 In a block the sets hang in a signature tree: every node holds its members' token bitmaps
 combined by OR and the range of their sizes. Two nodes are only opened if their bitmaps and
 sizes allow an overlap that is large enough for any two of their members (Mamoulis et al.
-2003). A first traversal, on bitmaps of a few bits a shingle, leaves the members of a block
-that may have a link at all. Only their sets are fetched, for a second one that compares sets
-at the leaves, but never two that the block has already linked through others: a block gives
-the edges of a spanning forest, not its pairs. Connected components follow from these by
-alternating stars (Kiveris et al. 2014).
+2003). A first traversal, on bitmaps of a few bits a shingle, parts a block into what may be
+connected and leaves out members without any link. Only the others' sets are fetched, for a
+second traversal that compares sets at the leaves, but never two that the block has already
+linked through others: a block gives the edges of a spanning forest, not its pairs. Connected
+components follow from these by alternating stars (Kiveris et al. 2014).
 
 A block too large for one task is cut into slices that meet each other in pairs.
 """
@@ -250,8 +250,11 @@ def traverse(a: SignatureTree, b: SignatureTree, num: int, den: int, visit: Call
 
 
 def hopeful(sizes: np.ndarray, signatures: list[bytes], side: np.ndarray | None, num: int, den: int) -> np.ndarray:
-    """Which members' bitmaps allow a link with another one; with ``side``, with one of the other side."""
-    out = np.zeros(len(sizes), dtype=bool)
+    """A number for each member: the same for those that bitmaps allow to be connected, -1 for one without any link.
+
+    With ``side``, links are those between members of different sides.
+    """
+    group, linked = np.arange(len(sizes)), np.zeros(len(sizes), dtype=bool)
     lengths = np.array([len(s) for s in signatures])
 
     def tree(members: np.ndarray, length: int) -> tuple[SignatureTree, np.ndarray]:
@@ -268,14 +271,14 @@ def hopeful(sizes: np.ndarray, signatures: list[bytes], side: np.ndarray | None,
         b, of_b = (a, of_a) if others is None else tree(others, length)
 
         def visit(i: int, j: int) -> None:
-            x, y = a.members(i), b.members(j)
-            if out[of_a[x]].all() and out[of_b[y]].all():
-                return
-            x, y = np.repeat(x, len(y)), np.tile(y, len(x))
-            if others is None:
-                x, y = x[x != y], y[x != y]
+            leaf_a, leaf_b = a.members(i), b.members(j)
+            x, y = np.nonzero(group[of_a[leaf_a]][:, None] != group[of_b[leaf_b]][None, :])
+            x, y = leaf_a[x], leaf_b[y]
             may = _pairs_may_link(a, b, x, y, num, den)
-            out[of_a[x[may]]] = out[of_b[y[may]]] = True
+            for s, t in zip(of_a[x[may]].tolist(), of_b[y[may]].tolist()):
+                if group[s] != group[t]:
+                    group[group == group[t]] = group[s]
+                    linked[s] = linked[t] = True
 
         traverse(a, b, num, den, visit)
 
@@ -290,7 +293,7 @@ def hopeful(sizes: np.ndarray, signatures: list[bytes], side: np.ndarray | None,
                 mine, others = np.flatnonzero((lengths == length) & (of == first)), np.flatnonzero((lengths == other) & (of == second))
                 meet(mine, None if other == length and side is None else others, length)
             other *= 2
-    return out
+    return np.where(linked, group, -1)
 
 
 def _order(sets: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -356,12 +359,20 @@ def _sides(rows: list[tuple]) -> np.ndarray | None:
 
 
 def _hopeful_rows(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, one, two, side, key, n, signature) to (block, key) of those that may have a link in the block."""
+    """Rows (block, one, two, side, key, n, signature) to (block, key) of those that may have a link in the block.
+
+    What may be connected is a block of its own now, under its first key: a family of near
+    copies that met in many blocks meets in few.
+    """
     for rows in _by_block(batches):
-        may = hopeful(np.array([row[5] for row in rows], np.int64), [row[6] for row in rows], _sides(rows), num, den)
-        keys = np.array([row[4] for row in rows], np.int64)[may]
+        group = hopeful(np.array([row[5] for row in rows], np.int64), [row[6] for row in rows], _sides(rows), num, den)
+        keys = np.array([row[4] for row in rows], np.int64)
+        keys, group = keys[group >= 0], group[group >= 0]
         if len(keys):
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(keys), rows[0][0]), pa.int64()), "key": pa.array(keys)})
+            _, which = np.unique(group, return_inverse=True)
+            first = np.full(which.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, which, keys)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(first[which]), "key": pa.array(keys)})
 
 
 def _block_edges(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:

@@ -71,8 +71,8 @@ def test_bitmaps_leave_every_linked_member(percent):
             for b in range(a):
                 x, y = set(sets[a].tolist()), set(sets[b].tolist())
                 if (side is None or side[a] != side[b]) and 100 * len(x & y) >= percent * len(x | y):
-                    assert may[a] and may[b]
-        assert percent < 80 or not may.all()
+                    assert may[a] == may[b] >= 0
+        assert percent < 80 or not (may >= 0).all()
 
 
 def corpus(seed=1, n=260):
