@@ -64,7 +64,7 @@ def test_bitmaps_leave_every_linked_member(percent):
             sets.append(np.unique(np.append(kept, rng.integers(0, 1 << 60, rng.integers(1, 200)).astype(np.uint64))))
         sizes = np.array([len(s) for s in sets])
         bitmaps = _signatures(np.concatenate(sets), sizes, np.concatenate([[0], np.cumsum(sizes)])).to_pylist()
-        assert all(2 * n <= 8 * len(b) for n, b in zip(sizes, bitmaps))
+        assert all(n <= 8 * len(b) for n, b in zip(sizes, bitmaps))
         side = rng.integers(0, 2, len(sets)) if trial % 2 else None
         may = hopeful(sizes, bitmaps, side, percent, 100)
         for a in range(len(sets)):
