@@ -30,9 +30,11 @@ VIEWS = {
     "v_scope": """
         SELECT * FROM v_feedback
         WHERE record_type = 'Client_Feedback'
-          AND created_at BETWEEN TIMESTAMP '2025-10-02 00:00:00' AND TIMESTAMP '2025-10-31 23:59:59'
+          AND created_at BETWEEN TIMESTAMP '2025-10-02 00:00:00' AND (SELECT last FROM v_window)
           AND subcategory IN ('src1', 'src2', 'src3', 'src5', 'src8', 'src13')
           AND account_owner IN (SELECT n_name FROM nation WHERE CAST(substr(n_name, 8) AS INT) BETWEEN 2 AND 19)""",
+    "v_window": """
+        SELECT TIMESTAMP '2025-10-01 23:59:59' + to_days(CAST(max(doc_id) * 3 // 96 AS INT)) AS last FROM documents""",
     "v_mention": """
         SELECT p_name AS feature, o_custkey AS account_id, l_suppkey AS supplier_id, l_orderkey, l_linenumber,
                'req ' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS sample
@@ -43,17 +45,16 @@ VIEWS = {
     "v_once": """
         SELECT feature, account_name, platform_client_id, max(mrr) AS mrr FROM v_account_mention GROUP BY ALL""",
     "v_rollup": """
-        SELECT feature, CAST(sum(mrr) AS DECIMAL(18,2)) AS total_mrr, CAST(count(*) AS INT) AS account_count
+        SELECT feature, CAST(sum(mrr) AS DECIMAL(18,2)) AS total_mrr, count(*) AS account_count
         FROM v_once GROUP BY feature""",
     "v_rank": """
-        SELECT CAST(row_number() OVER (ORDER BY total_mrr DESC, feature) AS INT) AS rank, feature, total_mrr, account_count
+        SELECT row_number() OVER (ORDER BY total_mrr DESC, feature) AS rank, feature, total_mrr, account_count
         FROM v_rollup""",
     "v_labels": """
-        SELECT feature, CAST((n - 1) // 10000 + 1 AS INT) AS accounts_part, string_agg(label, ', ' ORDER BY label) AS accounts
-        FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY label, account_name, platform_client_id) AS n
-              FROM (SELECT *, CASE WHEN platform_client_id <> '' THEN account_name || ' (' || platform_client_id || ')'
-                                   ELSE account_name END AS label FROM v_once))
-        GROUP BY ALL""",
+        SELECT feature, string_agg(label, ', ' ORDER BY label) AS accounts FROM v_labelled GROUP BY ALL""",
+    "v_labelled": """
+        SELECT *, CASE WHEN platform_client_id <> '' THEN account_name || ' (' || platform_client_id || ')'
+                       ELSE account_name END AS label FROM v_once""",
     "v_samples": """
         SELECT feature, string_agg(sample, ' | ' ORDER BY sample) AS samples
         FROM (SELECT feature, sample, row_number() OVER (PARTITION BY feature ORDER BY sample) AS n
@@ -69,10 +70,10 @@ VIEWS = {
         WITH m AS (SELECT DISTINCT supplier_id, feature, account_id, CAST(c_acctbal AS DECIMAL(18,2)) AS mrr
                    FROM v_mention JOIN customer ON account_id = c_custkey),
              a AS (SELECT supplier_id + 1 AS run_id, feature,
-                          CAST(sum(mrr) AS DECIMAL(18,2)) AS total_mrr, CAST(count(*) AS INT) AS account_count
+                          CAST(sum(mrr) AS DECIMAL(18,2)) AS total_mrr, count(*) AS account_count
                    FROM m GROUP BY supplier_id, feature)
-        SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY total_mrr DESC, feature) AS INT) AS rank,
-               feature, total_mrr, account_count, CAST(1 AS INT) AS accounts_part, account_count || ' accounts' AS accounts,
+        SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY total_mrr DESC, feature) AS rank,
+               feature, total_mrr, account_count,
                'one ' || feature || ' | two' AS sample_feedbacks, 'about ' || feature AS ai_insight
         FROM a""",
     "v_run": """
@@ -82,8 +83,8 @@ VIEWS = {
                     WHEN id % 3 = 0 THEN '{"subcategories":["src1","' || s_name || '"],"account_owners":[],"mrr_filter":"No filter","min_mrr":0.0,"top_n":0}'
                     WHEN id % 3 = 1 THEN '{"subcategories":[],"account_owners":["' || s_name || '"],"mrr_filter":"Minimum MRR","min_mrr":' || s_acctbal || ',"top_n":0}'
                     ELSE '{"subcategories":null,"account_owners":[],"mrr_filter":"Top N accounts","min_mrr":0.0,"top_n":' || id || '}' END AS filters,
-               CAST(id * 40 AS INT) AS total_feedbacks,
-               CASE WHEN s_name IS NOT NULL THEN CAST(id * 3 AS INT) END AS unique_accounts,
+               id * 40 AS total_feedbacks,
+               CASE WHEN s_name IS NOT NULL THEN id * 3 END AS unique_accounts,
                CAST(id * 1000.5 AS DECIMAL(18,2)) AS total_mrr
         FROM (SELECT s_suppkey + 1 AS id, s_name, s_acctbal FROM supplier
               UNION ALL SELECT CAST(n_nationkey + 1000001 AS BIGINT), NULL, NULL FROM nation)""",
@@ -108,17 +109,21 @@ VIEWS = {
                list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '') AS words
         FROM benchmark""",
     "v_found": """
-        SELECT DISTINCT insight_id, feature, account_name, platform_client_id, mrr, substr(feedback, 1, 200) AS sample
+        SELECT DISTINCT insight_id, feature, account_name, platform_client_id, mrr, substr(feedback, 1, 200) AS sample FROM v_found_text""",
+    "v_found_text": """
+        SELECT DISTINCT insight_id, feature, account_name, platform_client_id, mrr, feedback
         FROM v_words w JOIN v_phrase p
           ON contains(' ' || array_to_string(w.words, ' ') || ' ', ' ' || array_to_string(p.words, ' ') || ' ')""",
     # what a row of the form table says about its payload
     "v_form": """
-        SELECT l_orderkey * 10 + l_linenumber AS chunk_id, l_linenumber AS form,
+        SELECT l_orderkey * 10 + l_linenumber AS chunk_id,
+               CASE WHEN l_linenumber = 1 THEN 10 + l_orderkey % 5 ELSE l_linenumber END AS form,
                feature, account_name, platform_client_id, mrr, sample FROM v_account_mention""",
+    # a line for each window of 500 characters, 100 of them shared with the one before
     "v_chunk": """
-        SELECT insight_id, account_name, platform_client_id, feedback,
-               (row_number() OVER (ORDER BY created_at DESC, insight_id) - 1) // 250 AS chunk_id
-        FROM v_feedback WHERE feedback IS NOT NULL AND trim(feedback, E' \\t\\n\\r') <> ''""",
+        SELECT account_name, platform_client_id, (row_number() OVER (ORDER BY created_at DESC, insight_id, part) - 1) // 250 AS chunk_id
+        FROM (SELECT *, unnest(range(1, greatest(1, (length(feedback) - 100 + 399) // 400) + 1)) AS part
+              FROM v_feedback WHERE feedback IS NOT NULL AND trim(feedback, E' \\t\\n\\r') <> '')""",
 }
 
 # Likeness by brute force: all pairs of word sets that share a word, with their counts.
@@ -139,23 +144,37 @@ _LIKE = r"""
     {p}_pair AS (
         SELECT b.place, a.place AS other, count(*) AS shared, any_value(a.size) + any_value(b.size) AS sizes
         FROM {p}_token a JOIN {p}_token b ON a.word = b.word AND a.place < b.place GROUP BY ALL),
-    {p}_leader AS (
-        SELECT place, min(other) AS leader FROM {p}_pair WHERE 5 * shared >= 4 * (sizes - shared) GROUP BY place),
+    {p}_alike AS (SELECT place, other FROM {p}_pair WHERE 5 * shared >= 4 * (sizes - shared)),
+    {p}_leader AS (SELECT place, min(other) AS leader FROM {p}_alike GROUP BY place),
+    {p}_turn AS (SELECT place, row_number() OVER (ORDER BY place) AS turn FROM {p}_leader),
+    -- one after the other: into the first before it that is alike and not merged
+    {p}_greedy AS (
+        SELECT 0::BIGINT AS turn, 0::BIGINT AS place, NULL::BIGINT AS head, []::BIGINT[] AS merged
+        UNION ALL
+        SELECT turn, place, head, CASE WHEN head IS NULL THEN merged ELSE list_append(merged, place) END
+        FROM (SELECT t.turn, t.place, min(a.other) FILTER (NOT list_contains(g.merged, a.other)) AS head, any_value(g.merged) AS merged
+              FROM {p}_greedy g JOIN {p}_turn t ON t.turn = g.turn + 1 JOIN {p}_alike a ON a.place = t.place GROUP BY t.turn, t.place)),
     {p}_name AS (
         SELECT k.feature, COALESCE(h.feature, s.feature) AS merged
         FROM {p}_keyed k JOIN {p}_set s ON k.set_key = s.set_key
-        LEFT JOIN (SELECT * FROM {p}_leader WHERE leader NOT IN (SELECT place FROM {p}_leader)) l ON s.place = l.place
-        LEFT JOIN {p}_set h ON l.leader = h.place)"""
+        LEFT JOIN {p}_greedy l ON s.place = l.place
+        LEFT JOIN {p}_set h ON l.head = h.place)"""
 
 _TEXTS = "SELECT feedback AS feature, account_name, platform_client_id FROM v_words"
-_FOUND = "SELECT feature, account_name, platform_client_id FROM v_found"
+_FOUND = "SELECT feature, account_name, platform_client_id FROM f_asked"
+_SENTENCES = r"regexp_split_to_array(feedback, '[.!?…]\s+|[\r\n]+')"
+_HAS = r"regexp_matches(s, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])({})($|[^\p{{L}}\p{{M}}\p{{N}}_])', 'i')"
+_ASKS = f"len(list_filter({_SENTENCES}, lambda s: {_HAS.format('is the|une|und|los')} AND NOT {_HAS.format('on the|la')})) > 0"
+_ASKED = f"""f_asked AS (
+    SELECT DISTINCT 'topic ' || CAST(substr(feature, 6) AS INT) // 10 AS feature, account_name, platform_client_id, mrr, feedback
+    FROM v_found_text WHERE {_ASKS}),"""
 
 
 def _like(prefix: str, mentions: str) -> str:
     return _LIKE.format(p=prefix, mentions=mentions).strip()
 
 
-_RUN_COLUMNS = "run_id, rank, feature, total_mrr, account_count, accounts_part, accounts, sample_feedbacks, ai_insight"
+_RUN_COLUMNS = "run_id, rank, feature, total_mrr, account_count, sample_feedbacks, ai_insight"
 _PARSED_FILTERS = (
     """CASE WHEN filters IS NULL THEN '{"subcategories":[],"account_owners":[],"mrr_filter":"No filter","min_mrr":0.0,"top_n":0,"keyword":""}' """
     """ELSE replace(replace(filters, ':null', ':[]'), '}', ',"keyword":""}') END"""
@@ -190,9 +209,10 @@ _QUERIES: dict[str, tuple[str, str]] = {
         SELECT account_id, account_name || CASE WHEN platform_client_id = '' THEN '' ELSE ' (' || platform_client_id || ')' END AS label
         FROM v_account"""),
     "prompt_lines": ("", r"""
-        SELECT insight_id, account_name || ' | ' || platform_client_id || ' | $' || format('{:,.2f}', CAST(mrr AS DOUBLE))
-               || ' | ' || substr(feedback, 1, 500) AS line
-        FROM v_words"""),
+        SELECT insight_id, CAST(part AS INT) AS part,
+               account_name || ' | ' || platform_client_id || ' | $' || format('{:,.2f}', CAST(mrr AS DOUBLE))
+               || ' | ' || substr(feedback, (part - 1) * 400 + 1, 500) AS line
+        FROM (SELECT *, unnest(range(1, greatest(1, (length(feedback) - 100 + 399) // 400) + 1)) AS part FROM v_words)"""),
     "sample_split": ("", r"""
         SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, '|'), lambda x: trim(x, E' \t\n\r')),
                lambda x: x <> '')[1:3], '~') AS samples FROM documents"""),
@@ -202,7 +222,9 @@ _QUERIES: dict[str, tuple[str, str]] = {
     "record_type": ("", "SELECT insight_id, record_type FROM v_feedback WHERE record_type = 'Client_Feedback'"),
     "date_range": ("", """
         SELECT insight_id, created_at FROM v_feedback
-        WHERE created_at >= TIMESTAMP '2025-10-02 00:00:00' AND created_at <= TIMESTAMP '2025-10-31 23:59:59'"""),
+        WHERE created_at >= TIMESTAMP '2025-10-02 00:00:00' AND created_at <= (SELECT last FROM v_window)"""),
+    "among_owners": ("", """
+        SELECT insight_id, account_owner FROM v_feedback WHERE account_owner IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0)"""),
     "in_subcategory": ("", """
         SELECT insight_id, subcategory FROM v_feedback WHERE record_type = 'Client_Feedback'
           AND subcategory IN ('src1', 'src2', 'src3', 'src5', 'src8', 'src13')"""),
@@ -224,47 +246,55 @@ _QUERIES: dict[str, tuple[str, str]] = {
         WHERE account_name IN (SELECT account_name FROM top)
           AND regexp_matches(COALESCE(feedback, ''), '(^|[^\p{L}\p{M}\p{N}_])la($|[^\p{L}\p{M}\p{N}_])', 'i')"""),
     "scope_totals": ("", """
-        SELECT CAST(count(*) AS INT) AS total_feedbacks, CAST(count(DISTINCT account_name) AS INT) AS unique_accounts,
+        SELECT count(*) AS total_feedbacks, count(DISTINCT account_name) AS unique_accounts,
                CAST(sum(mrr) AS DECIMAL(18,2)) AS total_mrr
-        FROM v_feedback WHERE record_type = 'Client_Feedback'
-          AND created_at BETWEEN TIMESTAMP '2025-10-02 00:00:00' AND TIMESTAMP '2025-10-31 23:59:59'"""),
+        FROM v_feedback WHERE record_type = 'Client_Feedback'"""),
     "filter_options": ("", """
         SELECT DISTINCT 'subcategory' AS kind, subcategory AS value FROM v_feedback
-        WHERE record_type = 'Client_Feedback' AND subcategory <> ''
+        WHERE record_type = 'Client_Feedback' AND subcategory IS NOT NULL
         UNION ALL SELECT DISTINCT 'account_owner', account_owner FROM v_feedback
         WHERE record_type = 'Client_Feedback' AND account_owner <> ''"""),
-    "actionable": ("", r"""
-        SELECT insight_id FROM v_feedback
-        WHERE regexp_matches(COALESCE(feedback, ''), '(^|[^\p{L}\p{M}\p{N}_])(is the|une|und|los)($|[^\p{L}\p{M}\p{N}_])', 'i')
-          AND NOT regexp_matches(COALESCE(feedback, ''), '(^|[^\p{L}\p{M}\p{N}_])(on the|la)($|[^\p{L}\p{M}\p{N}_])', 'i')"""),
-    "feature_accounts": ("", "SELECT feature, accounts_part, accounts FROM v_labels"),
+    "actionable": ("", f"SELECT insight_id FROM v_feedback WHERE {_ASKS}"),
+    "actionable_default": ("", r"""
+        SELECT insight_id FROM v_feedback_fact
+        WHERE doc_id % 4 IN (0, 2) OR regexp_matches(COALESCE(feedback, ''), '(^|[^\p{L}\p{M}\p{N}_])(need|needs|want|wants|would like|would love|wish|add|allow|enable|support for|integrate|integration|feature|request|requests|should be able|necesita|necesitan|necesitamos|quiere|quieren|queremos|agregar|permitir|integrar|solicita|solicitan|solicitamos|funcionalidad)($|[^\p{L}\p{M}\p{N}_])', 'i')"""),
+    "feature_accounts": ("", "SELECT feature, account_name, platform_client_id, mrr, label FROM v_labelled"),
+    "account_labels": ("", "SELECT feature, accounts FROM v_labels"),
     "feature_rollup": ("", "SELECT feature, total_mrr, account_count FROM v_rollup"),
     "feature_samples": ("", "SELECT feature, samples FROM v_samples"),
     "feature_rank": ("", "SELECT rank, feature, total_mrr, account_count FROM v_rank"),
     "ranked_features": ("", """
-        SELECT rank, feature, total_mrr, account_count, accounts_part, accounts, samples AS sample_feedbacks, ai_insight
-        FROM v_rank JOIN v_labels USING (feature) JOIN v_samples USING (feature) JOIN v_insight USING (feature)"""),
+        SELECT rank, feature, total_mrr, account_count, samples AS sample_feedbacks, ai_insight
+        FROM v_rank JOIN v_samples USING (feature) JOIN v_insight USING (feature)"""),
     "payload_parse": ("", """
         SELECT chunk_id, CASE WHEN form IN (5, 7) THEN 'failed' ELSE 'ok' END AS status,
                CAST(CASE WHEN form IN (4, 5, 7) THEN 0 ELSE 1 END AS INT) AS feature_count,
-               CASE WHEN form IN (1, 2, 3) THEN feature WHEN form = 6 THEN 'Unknown' END AS first_feature
+               CASE WHEN form IN (2, 3) OR form >= 10 THEN feature WHEN form = 6 THEN 'Unknown' END AS first_feature
         FROM v_form"""),
     "payload_explode": ("", """
-        SELECT chunk_id, feature, account_name, platform_client_id, mrr, CAST(NULL AS VARCHAR) AS sample FROM v_form WHERE form IN (1, 2, 3)
-        UNION ALL SELECT chunk_id, feature, NULL, NULL, NULL, sample FROM v_form WHERE form IN (1, 2, 3)
-        UNION ALL SELECT chunk_id, 'Unknown', account_name, '', CAST(0 AS DECIMAL(18,2)), NULL FROM v_form WHERE form = 6"""),
+        SELECT chunk_id, feature, account_name, CASE WHEN form = 13 THEN '' ELSE platform_client_id END AS platform_client_id,
+               CASE WHEN form IN (12, 13) THEN CAST(0 AS DECIMAL(18,2)) ELSE mrr END AS mrr, CAST(NULL AS VARCHAR) AS sample,
+               CASE WHEN form = 14 THEN 'because ' || feature END AS insight
+        FROM v_form WHERE form IN (2, 3) OR form >= 10
+        UNION ALL SELECT chunk_id, feature, NULL, NULL, NULL, sample, CASE WHEN form = 14 THEN 'because ' || feature END
+        FROM v_form WHERE form IN (2, 3) OR form >= 10
+        UNION ALL SELECT chunk_id, 'Unknown', account_name, '', CAST(0 AS DECIMAL(18,2)), NULL, NULL FROM v_form WHERE form = 6"""),
     "payload_defaults": ("", """
         SELECT chunk_id, CASE WHEN form = 6 THEN 'Unknown' ELSE feature END AS feature, CAST(0 AS DOUBLE) AS total_mrr,
-               CAST(1 AS INT) AS account_count, '' AS insight
-        FROM v_form WHERE form IN (1, 2, 3, 6)"""),
+               CAST(1 AS BIGINT) AS account_count, CASE WHEN form = 14 THEN 'because ' || feature ELSE '' END AS insight
+        FROM v_form WHERE form IN (2, 3, 6) OR form >= 10"""),
     "chunk_status": ("", """
-        SELECT status, count(*) AS chunks, CAST(sum(count(*)) OVER () AS BIGINT) AS total_chunks,
+        SELECT status, count(*) AS chunks, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(count(*)) OVER () AS BIGINT) AS total_chunks,
                CAST(floor(100 * count(*) / sum(count(*)) OVER ()) AS INT) AS percent
-        FROM (SELECT CASE WHEN form IN (5, 7) THEN 'failed' ELSE 'ok' END AS status FROM v_form) GROUP BY status"""),
+        FROM (SELECT CASE WHEN form IN (5, 7) THEN 'failed' ELSE 'ok' END AS status, CASE WHEN form = 13 THEN 2 ELSE 0 END AS skipped
+              FROM v_form) GROUP BY status"""),
     "chunk_assign": ("", """
         SELECT insight_id, CAST((row_number() OVER (ORDER BY created_at DESC, insight_id) - 1) // 250 AS BIGINT) AS chunk_id
         FROM v_feedback"""),
     "extract_mentions": ("", "SELECT insight_id, feature, account_name, platform_client_id, mrr, sample FROM v_found"),
+    "extract_late_phrase": ("", """
+        SELECT 'late' AS feature, 'found' AS account_name, count(*) AS texts FROM v_feedback WHERE doc_id % 5 = 0
+        HAVING count(*) > 0"""),
     "extract_plugin": ("", r"""
         SELECT c.chunk_id, 'listed' AS feature, l.account_name, l.platform_client_id
         FROM (SELECT DISTINCT chunk_id FROM v_chunk) c
@@ -281,18 +311,15 @@ _QUERIES: dict[str, tuple[str, str]] = {
     "merge_features": (_like("t", _TEXTS), """
         SELECT md5(merged) AS feature, account_name, mrr, substr(feedback, 1, 200) AS sample
         FROM v_words JOIN t_name ON feedback = t_name.feature"""),
-    "analyze": (_like("f", _FOUND) + """,
-    m AS (SELECT merged AS feature, account_name, platform_client_id, mrr, sample FROM v_found JOIN f_name USING (feature)),
+    "analyze": (_ASKED + _like("f", _FOUND) + """,
+    m AS (SELECT merged AS feature, account_name, platform_client_id, mrr, feedback FROM f_asked JOIN f_name USING (feature)),
     once AS (SELECT feature, account_name, platform_client_id, max(mrr) AS mrr FROM m GROUP BY ALL),
-    r AS (SELECT feature, CAST(sum(mrr) AS DECIMAL(18,2)) AS total_mrr, CAST(count(*) AS INT) AS account_count,
-                 string_agg(label, ', ' ORDER BY label) AS accounts
-          FROM (SELECT *, CASE WHEN platform_client_id <> '' THEN account_name || ' (' || platform_client_id || ')'
-                               ELSE account_name END AS label FROM once) GROUP BY feature),
+    r AS (SELECT feature, CAST(sum(mrr) AS DECIMAL(18,2)) AS total_mrr, count(*) AS account_count FROM once GROUP BY feature),
     s AS (SELECT feature, string_agg(sample, ' | ' ORDER BY sample) AS sample_feedbacks
           FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY sample) AS n
-                FROM (SELECT DISTINCT feature, sample FROM m)) WHERE n <= 3 GROUP BY feature),
-    k AS (SELECT *, CAST(row_number() OVER (ORDER BY total_mrr DESC, feature) AS INT) AS rank FROM r)""", """
-        SELECT rank, feature, total_mrr, account_count, CAST(1 AS INT) AS accounts_part, accounts, sample_feedbacks,
+                FROM (SELECT feature, substr(feedback, 1, 200) AS sample FROM (SELECT DISTINCT feature, feedback FROM m))) WHERE n <= 3 GROUP BY feature),
+    k AS (SELECT *, row_number() OVER (ORDER BY total_mrr DESC, feature) AS rank FROM r)""", """
+        SELECT rank, feature, total_mrr, account_count, sample_feedbacks,
                account_count || CASE WHEN account_count = 1 THEN ' account with $' ELSE ' accounts with $' END
                || format('{:,.2f}', CAST(total_mrr AS DOUBLE)) || ' of monthly recurring revenue asked for this. Place '
                || rank || ' by revenue, priority '
@@ -300,13 +327,13 @@ _QUERIES: dict[str, tuple[str, str]] = {
         FROM k JOIN s USING (feature)"""),
     "run_header": ("", """
         SELECT CAST(1 AS BIGINT) AS id, TIMESTAMP '2025-12-01 00:00:00' AS created_at,
-               '2025-10-02' AS start_date, '2025-10-31' AS end_date,
+               CAST(NULL AS VARCHAR) AS start_date, CAST(NULL AS VARCHAR) AS end_date,
                '{"subcategories":["src1","src2","src3","src5","src8","src13"],"account_owners":['
                || (SELECT string_agg('"NATION_' || n || '"', ',' ORDER BY n) FROM range(2, 20) r(n))
                || '],"mrr_filter":"No filter","min_mrr":0.0,"top_n":0,"keyword":""}' AS filters,
-               CAST(count(*) AS INT) AS total_feedbacks, CAST(count(DISTINCT account_name) AS INT) AS unique_accounts,
+               count(*) AS total_feedbacks, count(DISTINCT account_name) AS unique_accounts,
                CAST(COALESCE(sum(mrr), 0) AS DECIMAL(18,2)) AS total_mrr
-        FROM v_scope"""),
+        FROM v_feedback WHERE record_type = 'Client_Feedback'"""),
     "filters_json": ("", f"SELECT id, {_PARSED_FILTERS} AS filters FROM v_run"),
     "filters_parse": ("", "SELECT id, subcategories, account_owners, mrr_filter, min_mrr, top_n FROM v_filters"),
     "filter_tags": ("", "SELECT id, tags FROM v_tags"),
@@ -315,13 +342,14 @@ _QUERIES: dict[str, tuple[str, str]] = {
                CAST(unique_accounts AS VARCHAR) AS unique_accounts, total_mrr FROM v_run"""),
     "run_features": ("", f"SELECT {_RUN_COLUMNS} FROM v_run_feature WHERE run_id = 7"),
     "save_roundtrip": ("", """
-        SELECT CAST(1 AS BIGINT) AS run_id, rank, feature, total_mrr, account_count, samples AS sample_feedbacks
-        FROM v_rank JOIN v_labels USING (feature) JOIN v_samples USING (feature)"""),
+        SELECT run_id, rank, feature, total_mrr, account_count, samples AS sample_feedbacks,
+               CASE WHEN run_id = 1 THEN account_count ELSE 0 END AS saved_accounts
+        FROM v_rank JOIN v_samples USING (feature), (SELECT unnest([1, 3])::BIGINT AS run_id)"""),
     "cascade_delete": ("", """
         SELECT h.id, COALESCE(f.features, 0) AS features FROM (SELECT id FROM v_run WHERE COALESCE(filters, '') NOT LIKE '%Top N%') h
         LEFT JOIN (SELECT run_id, count(*) AS features FROM v_run_feature GROUP BY run_id) f ON h.id = f.run_id"""),
     "history_cards": ("""
-    n AS (SELECT run_id, CAST(count(*) AS INT) AS feature_count FROM v_run_feature GROUP BY run_id),
+    n AS (SELECT run_id, count(*) AS feature_count FROM v_run_feature GROUP BY run_id),
     top AS (SELECT run_id, string_agg('#' || rank || ' ' || feature || ' $' || format('{:,.2f}', CAST(total_mrr AS DOUBLE))
                    || ' ' || account_count || ' accounts', '; ' ORDER BY rank) AS top_features
             FROM v_run_feature WHERE rank <= 3 GROUP BY run_id)""", """
@@ -329,14 +357,19 @@ _QUERIES: dict[str, tuple[str, str]] = {
                COALESCE(CAST(unique_accounts AS VARCHAR), '-') AS unique_accounts,
                '$' || format('{:,.0f}', CAST(total_mrr AS DOUBLE)) AS mrr_in_scope, tags,
                COALESCE(feature_count, 0) AS feature_count, COALESCE(top_features, '') AS top_features,
-               CAST(greatest(COALESCE(feature_count, 0) - 3, 0) AS INT) AS more_features
+               greatest(COALESCE(feature_count, 0) - 3, 0) AS more_features
         FROM v_run JOIN v_tags USING (id) LEFT JOIN n ON id = n.run_id LEFT JOIN top ON id = top.run_id"""),
     "history_top3": ("", "SELECT run_id, rank, feature, total_mrr, account_count FROM v_run_feature WHERE rank <= 3"),
     "history_detail": ("", f"SELECT created_at, {_RUN_COLUMNS} FROM v_run_feature JOIN (SELECT id, created_at FROM v_run) ON run_id = id"),
     "csv_roundtrip": ("", """
-        SELECT insight_id, created_at, subcategory, feedback, created_by, NULLIF(account_name, '') AS account_name,
-               NULLIF(account_owner, '') AS account_owner, NULLIF(platform_client_id, '') AS platform_client_id, mrr, tpv
+        SELECT insight_id AS "CS Insight ID", created_at AS "Date", subcategory AS "Subcategory", feedback AS "Feedback",
+               created_by AS "Created By", NULLIF(account_name, '') AS "Account Name", NULLIF(account_owner, '') AS "Account Owner",
+               NULLIF(platform_client_id, '') AS "Platform Client ID", mrr AS "Real MRR Last Month", tpv AS "Last Invoiced TPV"
         FROM v_feedback"""),
+    "csv_features": ("", """
+        SELECT feature AS "Feature", total_mrr AS "Total MRR", account_count AS "Account Count", accounts AS "Accounts",
+               samples AS "Sample Feedbacks", ai_insight AS "AI Insight"
+        FROM v_rank JOIN v_labels USING (feature) JOIN v_samples USING (feature) JOIN v_insight USING (feature)"""),
 }
 
 
@@ -354,5 +387,5 @@ def oracle_sql() -> dict[str, str]:
         views: list[str] = []
         _needed(ctes + select, views)
         parts = [f"{name} AS ({VIEWS[name].strip()})" for name in views] + ([ctes.strip()] if ctes else [])
-        out[key] = (f"WITH {',\n'.join(parts)}\n" if parts else "") + select.strip()
+        out[key] = (f"WITH RECURSIVE {',\n'.join(parts)}\n" if parts else "") + select.strip()
     return out

@@ -13,24 +13,28 @@ from feedback_rank.functions import columns as C
 from feedback_rank.functions.text import is_actionable
 from feedback_rank.operators import extract, merge, payload, rollup, scope
 from feedback_rank.plans import analyze, history
-from feedback_rank.session import scratch_path
+from feedback_rank.session import checkpointed, scratch_path
 from feedback_rank.sinks import csv as csv_sink
 from feedback_rank.sinks import history as saved
 from feedback_rank.sources import feedback as source
 from feedback_rank.sources import history as stored
 from feedback_rank.spec import MINIMUM_MRR, TOP_N_ACCOUNTS, RunSpec
 
-OCTOBER = RunSpec(start_date=date(2025, 10, 2), end_date=date(2025, 10, 31))
+EVERYTHING = RunSpec()
+START = date(2025, 10, 2)
 CATEGORIES = tuple(f"src{n}" for n in (1, 2, 3, 5, 8, 13))
 OWNERS = tuple(f"NATION_{n}" for n in range(2, 20))
-FULL = RunSpec(date(2025, 10, 2), date(2025, 10, 31), CATEGORIES, OWNERS)
-TOP = RunSpec(date(2025, 10, 2), date(2025, 10, 31), CATEGORIES, OWNERS, TOP_N_ACCOUNTS, 0.0, 25, " la ")
 MINIMUM = RunSpec(mrr_filter=MINIMUM_MRR, min_mrr=1000.0)
 CUES, NO_CUES = ("is the", "une", "und", "los"), ("on the", "la")
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
+def full(t: Tables, **more) -> RunSpec:
+    """Some categories and owners of the first three quarters of all feedback."""
+    return RunSpec(START, t.window_end(), CATEGORIES, OWNERS, **more)
+
+
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -50,7 +54,7 @@ def day(name: str):
 
 @query
 def feedback_scan(t):
-    return source.read_feedback(t.feedback_fact(), t.account(), FULL)
+    return source.read_feedback(t.feedback_fact(), t.account(), full(t))
 
 
 @query
@@ -116,7 +120,7 @@ def account_label(t):
 
 @query
 def prompt_lines(t):
-    return extract.prompt_lines(t.feedback()).select("insight_id", "line")
+    return extract.prompt_lines(t.feedback()).select("insight_id", "part", "line")
 
 
 @query
@@ -150,7 +154,7 @@ def record_type(t):
 @query
 def date_range(t):
     feedback = t.feedback()
-    for condition in scope.created_between(feedback, OCTOBER):
+    for condition in scope.created_between(feedback, RunSpec(START, t.window_end())):
         feedback = feedback.where(condition)
     return feedback.select("insight_id", "created_at")
 
@@ -174,7 +178,7 @@ def in_owner(t):
 @query
 def conjunction(t):
     feedback = t.feedback()
-    return feedback.where(scope.source_conditions(FULL, feedback)).select("insight_id")
+    return feedback.where(scope.source_conditions(full(t), feedback)).select("insight_id")
 
 
 @query
@@ -199,14 +203,22 @@ def nonblank(t):
 
 @query
 def scope_all(t):
-    found = source.read_feedback(t.feedback_fact(), t.account(), TOP, newest_first=False)
-    return scope.scope(found, TOP).select("insight_id", "account_name", "mrr", "created_at")
+    spec = full(t, mrr_filter=TOP_N_ACCOUNTS, top_n=25, keyword=" la ")
+    found = source.read_feedback(t.feedback_fact(), t.account(), spec, newest_first=False)
+    return scope.scope(found, spec).select("insight_id", "account_name", "mrr", "created_at")
 
 
 @query
 def scope_totals(t):
-    found = source.read_feedback(t.feedback_fact(), t.account(), OCTOBER, newest_first=False)
-    return scope.scope_totals(scope.scope(found, OCTOBER))
+    found = source.read_feedback(t.feedback_fact(), t.account(), EVERYTHING, newest_first=False)
+    return scope.scope_totals(scope.scope(found, EVERYTHING))
+
+
+@query
+def among_owners(t):
+    """The owners as a table, for lists too long for a condition."""
+    owners = t.read("nation").where("n_nationkey % 3 = 0").select("n_name")
+    return scope.among(t.feedback(), "account_owner", owners).select("insight_id", "account_owner")
 
 
 @query
@@ -219,12 +231,22 @@ def actionable(t):
     return t.feedback().where(is_actionable(F.col("feedback"), CUES, NO_CUES)).select("insight_id")
 
 
+@query
+def actionable_default(t):
+    return t.letter().where(is_actionable(F.col("feedback"))).select("insight_id")
+
+
 # --- mentions to ranked features -------------------------------------------------
 
 
 @query
 def feature_accounts(t):
-    return rollup.feature_account_labels(t.account_mention())
+    return rollup.feature_accounts(t.account_mention())
+
+
+@query
+def account_labels(t):
+    return rollup.joined_labels(rollup.feature_accounts(t.account_mention()))
 
 
 @query
@@ -285,7 +307,21 @@ def chunk_assign(t):
 
 @query
 def extract_mentions(t):
-    return extract.extract_mentions(t.spread(t.feedback()), t.phrase())
+    return extract.extract_mentions(t.spread(t.feedback()), t.phrase()).drop("sample_key")
+
+
+@query
+def extract_late_phrase(t):
+    """The plug-in finds phrases that stand beyond the first window of a text."""
+    def marked(lines: str) -> str:
+        import json
+
+        return json.dumps({"features": [{"feature": "late", "accounts": ["found"] * lines.count("zz marker zz")}]})
+
+    text = F.concat(F.rpad(F.coalesce("feedback", F.lit("x")), 620, "x"), F.lit(" zz marker zz"))
+    late = t.feedback().withColumn("feedback", F.when(F.col("doc_id") % 5 == 0, text).otherwise(F.lit("short")))
+    chunks = extract.extract_plugin(late, marked)
+    return payload.payload_mentions(payload.parse_payload(chunks)).groupBy("feature", "account_name").agg(F.count("*").alias("texts"))
 
 
 @query
@@ -324,7 +360,7 @@ def merge_features(t):
 
 @query
 def analyze_all(t):
-    return analyze.analyze(t.spread(t.feedback()), t.phrase())
+    return analyze.analyze(t.spread(t.feedback()), t.phrase(), t.topic(), CUES, support_cues=NO_CUES)
 
 
 # --- runs, history, exports ------------------------------------------------------
@@ -332,8 +368,9 @@ def analyze_all(t):
 
 @query
 def run_header(t):
-    found = source.read_feedback(t.feedback_fact(), t.account(), FULL, newest_first=False)
-    header = saved.run_header(FULL, scope.scope_totals(scope.scope(found, FULL)), 1, F.lit("2025-12-01T00:00:00Z").cast("timestamp"))
+    spec = RunSpec(subcategories=CATEGORIES, account_owners=OWNERS)
+    found = source.read_feedback(t.feedback_fact(), t.account(), EVERYTHING, newest_first=False)
+    header = saved.run_header(spec, scope.scope_totals(found), 1, F.lit("2025-12-01T00:00:00Z").cast("timestamp"))
     return header.select(
         "id", naive("created_at"), day("start_date"), day("end_date"), "filters",
         "total_feedbacks", "unique_accounts", "total_mrr",
@@ -372,15 +409,30 @@ def history_runs(t):
 @query
 def run_features(t):
     path = scratch_path(t.spark, "run-features")
-    saved.save_features(t.run_feature(), path)
+    features = t.run_feature()
+    saved.save_features(features, path)
+    saved.save_headers(t.run(), path)
+    # written by a save that never came to its header
+    saved.save_features(features.withColumn("feature", F.lit("unfinished")), path, "1")
     return stored.load_run_features(t.spark, path, 7)
 
 
 @query
 def save_roundtrip(t):
     path = scratch_path(t.spark, "save-roundtrip")
-    run_id = saved.save_run(FULL, scope.scope_totals(t.feedback()), rollup.rank_features(t.account_mention()), path)
-    return stored.load_run_features(t.spark, path, run_id).select("run_id", "rank", "feature", "total_mrr", "account_count", "sample_feedbacks")
+    mentions = t.account_mention()
+    totals, accounts = scope.scope_totals(t.feedback()), rollup.feature_accounts(mentions)
+    ranked = checkpointed(rollup.rank_features(mentions))
+    for run_id, table in ((1, ranked), (2, ranked), (2, ranked.limit(0)), (3, ranked)):
+        saved.save_run(EVERYTHING, totals, table, path, run_id, accounts=accounts)
+    saved.delete_runs(t.spark.range(3, 4).select(F.col("id").alias("run_id")), path)
+    saved.save_run(EVERYTHING, totals, ranked, path, 3)
+    saved.purge(t.spark, path)
+    features, of_run = stored.load_features(t.spark, path), stored.load_accounts(t.spark, path)
+    counts = of_run.groupBy("run_id", "feature").agg(F.count("*").alias("saved_accounts"))
+    return features.join(counts, ["run_id", "feature"], "left").select(
+        "run_id", "rank", "feature", "total_mrr", "account_count", "sample_feedbacks", F.coalesce("saved_accounts", F.lit(0)).alias("saved_accounts")
+    )
 
 
 @query
@@ -390,6 +442,7 @@ def cascade_delete(t):
     saved.save_features(t.run_feature(), path)
     saved.save_headers(runs, path)
     saved.delete_runs(runs.where(F.col("filters").contains("Top N")).select(F.col("id").alias("run_id")), path)
+    saved.purge(t.spark, path)
     left = stored.load_features(t.spark, path).groupBy("run_id").agg(F.count("*").alias("features"))
     heads = stored.load_runs(t.spark, path).select("id")
     # a feature without its run would show as run -1
@@ -422,10 +475,20 @@ def history_detail(t):
 
 @query
 def csv_roundtrip(t):
-    columns = t.feedback().drop("doc_id", "record_type")
-    path = f"{scratch_path(t.spark, 'csv')}/{csv_sink.export_name(csv_sink.RAW_EXPORT, OCTOBER)}"
-    csv_sink.write_csv(columns, path)
-    return csv_sink.read_csv(t.spark, path, columns.schema)
+    return through_csv(t, csv_sink.export_table(t.feedback(), csv_sink.RAW_EXPORT), csv_sink.RAW_EXPORT)
+
+
+@query
+def csv_features(t):
+    mentions = t.account_mention()
+    ranked = rollup.with_labels(rollup.rank_features(mentions), rollup.feature_accounts(mentions))
+    return through_csv(t, csv_sink.export_table(ranked, csv_sink.FEATURE_EXPORT), csv_sink.FEATURE_EXPORT)
+
+
+def through_csv(t, table, kind):
+    path = f"{scratch_path(t.spark, 'csv')}/{csv_sink.export_name(kind, RunSpec(START, t.window_end()))}"
+    csv_sink.write_csv(table, path)
+    return csv_sink.read_csv(t.spark, path, table.schema)
 
 
 # names that are also modules or builtins here

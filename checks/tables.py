@@ -129,13 +129,11 @@ class Tables:
         totals = (
             self.mention().join(account, "account_id").select("supplier_id", "feature", "account_id", "mrr").distinct()
             .groupBy((F.col("supplier_id") + 1).alias("run_id"), "feature")
-            .agg(F.sum("mrr").cast(MONEY).alias("total_mrr"), F.count("*").cast("int").alias("account_count"))
+            .agg(F.sum("mrr").cast(MONEY).alias("total_mrr"), F.count("*").alias("account_count"))
         )
         by_mrr = Window.partitionBy("run_id").orderBy(F.desc("total_mrr"), "feature")
         return totals.select(
-            "run_id", F.row_number().over(by_mrr).cast("int").alias("rank"), "feature", "total_mrr", "account_count",
-            F.lit(1).alias("accounts_part"),
-            F.concat(F.col("account_count").cast("string"), F.lit(" accounts")).alias("accounts"),
+            "run_id", F.row_number().over(by_mrr).cast("long").alias("rank"), "feature", "total_mrr", "account_count",
             F.concat(F.lit("one "), F.col("feature"), F.lit(" | two")).alias("sample_feedbacks"),
             F.concat(F.lit("about "), F.col("feature")).alias("ai_insight"),
         )
@@ -159,8 +157,8 @@ class Tables:
             F.lit("2025-10-01").cast("date").alias("start_date"),
             F.lit("2025-12-30").cast("date").alias("end_date"),
             F.when(name.isNotNull(), filters).alias("filters"),
-            (key * 40).cast("int").alias("total_feedbacks"),
-            F.when(name.isNotNull(), (key * 3).cast("int")).alias("unique_accounts"),
+            (key * 40).alias("total_feedbacks"),
+            F.when(name.isNotNull(), key * 3).alias("unique_accounts"),
             (key * F.lit(1000.5)).cast(MONEY).alias("total_mrr"),
         )
 
@@ -176,8 +174,31 @@ class Tables:
         heads = names.groupBy("noun").agg(F.min("p_name").alias("canonical"))
         return names.join(heads, "noun").select(F.upper("p_name").alias("phrase"), "canonical")
 
+    def topic(self) -> DataFrame:
+        """Ten benchmark items each are one topic."""
+        item = F.col("item_id")
+        return self.read("benchmark").select(
+            F.concat(F.lit("ITEM, "), item.cast("string")).alias("phrase"), F.concat(F.lit("topic "), F.floor(item / 10).cast("string")).alias("canonical")
+        )
+
+    def letter(self) -> DataFrame:
+        """Feedback with a request, a support case, one of each, or nothing more at its end."""
+        doc = F.col("doc_id")
+        end = (
+            F.when(doc % 4 == 0, F.lit(". In my case we need ACH payouts.")).when(doc % 4 == 1, F.lit(". I was locked out and need help."))
+            .when(doc % 4 == 2, F.lit(". En mi caso, locked out! Queremos exportar")).otherwise(F.lit(""))
+        )
+        return self.feedback_fact().select("insight_id", F.concat(F.coalesce("feedback", F.lit("")), end).alias("feedback"))
+
+    def window_end(self):
+        """The last day of a window over the first three quarters of all feedback."""
+        from datetime import date, timedelta
+
+        last = self.read("documents").agg(F.max("doc_id")).first()[0] or 0
+        return date(2025, 10, 1) + timedelta(days=last * 3 // 96)
+
     def payload(self) -> DataFrame:
-        """A payload text per order line, in the seven forms a payload may have."""
+        """A payload text per order line, in the forms a payload may have."""
         account = self.account().select("account_id", "account_name", "platform_client_id", "mrr")
         feature = F.struct(
             "feature",
@@ -190,8 +211,15 @@ class Tables:
         partial = F.to_json(F.struct(F.array(
             F.struct(F.array(F.struct(F.col("account_name").alias("name"))).alias("accounts"))
         ).alias("features")))
+        named = F.to_json(F.struct("feature", F.array("account_name").alias("accounts"), F.array("sample").alias("sample_feedbacks")))
+        told = F.to_json(F.struct(F.array(feature.withField("insight", F.concat(F.lit("because "), F.col("feature")))).alias("features")))
+        kind = F.when(F.col("l_linenumber") == 1, F.col("l_orderkey") % 5)
         forms = (
-            F.when(F.col("l_linenumber") == 1, one)
+            F.when(kind == 1, F.concat(F.lit('{"features": [], '), F.substring(one, 2, 1_000_000)))
+            .when(kind == 2, F.regexp_replace(one, '"mrr":[-0-9.E]+', '"mrr": NaN'))
+            .when(kind == 3, F.concat(F.lit('{"features": [12, '), F.replace(named, F.lit('"accounts":['), F.lit('"accounts":[7,')), F.lit("]}")))
+            .when(kind == 4, told)
+            .when(F.col("l_linenumber") == 1, one)
             .when(F.col("l_linenumber") == 2, F.concat(F.lit("```json\n"), one, F.lit("\n```")))
             .when(F.col("l_linenumber") == 3, F.to_json(F.array(feature)))
             .when(F.col("l_linenumber") == 4, F.lit('"nothing found"'))

@@ -12,6 +12,7 @@ from feedback_rank.spec import MINIMUM_MRR, NO_FILTER, TOP_N_ACCOUNTS, RunSpec
 
 # Fixed values of the text formats.
 PROMPT_TEXT_LENGTH = 500
+PROMPT_OVERLAP = 100  # our own: characters that a line shares with the one before of the same text
 SAMPLE_LENGTH = 200
 SAMPLES_KEPT = 3
 SAMPLE_SEPARATOR = " | "
@@ -96,13 +97,13 @@ def sample_split(text: Column) -> Column:
 
 
 def prompt_line(name: Column, client_id: Column, mrr: Column, feedback: Column) -> Column:
-    """``name | id | $mrr | text`` with the text cut for the model call."""
+    """``name | id | $mrr | text``."""
     return F.concat_ws(
         " | ",
         F.coalesce(name, F.lit("")),
         F.coalesce(client_id, F.lit("")),
         F.concat(F.lit("$"), money(zero_if_null(mrr), 2)),
-        truncate(F.coalesce(feedback, F.lit("")), PROMPT_TEXT_LENGTH),
+        F.coalesce(feedback, F.lit("")),
     )
 
 

@@ -23,10 +23,13 @@ REQUEST_CUES = (
 
 # Words of a support case, which is no request for the product.
 SUPPORT_CUES = (
-    "reset my password", "locked out", "ticket number", "my case",
-    "restablecer mi contraseña", "número de ticket", "mi caso",
+    "reset my password", "locked out", "ticket number", "status of my case",
+    "restablecer mi contraseña", "número de ticket", "estado de mi caso",
 )
 
+# What ends a sentence: a mark with blanks after it, or a line break.
+SENTENCE_END = r"(?<=[.!?…])\s+|[\r\n]+"
+
 
 def words(col: Column) -> Column:
     """Lower-case words in order, without empty ones."""
@@ -46,5 +49,10 @@ def is_actionable(
     request_cues: Sequence[str] = REQUEST_CUES,
     support_cues: Sequence[str] = SUPPORT_CUES,
 ) -> Column:
-    """True if the text asks for something and is no support case."""
-    return any_phrase(col, request_cues) & ~any_phrase(col, support_cues)
+    """True if a sentence of the text asks for something and is no support case."""
+    asks = F.exists(
+        F.split(F.coalesce(col, F.lit("")), SENTENCE_END),
+        lambda sentence: any_phrase(sentence, request_cues) & ~any_phrase(sentence, support_cues),
+    )
+    # most texts ask for nothing, and are not taken apart
+    return any_phrase(col, request_cues) & asks

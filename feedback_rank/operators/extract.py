@@ -15,24 +15,23 @@ from feedback_rank.operators.numbering import number_rows
 CHUNK_SIZE = 250  # fixed value: texts per call
 RETRY_WAITS = (30, 60)  # fixed values: seconds before the second and third try
 GRAM_WORDS = 4
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _grams(tokens: Column, length: int) -> Column:
-    """Every run of ``length`` words with its place, from 1."""
+    """The hash of every run of ``length`` words, with its place, from 1."""
     starts = F.sequence(F.lit(1), F.size(tokens) - length + 1)
     found = F.transform(starts, lambda at: F.struct(
-        at.alias("at"), F.array_join(F.slice(tokens, at, length), " ").alias("gram")
+        at.alias("at"), F.xxhash64(F.lit(length), F.slice(tokens, at, length)).alias("gram")
     ))
-    none = F.array().cast("array<struct<at:int,gram:string>>")
+    none = F.array().cast("array<struct<at:int,gram:bigint>>")
     return F.when(F.size(tokens) >= length, found).otherwise(none)
 
 
 def phrase_keys(phrases: DataFrame) -> DataFrame:
     """(feature, phrase) to (feature, phrase_words, gram, gram_words, gram_at).
 
-    The key of a phrase is its run of words (at most four) that the fewest other
-    phrases hold, so that a common opening does not put all phrases on one key.
+    The key of a phrase is the hash of its run of words (at most four) that the fewest
+    other phrases hold, so that a common opening does not put all phrases on one key.
     """
     split = (
         phrases.select("feature", words(F.col("phrase")).alias("phrase_words"))
@@ -40,7 +39,7 @@ def phrase_keys(phrases: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("gram_words", F.least(F.size("phrase_words"), F.lit(GRAM_WORDS)))
     )
-    by_length = F.lit(None).cast("array<struct<at:int,gram:string>>")
+    by_length = F.lit(None).cast("array<struct<at:int,gram:bigint>>")
     for length in range(1, GRAM_WORDS + 1):
         by_length = F.when(F.col("gram_words") == length, _grams(F.col("phrase_words"), length)).otherwise(by_length)
     grams = split.select("feature", "phrase_words", "gram_words", F.inline(by_length).alias("gram_at", "gram"))
@@ -54,39 +53,38 @@ def phrase_keys(phrases: DataFrame) -> DataFrame:
     )
 
 
-def extract_mentions(feedback: DataFrame, phrases: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract_mentions(feedback: DataFrame, phrases: DataFrame) -> DataFrame:
     """A mention for each feedback text that holds a phrase of a feature, whole words only.
 
-    ``phrases`` is (feature, phrase). Each text is cut to its runs of words; these
-    meet the keys of the phrases in a hash join, and the whole phrase is checked
-    on the words around. A phrase table of a checked size is broadcast, and the
-    texts are not shuffled. A larger one is joined by key on narrow rows, and
-    only the hits go back to their texts.
+    ``phrases`` is (feature, phrase). Each text gives the hashes of its runs of words, in
+    rows of two keys, a place and a hash, however long the text is; these meet the keys of
+    the phrases in one join, which the optimizer broadcasts or sorts by what it measures.
+    Hits go back to their texts, and the whole phrase is checked on the words around. A text
+    is known by hashes of all that makes up its mention, so ids may be null or repeated.
+    Which lengths of runs the phrases need, at most four, is looked up at once.
     """
     keys = phrase_keys(phrases)
-    measured = keys.groupBy("gram_words").agg(
-        F.sum(F.octet_length("feature") + 2 * F.octet_length(F.array_join("phrase_words", " ")) + 64).alias("bytes")
-    ).collect()  # at most four rows
-    lengths = sorted(row["gram_words"] for row in measured)
-
-    texts = feedback.where(C.nonblank(F.col("feedback"))).select(
-        "insight_id", "account_name", "platform_client_id", "mrr",
-        C.truncate(F.col("feedback"), C.SAMPLE_LENGTH).alias("sample"),
-        words(F.col("feedback")).alias("_words"),
-    )
-    none = F.array().cast("array<struct<at:int,gram:string>>")
-    grams = F.inline(F.concat(none, *[_grams(F.col("_words"), n) for n in lengths])).alias("at", "gram")
-
-    if sum(row["bytes"] for row in measured) <= broadcast_bytes:
-        hits = texts.select("*", grams).join(F.broadcast(keys), "gram")
-    else:
-        found = texts.select("insight_id", grams).join(keys, "gram")
-        hits = texts.join(found, "insight_id")
+    lengths = sorted(row["gram_words"] for row in keys.select("gram_words").distinct().collect())
 
+    columns = "insight_id", "account_name", "platform_client_id", "mrr"
+    named = feedback.where(C.nonblank(F.col("feedback"))).select(
+        *columns, "feedback", F.xxhash64(F.lit(1), *columns, "feedback").alias("_key"),
+        F.xxhash64(F.lit(2), "feedback", *columns).alias("_key2"),
+    )
+    tokens = words(F.col("feedback"))
+    none = F.array().cast("array<struct<at:int,gram:bigint>>")
+    grams = named.select("_key", "_key2", tokens.alias("_words")).select(
+        "_key", "_key2", F.inline(F.concat(none, *[_grams(F.col("_words"), n) for n in lengths])).alias("at", "gram")
+    )
     start = F.col("at") - F.col("gram_at") + 1
-    whole = F.when(start >= 1, F.slice("_words", F.greatest(start, F.lit(1)), F.size("phrase_words")) == F.col("phrase_words"))
-    return hits.where(whole).select(
-        "insight_id", "feature", "account_name", "platform_client_id", "mrr", "sample"
+    hits = grams.join(keys, "gram").where(start >= 1).select("_key", "_key2", "feature", "phrase_words", start.alias("_start"))
+    texts = named.select(
+        *columns, "_key", "_key2", C.truncate(F.col("feedback"), C.SAMPLE_LENGTH).alias("sample"),
+        F.xxhash64("feedback").alias("sample_key"), tokens.alias("_words"),
+    )
+    whole = F.slice("_words", F.col("_start"), F.size("phrase_words")) == F.col("phrase_words")
+    return texts.join(hits, ["_key", "_key2"]).where(whole).select(
+        "insight_id", "feature", "account_name", "platform_client_id", "mrr", "sample", "sample_key"
     ).distinct()
 
 
@@ -110,19 +108,35 @@ def normalize_phrases(mentions: DataFrame, synonyms: DataFrame) -> DataFrame:
     )
 
 
-def assign_chunks(feedback: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
-    """Add ``chunk_id``: ``chunk_size`` rows each, newest first, all columns kept."""
-    numbered = number_rows(feedback, [F.desc("created_at"), F.col("insight_id")], name="_n")
+def assign_chunks(feedback: DataFrame, chunk_size: int = CHUNK_SIZE, then: Sequence[str] = ()) -> DataFrame:
+    """Add ``chunk_id``: ``chunk_size`` rows each, newest first, all columns kept.
+
+    Rows of one time and id are ordered by the columns ``then``. Numbers the rows at once.
+    """
+    numbered = number_rows(feedback, [F.desc("created_at"), F.col("insight_id"), *map(F.col, then)], name="_n")
     return numbered.select(*feedback.columns, F.floor((F.col("_n") - 1) / chunk_size).alias("chunk_id"))
 
 
-def prompt_lines(feedback: DataFrame) -> DataFrame:
-    """Texts that are not blank as prompt lines."""
-    return feedback.where(C.nonblank(F.col("feedback"))).select(
-        "insight_id", "created_at",
-        C.prompt_line(
-            F.col("account_name"), F.col("platform_client_id"), F.col("mrr"), F.col("feedback")
-        ).alias("line"),
+def prompt_lines(
+    feedback: DataFrame, length: int = C.PROMPT_TEXT_LENGTH, overlap: int = C.PROMPT_OVERLAP, first_only: bool = False
+) -> DataFrame:
+    """Texts that are not blank as prompt lines: (insight_id, created_at, part, line).
+
+    A text longer than ``length`` has a line for each window of so many characters, ``overlap``
+    of them shared with the window before, so all of it is seen. ``first_only`` cuts it instead.
+    """
+    if not 0 <= overlap < length:
+        raise ValueError("overlap must be at least 0 and below the length")
+    text, step = F.col("feedback"), length - overlap
+    parts = F.lit(1) if first_only else F.greatest(F.ceil((F.length(text) - overlap) / step), F.lit(1)).cast("int")
+    windows = feedback.where(C.nonblank(text)).select(
+        "insight_id", "created_at", "account_name", "platform_client_id", "mrr", "feedback",
+        F.explode(F.sequence(F.lit(1), parts)).alias("part"),
+    )
+    window = F.substring(text, (F.col("part") - 1) * step + 1, F.lit(length))
+    return windows.select(
+        "insight_id", "created_at", "part",
+        C.prompt_line(F.col("account_name"), F.col("platform_client_id"), F.col("mrr"), window).alias("line"),
     )
 
 
@@ -153,8 +167,8 @@ def extract_plugin(
 ) -> DataFrame:
     """Call ``fn`` with the prompt lines of each chunk: (chunk_id, status, error, payload).
 
-    ``fn`` takes the lines as one text and returns payload text. Chunks run in
-    parallel; a chunk whose call fails is a row with status 'failed'. Write or
+    ``fn`` takes the lines as one text and returns payload text; ``chunk_size`` counts lines,
+    of which a long text has several (see :func:`prompt_lines`). Chunks run in parallel; a chunk whose call fails is a row with status 'failed'. Write or
     checkpoint the result before using it twice, since each use calls again.
     """
     call = retrying(fn, waits, sleep)
@@ -164,13 +178,13 @@ def extract_plugin(
 
         status, error, payload = "ok", None, None
         try:
-            ordered = chunk.sort_values(["created_at", "insight_id"], ascending=[False, True])
+            ordered = chunk.sort_values(["created_at", "insight_id", "part"], ascending=[False, True, True])
             payload = call("\n".join(ordered["line"]))
         except Exception as failure:
             status, error = "failed", str(failure)
         row = {"chunk_id": [chunk["chunk_id"].iloc[0]], "status": [status], "error": [error], "payload": [payload]}
         return pd.DataFrame(row)
 
-    return assign_chunks(prompt_lines(feedback), chunk_size).groupBy("chunk_id").applyInPandas(
+    return assign_chunks(prompt_lines(feedback), chunk_size, ["part", "line"]).groupBy("chunk_id").applyInPandas(
         one_chunk, "chunk_id long, status string, error string, payload string"
     )

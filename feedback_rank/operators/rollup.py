@@ -1,11 +1,14 @@
 """Mentions to ranked features.
 
-A mention is (feature, account_name, platform_client_id, mrr, sample). A row may
-carry an account, a sample, or both; a null account name counts as no account.
+A mention is (feature, account_name, platform_client_id, mrr, sample), and may have a
+sample_key, which tells the whole texts of cut samples apart, and an insight of its own. A row
+may carry an account, a sample, or both; a null account name counts as no account.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +16,6 @@ from feedback_rank.functions import columns as C
 from feedback_rank.operators.numbering import number_rows
 from feedback_rank.schemas import MONEY
 
-# Account labels joined into one text; a feature with more gets more rows.
-LABELS_PER_ROW = 10_000
-
-
 def _once(mentions: DataFrame) -> DataFrame:
     """Each account once per feature, with its highest revenue; a missing id is an empty one."""
     client_id = F.coalesce("platform_client_id", F.lit("")).alias("platform_client_id")
@@ -24,8 +23,25 @@ def _once(mentions: DataFrame) -> DataFrame:
 
 
 def feature_accounts(mentions: DataFrame) -> DataFrame:
-    """The accounts of each feature, one row each."""
-    return _once(mentions.where(F.col("account_name").isNotNull()))
+    """The accounts of each feature, one row each, with their labels: the child table of the ranked one."""
+    label = C.account_label(F.col("account_name"), F.col("platform_client_id"))
+    return _once(mentions.where(F.col("account_name").isNotNull())).withColumn("label", label)
+
+
+def joined_labels(accounts: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """The labels of :func:`feature_accounts` as one text for each feature.
+
+    For a page or an export: the text of a feature is as long as the list of its accounts.
+    """
+    return accounts.groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list("label")), C.LABEL_SEPARATOR).alias("accounts")
+    )
+
+
+def with_labels(ranked: DataFrame, accounts: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """The ranked table with the joined labels of its accounts, '' where it has none."""
+    joined = ranked.join(joined_labels(accounts, keys), list(keys), "left")
+    return joined.select(*ranked.columns, F.coalesce("accounts", F.lit("")).alias("accounts"))
 
 
 def feature_rollup(mentions: DataFrame) -> DataFrame:
@@ -40,14 +56,16 @@ def feature_rollup(mentions: DataFrame) -> DataFrame:
 def feature_samples(mentions: DataFrame) -> DataFrame:
     """The first three distinct samples per feature, by text, each cut to 200 characters.
 
-    The window filter is a group limit, so each task sends three rows per feature.
+    Samples are distinct by their whole text. The window filter is a group limit, so each
+    task sends three rows per feature.
     """
+    key = F.col("sample_key") if "sample_key" in mentions.columns else F.xxhash64("sample")
     distinct = (
         mentions.where(C.nonblank(F.col("sample")))
-        .select("feature", C.truncate(F.col("sample"), C.SAMPLE_LENGTH).alias("sample"))
+        .select("feature", C.truncate(F.col("sample"), C.SAMPLE_LENGTH).alias("sample"), key.alias("_key"))
         .distinct()
     )
-    first = Window.partitionBy("feature").orderBy("sample")
+    first = Window.partitionBy("feature").orderBy("sample", "_key")
     return (
         distinct.withColumn("_n", F.row_number().over(first))
         .where(F.col("_n") <= C.SAMPLES_KEPT)
@@ -56,46 +74,16 @@ def feature_samples(mentions: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_accounts(mentions: DataFrame) -> DataFrame:
-    """Each account once per feature, numbered by label; rows without an account come last."""
-    label = C.account_label(F.col("account_name"), F.col("platform_client_id"))
-    labels = _once(mentions).select(
-        "feature", F.col("account_name").isNotNull().alias("named"), label.alias("label"), "mrr",
-        "account_name", "platform_client_id",
-    )
-    order = [F.desc("named"), F.col("label"), F.col("account_name"), F.col("platform_client_id")]
-    return number_rows(labels, order, groups=["feature"], name="_n")
-
-
-def _joined_labels(numbered: DataFrame, per_row: int) -> DataFrame:
-    part = (F.floor((F.col("_n") - 1) / per_row) + 1).cast("int")
-    return (
-        numbered.where("named").groupBy("feature", part.alias("accounts_part"))
-        .agg(F.array_sort(F.collect_list("label")).alias("labels"))
-        .select("feature", "accounts_part", F.array_join("labels", C.LABEL_SEPARATOR).alias("accounts"))
-    )
-
-
 def _rolled_up(once: DataFrame, named: Column) -> DataFrame:
     return once.groupBy("feature").agg(
         F.coalesce(F.sum(F.when(named, F.col("mrr"))), F.lit(0)).cast(MONEY).alias("total_mrr"),
-        F.count(F.when(named, 1)).cast("int").alias("account_count"),
+        F.count(F.when(named, 1)).alias("account_count"),
     )
 
 
-def feature_account_labels(mentions: DataFrame, per_row: int = LABELS_PER_ROW) -> DataFrame:
-    """The account labels of each feature joined to text, in rows of ``per_row`` labels.
-
-    Nearly every feature has one row. A feature that most accounts ask for has
-    more, numbered by ``accounts_part``, so no text and no group grows without end.
-    """
-    return _joined_labels(_numbered_accounts(mentions), per_row)
-
-
 def rank_rows(features: DataFrame) -> DataFrame:
     """Add the place by revenue, highest first, nulls last, ties by feature text."""
-    ranked = number_rows(features, [F.desc_nulls_last("total_mrr"), F.col("feature")], name="rank")
-    return ranked.withColumn("rank", F.col("rank").cast("int"))
+    return number_rows(features, [F.desc_nulls_last("total_mrr"), F.col("feature")], name="rank")
 
 
 def feature_rank(mentions: DataFrame) -> DataFrame:
@@ -114,23 +102,20 @@ def insight_text(total_mrr: Column, account_count: Column, rank: Column) -> Colu
     )
 
 
-def rank_features(mentions: DataFrame, labels_per_row: int = LABELS_PER_ROW) -> DataFrame:
-    """The ranked table: a row per feature (and part of its accounts) with all texts.
+def rank_features(mentions: DataFrame) -> DataFrame:
+    """The ranked table: a row per feature. Its accounts are :func:`feature_accounts`.
 
-    Sums, counts and labels come from one pass over the mentions, samples from another.
+    An insight that comes with the mentions is kept, the first by text; the others get the
+    template. Numbers the rows at once, which starts jobs.
     """
-    numbered = _numbered_accounts(mentions)
-    ranked = rank_rows(_rolled_up(numbered, F.col("named")))
-    labels = _joined_labels(numbered, labels_per_row)
-    samples = feature_samples(mentions)
-    return (
-        ranked.join(labels, "feature", "left")
-        .join(samples, "feature", "left")
-        .select(
-            "rank", "feature", "total_mrr", "account_count",
-            F.coalesce("accounts_part", F.lit(1)).alias("accounts_part"),
-            F.coalesce("accounts", F.lit("")).alias("accounts"),
-            F.coalesce(C.sample_join(F.col("samples")), F.lit("")).alias("sample_feedbacks"),
-            insight_text(F.col("total_mrr"), F.col("account_count"), F.col("rank")).alias("ai_insight"),
-        )
+    ranked = rank_rows(feature_rollup(mentions))
+    template = insight_text(F.col("total_mrr"), F.col("account_count"), F.col("rank"))
+    insight = template
+    if "insight" in mentions.columns:
+        own = mentions.where(C.nonblank(F.col("insight"))).groupBy("feature").agg(F.min("insight").alias("_insight"))
+        ranked, insight = ranked.join(own, "feature", "left"), F.coalesce(F.col("_insight"), template)
+    return ranked.join(feature_samples(mentions), "feature", "left").select(
+        "rank", "feature", "total_mrr", "account_count",
+        F.coalesce(C.sample_join(F.col("samples")), F.lit("")).alias("sample_feedbacks"),
+        insight.alias("ai_insight"),
     )

@@ -46,6 +46,12 @@ def source_conditions(spec: RunSpec, df: DataFrame) -> Column:
     return reduce(and_, conditions, F.lit(True))
 
 
+def among(feedback: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is in the first column of ``values``: for lists too long for a condition."""
+    listed = values.select(F.col(values.columns[0]).alias(column)).distinct()
+    return feedback.join(listed, column, "left_semi").select(*feedback.columns)
+
+
 def at_least_mrr(feedback: DataFrame, minimum: float) -> DataFrame:
     return feedback.where(F.col("mrr") >= F.lit(str(minimum)).cast(MONEY)) if minimum > 0 else feedback
 
@@ -89,8 +95,8 @@ def scope_totals(feedback: DataFrame) -> DataFrame:
     """
     per_account = feedback.groupBy("account_name").agg(F.count("*").alias("records"), F.sum("mrr").alias("mrr"))
     return per_account.agg(
-        F.coalesce(F.sum("records"), F.lit(0)).cast("int").alias("total_feedbacks"),
-        F.count("account_name").cast("int").alias("unique_accounts"),
+        F.coalesce(F.sum("records"), F.lit(0)).cast("long").alias("total_feedbacks"),
+        F.count("account_name").alias("unique_accounts"),
         F.coalesce(F.sum("mrr"), F.lit(0)).cast(MONEY).alias("total_mrr"),
     )
 
@@ -105,7 +111,8 @@ def filter_options(feedback: DataFrame) -> DataFrame:
         feedback.where(is_client_feedback())
         .select(choices.alias("choice"))
         .select("choice.kind", "choice.value")
-        .where(F.col("value").isNotNull() & (F.col("value") != ""))
+        # a missing owner reads as '', an empty category is one
+        .where(F.col("value").isNotNull() & ((F.col("kind") == "subcategory") | (F.col("value") != "")))
         .distinct()
         .orderBy("kind", "value")
     )

@@ -12,14 +12,24 @@ from feedback_rank.operators import extract, merge, payload, rollup
 from feedback_rank.session import checkpointed
 
 
-def rank_mentions(
+def merged_mentions(
     mentions: DataFrame, synonyms: DataFrame | None = None, threshold: float = merge.THRESHOLD
 ) -> DataFrame:
-    """Normalise, merge and rank. The mentions are written once on the way, as they are read often."""
+    """Normalise and merge; written twice on the way, as the mentions are read often. Starts jobs."""
     if synonyms is not None:
         mentions = extract.normalize_phrases(mentions, synonyms)
-    merged = merge.merge_features(checkpointed(mentions), threshold)
-    return rollup.rank_features(checkpointed(merged))
+    return checkpointed(merge.merge_features(checkpointed(mentions), threshold))
+
+
+def rank_mentions(
+    mentions: DataFrame, synonyms: DataFrame | None = None, threshold: float = merge.THRESHOLD
+) -> DataFrame:
+    """Normalise, merge and rank. For the accounts behind the table see :func:`merged_mentions`."""
+    return rollup.rank_features(merged_mentions(mentions, synonyms, threshold))
+
+
+def _asking(feedback: DataFrame, request_cues: Sequence[str], support_cues: Sequence[str]) -> DataFrame:
+    return feedback.where(is_actionable(F.col("feedback"), request_cues, support_cues)) if request_cues else feedback
 
 
 def analyze(
@@ -28,11 +38,10 @@ def analyze(
     synonyms: DataFrame | None = None,
     request_cues: Sequence[str] = (),
     threshold: float = merge.THRESHOLD,
+    support_cues: Sequence[str] = SUPPORT_CUES,
 ) -> DataFrame:
     """The whole way with a phrase table; with ``request_cues`` only texts that ask for something are read."""
-    if request_cues:
-        feedback = feedback.where(is_actionable(F.col("feedback"), request_cues, SUPPORT_CUES))
-    mentions = extract.extract_mentions(feedback, phrases).drop("insight_id")
+    mentions = extract.extract_mentions(_asking(feedback, request_cues, support_cues), phrases).drop("insight_id")
     return rank_mentions(mentions, synonyms, threshold)
 
 
@@ -42,13 +51,15 @@ def analyze_with(
     synonyms: DataFrame | None = None,
     chunk_size: int = extract.CHUNK_SIZE,
     threshold: float = merge.THRESHOLD,
+    request_cues: Sequence[str] = (),
+    support_cues: Sequence[str] = SUPPORT_CUES,
 ) -> tuple[DataFrame, DataFrame]:
     """The whole way with the user's own extraction: (ranked table, chunk status).
 
     Each chunk is called once; its payload is written before anything reads it,
     so no later failure costs the calls.
     """
-    chunks = checkpointed(extract.extract_plugin(feedback, fn, chunk_size))
+    chunks = checkpointed(extract.extract_plugin(_asking(feedback, request_cues, support_cues), fn, chunk_size))
     parsed = payload.parse_payload(chunks)
     mentions = payload.payload_mentions(parsed).drop("chunk_id")
     return rank_mentions(mentions, synonyms, threshold), payload.chunk_status(parsed)

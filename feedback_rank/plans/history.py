@@ -19,13 +19,11 @@ def top_features(features: DataFrame, n: int = TOP_SHOWN) -> DataFrame:
 def history_cards(runs: DataFrame, features: DataFrame) -> DataFrame:
     """A row per run: date, period, totals, filter tags, feature count, top three, how many more.
 
-    One job for all runs. Each feature counts once, whatever the number of rows
-    its accounts take.
+    One job for all runs.
     """
-    once = features.where(F.col("accounts_part") == 1) if "accounts_part" in features.columns else features
-    counts = once.groupBy("run_id").agg(F.count("*").cast("int").alias("feature_count"))
+    counts = features.groupBy("run_id").agg(F.count("*").alias("feature_count"))
     shown = F.struct("rank", "feature", C.money(F.col("total_mrr"), 2).alias("mrr"), "account_count")
-    top = top_features(once).groupBy("run_id").agg(F.array_sort(F.collect_list(shown)).alias("top_features"))
+    top = top_features(features).groupBy("run_id").agg(F.array_sort(F.collect_list(shown)).alias("top_features"))
     filters = C.filters_parse(F.col("filters"))
     number = F.coalesce("feature_count", F.lit(0))
     return (

@@ -54,21 +54,30 @@ RUNS = T.StructType([
     T.StructField("start_date", T.DateType()),
     T.StructField("end_date", T.DateType()),
     T.StructField("filters", T.StringType()),
-    T.StructField("total_feedbacks", T.IntegerType()),
-    T.StructField("unique_accounts", T.IntegerType()),
+    T.StructField("total_feedbacks", T.LongType()),
+    T.StructField("unique_accounts", T.LongType()),
     T.StructField("total_mrr", MONEY),
 ])
 
 RUN_FEATURES = T.StructType([
     T.StructField("run_id", T.LongType()),
-    T.StructField("rank", T.IntegerType()),
+    T.StructField("rank", T.LongType()),
     T.StructField("feature", T.StringType()),
     T.StructField("total_mrr", MONEY),
-    T.StructField("account_count", T.IntegerType()),
-    T.StructField("accounts_part", T.IntegerType()),
-    T.StructField("accounts", T.StringType()),
+    T.StructField("account_count", T.LongType()),
     T.StructField("sample_feedbacks", T.StringType()),
     T.StructField("ai_insight", T.StringType()),
 ])
 
-DELETED_RUNS = T.StructType([T.StructField("run_id", T.LongType())])
+# The accounts of a run's features, one row each.
+RUN_ACCOUNTS = T.StructType([
+    T.StructField("run_id", T.LongType()),
+    T.StructField("feature", T.StringType()),
+    T.StructField("account_name", T.StringType()),
+    T.StructField("platform_client_id", T.StringType()),
+    T.StructField("mrr", MONEY),
+    T.StructField("label", T.StringType()),
+])
+
+# Saves that were deleted.
+DELETED_RUNS = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("save_id", T.StringType())])

@@ -44,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="feedback-rank-")
         sc.setCheckpointDir(folder)
+    elif folder.startswith("file:") and not _is_local(spark):
+        raise ValueError(f"spark.checkpoint.dir is {folder}, which other machines cannot reach")
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder

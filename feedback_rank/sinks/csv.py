@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedback_rank.spec import RunSpec
 
@@ -22,12 +23,30 @@ _FORMAT = {
 RAW_EXPORT = "feedback_raw"
 FEATURE_EXPORT = "feature_analysis"
 
+# The columns of the two exports, and their headers.
+HEADERS = {
+    RAW_EXPORT: {
+        "account_owner": "Account Owner", "platform_client_id": "Platform Client ID", "account_name": "Account Name",
+        "mrr": "Real MRR Last Month", "tpv": "Last Invoiced TPV", "insight_id": "CS Insight ID", "created_at": "Date",
+        "subcategory": "Subcategory", "feedback": "Feedback", "created_by": "Created By",
+    },
+    FEATURE_EXPORT: {
+        "feature": "Feature", "total_mrr": "Total MRR", "account_count": "Account Count", "accounts": "Accounts",
+        "sample_feedbacks": "Sample Feedbacks", "ai_insight": "AI Insight",
+    },
+}
+
 
 def export_name(kind: str, spec: RunSpec) -> str:
     """Name by kind and date range; Spark writes a folder of that name, a file per task."""
     return f"{kind}_{spec.start_date.isoformat()}_{spec.end_date.isoformat()}.csv"
 
 
+def export_table(df: DataFrame, kind: str) -> DataFrame:
+    """The columns of an export in their order, under the headers its readers know."""
+    return df.select(*[F.col(name).alias(header) for name, header in HEADERS[kind].items()])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**_FORMAT).csv(path)
 

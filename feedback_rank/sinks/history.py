@@ -1,31 +1,36 @@
-"""Runs and their features saved, and deleted again.
-
-Features have a folder per run, and a save replaces the folder of its run; headers
-are added to their table, and readers take the newest of each run. So a save that
-is repeated leaves no second copy. Features are written first and the header last:
-a run is there once its header is. A delete adds the run to a list that every reader
-takes off; it changes no file that someone may be reading.
+"""Runs with their features and accounts saved, and deleted again.
+
+Every save has an id of its own. Its features and accounts are written first, into folders
+of the run and the save, and its header, which names the save, last. Readers go by headers:
+of a run the newest one counts, and only what was written under its save is read. So a run is
+there once its header is, a repeated save replaces the one before even if it has no rows, and
+what a crashed save left is never seen. A delete names the saves that it deletes, so a run
+saved again under a deleted id is there; :func:`purge` removes the files that no header needs.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedback_rank.functions import columns as C
-from feedback_rank.schemas import DELETED_RUNS, MONEY, RUN_FEATURES, RUNS
-from feedback_rank.sources.history import _read, deleted_path, features_path, runs_path
+from feedback_rank.schemas import DELETED_RUNS, MONEY, RUN_ACCOUNTS, RUN_FEATURES, RUNS
+from feedback_rank.sources.history import HEADERS, _read, accounts_path, current_saves, deleted_path, features_path, runs_path
 from feedback_rank.spec import RunSpec
 
 
 def next_run_id(spark: SparkSession, path: str) -> int:
     """One above the highest id ever given; for a single writer."""
-    ids = _read(spark, runs_path(path), RUNS).select("id").unionByName(
-        _read(spark, deleted_path(path), DELETED_RUNS).select(F.col("run_id").alias("id"))
-    )
-    return (ids.agg(F.max("id").alias("id")).first()["id"] or 0) + 1
+    return (_read(spark, runs_path(path), HEADERS).agg(F.max("id").alias("id")).first()["id"] or 0) + 1
+
+
+def new_save_id() -> str:
+    """Ids of later saves sort behind those of earlier ones."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
 
 
 def run_header(spec: RunSpec, totals: DataFrame, run_id: int, created_at: datetime | Column | None = None) -> DataFrame:
@@ -43,44 +48,81 @@ def run_header(spec: RunSpec, totals: DataFrame, run_id: int, created_at: dateti
         day(spec.start_date).alias("start_date"),
         day(spec.end_date).alias("end_date"),
         C.filters_json(spec).alias("filters"),
-        F.col("total_feedbacks").cast("int").alias("total_feedbacks"),
-        F.col("unique_accounts").cast("int").alias("unique_accounts"),
+        F.col("total_feedbacks").cast("long").alias("total_feedbacks"),
+        F.col("unique_accounts").cast("long").alias("unique_accounts"),
         F.col("total_mrr").cast(MONEY).alias("total_mrr"),
     )
 
 
+def _of_run(table: DataFrame, run_id: int, texts: tuple[str, ...], schema) -> DataFrame:
+    """Rows of a run, without NUL bytes in their texts."""
+    clean = {name: C.strip_nul(F.col(name)) for name in texts}
+    return table.withColumn("run_id", F.lit(run_id).cast("long")).withColumns(clean).select(*schema.names)
+
+
 def run_features(ranked: DataFrame, run_id: int) -> DataFrame:
-    """The ranked table as rows of a run, without NUL bytes in its texts."""
-    texts = {name: C.strip_nul(F.col(name)) for name in ("feature", "accounts", "sample_feedbacks", "ai_insight")}
-    return ranked.withColumn("run_id", F.lit(run_id).cast("long")).withColumns(texts).select(*RUN_FEATURES.names)
+    """The ranked table as rows of a run."""
+    return _of_run(ranked, run_id, ("feature", "sample_feedbacks", "ai_insight"), RUN_FEATURES)
 
 
-def save_features(features: DataFrame, path: str) -> None:
-    """Write features with their run ids, each run into its folder; nothing for no rows."""
-    (
-        features.select(*RUN_FEATURES.names)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id").parquet(features_path(path))
-    )
+def run_accounts(accounts: DataFrame, run_id: int) -> DataFrame:
+    """The accounts of the ranked table as rows of a run."""
+    return _of_run(accounts, run_id, ("feature", "account_name", "platform_client_id", "label"), RUN_ACCOUNTS)
+
+
+def _save(table: DataFrame, path: str, save_id: str, schema) -> None:
+    table.select(*schema.names, F.lit(save_id).alias("save_id")).write.mode("append").partitionBy("run_id", "save_id").parquet(path)
+
+
+def save_features(features: DataFrame, path: str, save_id: str = "0") -> None:
+    """Write features of any runs under a save."""
+    _save(features, features_path(path), save_id, RUN_FEATURES)
+
+
+def save_accounts(accounts: DataFrame, path: str, save_id: str = "0") -> None:
+    """Write accounts of any runs under a save."""
+    _save(accounts, accounts_path(path), save_id, RUN_ACCOUNTS)
 
 
-def save_headers(runs: DataFrame, path: str) -> None:
-    runs.select(*RUNS.names).write.mode("append").parquet(runs_path(path))
+def save_headers(runs: DataFrame, path: str, save_id: str = "0") -> None:
+    """Write headers that name a save; from then on its rows are there."""
+    runs.select(*RUNS.names, F.lit(save_id).alias("save_id")).write.mode("append").parquet(runs_path(path))
 
 
 def save_run(
     spec: RunSpec, totals: DataFrame, ranked: DataFrame, path: str, run_id: int | None = None,
-    created_at: datetime | None = None,
+    created_at: datetime | None = None, accounts: DataFrame | None = None,
 ) -> int:
-    """Save a run and its features; returns the id of the run."""
-    spark = ranked.sparkSession
+    """Save a run with its features and their accounts; returns the id of the run."""
+    spark, save_id = ranked.sparkSession, new_save_id()
     if run_id is None:
         run_id = next_run_id(spark, path)
-    save_features(run_features(ranked, run_id), path)
-    save_headers(run_header(spec, totals, run_id, created_at), path)
+    save_features(run_features(ranked, run_id), path, save_id)
+    if accounts is not None:
+        save_accounts(run_accounts(accounts, run_id), path, save_id)
+    save_headers(run_header(spec, totals, run_id, created_at), path, save_id)
     return run_id
 
 
 def delete_runs(runs: DataFrame, path: str) -> None:
-    """Delete the runs in column ``run_id``, and with them their features."""
-    runs.select(F.col("run_id").cast("long").alias("run_id")).write.mode("append").parquet(deleted_path(path))
+    """Delete the runs in column ``run_id`` as they are saved now, and with them their features and accounts."""
+    saves = _read(runs.sparkSession, runs_path(path), HEADERS).select(F.col("id").alias("run_id"), "save_id")
+    ids = runs.select(F.col("run_id").cast("long").alias("run_id")).distinct()
+    saves.join(ids, "run_id").select(*DELETED_RUNS.names).distinct().write.mode("append").parquet(deleted_path(path))
+
+
+def purge(spark: SparkSession, path: str) -> int:
+    """Remove the folders that no header needs: of deleted, replaced and unfinished saves. Returns how many.
+
+    Not while someone saves. The folders of features and accounts are listed, one name for
+    each save, and those without a current header go.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    current = current_saves(spark, path).select("run_id", "save_id")
+    removed = 0
+    for folder, schema in ((features_path(path), RUN_FEATURES), (accounts_path(path), RUN_ACCOUNTS)):
+        stored = _read(spark, folder, schema, saves=True).select("run_id", "save_id").distinct()
+        for row in stored.join(current, ["run_id", "save_id"], "left_anti").toLocalIterator():
+            where = hadoop.Path(f"{folder}/run_id={row.run_id}/save_id={row.save_id}")
+            removed += where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return removed

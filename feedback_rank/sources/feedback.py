@@ -74,8 +74,14 @@ def lookup_account(fact: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def lookup_creator(fact: DataFrame, users: DataFrame) -> DataFrame:
-    """Add the name of the creating user by ``creator_id``; none reads as ''."""
-    joined = fact.alias("f").join(users.alias("u"), F.col("f.creator_id") == F.col("u.user_id"), "left")
+    """Add the name of the creating user by ``creator_id``; none reads as ''.
+
+    Records without a creator match nothing, and are spread as those without an account are.
+    """
+    spread = F.when(F.col("creator_id").isNull(), F.xxhash64("insight_id")).otherwise(0)
+    left, right = fact.withColumn("_spread", spread).alias("f"), users.withColumn("_spread", F.lit(0).cast("long")).alias("u")
+    same = (F.col("f.creator_id") == F.col("u.user_id")) & (F.col("f._spread") == F.col("u._spread"))
+    joined = left.join(right, same, "left")
     name = F.when(F.col("u.user_id").isNull(), F.lit("")).otherwise(F.col("u.user_name"))
     return joined.select(*[F.col(f"f.{c}") for c in fact.columns], name.alias("created_by"))
 
@@ -84,8 +90,9 @@ def read_feedback(fact: DataFrame, accounts: DataFrame, spec: RunSpec, newest_fi
     """The feedback a run asks for, with account and owner, newest first.
 
     The conditions reach the scans: those on the record the fact table, those on
-    the owner the account table.
+    the owner the account table. Dates before the first day with data are moved to it.
     """
+    spec = spec.bounded()
     joined = lookup_account(fact, accounts)
     found = joined.where(source_conditions(spec, joined)).select(
         "account_owner", "platform_client_id", "account_name", "mrr", "tpv",

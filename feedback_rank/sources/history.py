@@ -1,12 +1,16 @@
-"""Saved runs and their features, without those that were deleted."""
+"""Saved runs, their features and accounts, without what was deleted or replaced."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from feedback_rank.schemas import DELETED_RUNS, RUN_FEATURES, RUNS
+from feedback_rank.schemas import DELETED_RUNS, RUN_ACCOUNTS, RUN_FEATURES, RUNS
+
+# A header as it is stored: with the save that it names.
+HEADERS = T.StructType([*RUNS.fields, T.StructField("save_id", T.StringType())])
 
 
 def runs_path(path: str) -> str:
@@ -17,12 +21,18 @@ def features_path(path: str) -> str:
     return f"{path.rstrip('/')}/analysis_features"
 
 
+def accounts_path(path: str) -> str:
+    return f"{path.rstrip('/')}/analysis_accounts"
+
+
 def deleted_path(path: str) -> str:
     return f"{path.rstrip('/')}/deleted_runs"
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema, saves: bool = False) -> DataFrame:
     """The table with its fixed schema; without rows where nothing was saved yet."""
+    if saves:
+        schema = T.StructType([*schema.fields, T.StructField("save_id", T.StringType())])
     try:
         return spark.read.schema(schema).parquet(path).select(*schema.names)
     except AnalysisException as missing:
@@ -31,27 +41,44 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _not_deleted(spark: SparkSession, table: DataFrame, key: str, path: str) -> DataFrame:
-    deleted = _read(spark, deleted_path(path), DELETED_RUNS).select(F.col("run_id").alias(key))
-    return table.join(deleted, key, "left_anti")
+def current_saves(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, save_id, and the rest of the header): of each run its newest save that is not deleted."""
+    deleted = _read(spark, deleted_path(path), DELETED_RUNS).select(F.col("run_id").alias("id"), "save_id")
+    saved = _read(spark, runs_path(path), HEADERS).join(deleted, ["id", "save_id"], "left_anti").select(*HEADERS.names)
+    newest = saved.groupBy("id").agg(F.max_by(F.struct(*HEADERS.names[1:]), F.struct("save_id", "created_at")).alias("_run"))
+    return newest.select(F.col("id").alias("run_id"), "_run.*")
 
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
     """All run headers, newest first; of a run that was saved again the newest one."""
-    saved = _read(spark, runs_path(path), RUNS)
-    runs = saved.groupBy("id").agg(F.max_by(F.struct(*RUNS.names[1:]), "created_at").alias("_run")).select("id", "_run.*")
-    return _not_deleted(spark, runs, "id", path).select(*RUNS.names).orderBy(F.desc("created_at"), F.desc("id"))
+    runs = current_saves(spark, path).withColumnRenamed("run_id", "id")
+    return runs.select(*RUNS.names).orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def _committed(spark: SparkSession, path: str, rows: DataFrame, schema, run_id: int | None = None) -> DataFrame:
+    saves = current_saves(spark, path).select("run_id", "save_id")
+    if run_id is not None:  # the folder of the run is known before the headers are
+        rows, saves = rows.where(F.col("run_id") == run_id), saves.where(F.col("run_id") == run_id)
+    return rows.join(saves, ["run_id", "save_id"], "left_semi").select(*schema.names)
 
 
 def load_features(spark: SparkSession, path: str) -> DataFrame:
     """The features of all runs."""
-    features = _read(spark, features_path(path), RUN_FEATURES)
-    return _not_deleted(spark, features, "run_id", path).select(*RUN_FEATURES.names)
+    return _committed(spark, path, _read(spark, features_path(path), RUN_FEATURES, saves=True), RUN_FEATURES)
+
+
+def load_accounts(spark: SparkSession, path: str) -> DataFrame:
+    """The accounts behind the features of all runs, one row each."""
+    return _committed(spark, path, _read(spark, accounts_path(path), RUN_ACCOUNTS, saves=True), RUN_ACCOUNTS)
 
 
 def load_run_features(spark: SparkSession, path: str, run_id: int) -> DataFrame:
     """The features of one run by rank; only the folder of that run is read."""
-    features = _read(spark, features_path(path), RUN_FEATURES).where(F.col("run_id") == run_id)
-    return (
-        _not_deleted(spark, features, "run_id", path).select(*RUN_FEATURES.names).orderBy("rank", "accounts_part")
-    )
+    features = _read(spark, features_path(path), RUN_FEATURES, saves=True)
+    return _committed(spark, path, features, RUN_FEATURES, run_id).orderBy("rank")
+
+
+def load_run_accounts(spark: SparkSession, path: str, run_id: int) -> DataFrame:
+    """The accounts behind one run's features; only the folder of that run is read."""
+    accounts = _read(spark, accounts_path(path), RUN_ACCOUNTS, saves=True)
+    return _committed(spark, path, accounts, RUN_ACCOUNTS, run_id)

@@ -94,7 +94,7 @@ def test_money(value, number, expected):
 def test_prompt_line(spark):
     df = spark.createDataFrame([("Acme", None, Decimal("1234.50"), "x" * 600)], "n string, i string, m decimal(18,2), t string")
     line = df.select(C.prompt_line(F.col("n"), F.col("i"), F.col("m"), F.col("t"))).first()[0]
-    assert line == "Acme |  | $1,234.50 | " + "x" * 500
+    assert line == "Acme |  | $1,234.50 | " + "x" * 600
 
 
 @pytest.mark.parametrize("spec, tags", [
@@ -129,6 +129,8 @@ def test_words(value):
 @pytest.mark.parametrize("text, expected", [
     ("We would like an export to CSV", True), ("Necesitamos una integración", True), ("Great product!", False),
     ("It is slow", False), ("I need to reset my password", False), ("kneed", False), (None, False),
+    ("In my case we need ACH payouts please", True), ("En mi caso necesitamos pagos", True),
+    ("I was locked out. We need dark mode.", True), ("I was locked out and need help!\nThanks.", False), ("ticket number 5, I want it", False),
 ])
 def test_is_actionable(value, text, expected):
     assert value(is_actionable, text) is expected

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.tables import Tables
 from feedback_rank.operators import extract, payload
@@ -47,20 +48,39 @@ PHRASES = [
 ]
 
 
-@pytest.mark.parametrize("limit", [extract.BROADCAST_BYTES, 0])
-def test_mentions_by_hand(spark, limit):
-    """Both joins: with the phrase table broadcast, and without."""
-    found = extract.extract_mentions(_feedback(spark, TEXTS), spark.createDataFrame(PHRASES, "feature string, phrase string"), limit)
+@pytest.fixture(params=["64mb", "-1"])
+def joins(spark, request):
+    """Both ways of the optimizer: with the phrase table broadcast, and without."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, old)
+
+
+def test_mentions_by_hand(spark, joins):
+    found = extract.extract_mentions(_feedback(spark, TEXTS), spark.createDataFrame(PHRASES, "feature string, phrase string"))
     rows = found.collect()
     assert {(r["insight_id"], r["feature"]) for r in rows} == _by_hand(TEXTS, PHRASES)
     assert len(rows) == len({(r["insight_id"], r["feature"]) for r in rows})
     assert {r["sample"] for r in rows if r["insight_id"] == "i000"} == {TEXTS[0]}
 
 
-def test_both_joins_agree_on_the_tables(spark, sf_dir):
+def test_ids_may_be_null_or_repeated(spark, joins):
+    feedback = _feedback(spark, ["reach ach", "no ach", "no ach", None, "dark"]).withColumn(
+        "insight_id", F.when(F.col("feedback").isNull() | (F.col("feedback") == "reach ach"), F.lit(None)).otherwise(F.lit("same"))
+    ).withColumn("account_name", F.lit(None).cast("string"))
+    found = extract.extract_mentions(feedback, spark.createDataFrame([("ach", "ACH"), ("dark", "dark")], "feature string, phrase string"))
+    assert sorted((r["insight_id"] or "", r["feature"], r["mrr"]) for r in found.collect()) == [
+        ("", "ach", Decimal(0)), ("same", "ach", Decimal(1)), ("same", "ach", Decimal(2)), ("same", "dark", Decimal(1))
+    ]
+
+
+def test_generated_rows_hold_no_words(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    one, two = (extract.extract_mentions(t.feedback(), t.phrase(), limit) for limit in (extract.BROADCAST_BYTES, 0))
-    assert one.count() > 0 and one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+    plan = extract.extract_mentions(t.feedback(), t.phrase())._jdf.queryExecution().optimizedPlan().toString()
+    # of the rows' columns the third, the words, is not handed on
+    assert ", [2], false, [at#" in plan
 
 
 def test_no_phrases_no_mentions(spark):
@@ -145,6 +165,18 @@ def test_plugin_sees_lines_newest_first(spark):
     assert rows == {0: "A2 | CL | $2.00 | c\nA1 | CL | $1.00 | b", 1: "A0 | CL | $0.00 | a"}
 
 
+def test_long_texts_have_several_lines(spark):
+    text = "".join(chr(97 + i % 26) for i in range(1234))
+    lines = {r["part"]: r["line"].split(" | ", 3)[3] for r in extract.prompt_lines(_feedback(spark, [text])).collect()}
+    assert lines == {1: text[:500], 2: text[400:900], 3: text[800:1300]}
+    assert [r["line"][-500:] for r in extract.prompt_lines(_feedback(spark, [text]), first_only=True).collect()] == [text[:500]]
+    sizes = (1, 100, 499, 500, 501, 900, 901)
+    counts = extract.prompt_lines(_feedback(spark, ["x" * n for n in sizes])).groupBy("insight_id").count().orderBy("insight_id").collect()
+    assert [r["count"] for r in counts] == [1, 1, 1, 1, 2, 2, 3]
+    with pytest.raises(ValueError):
+        extract.prompt_lines(_feedback(spark, ["x"]), overlap=500)
+
+
 def test_plugin_error_is_kept(spark):
     def fn(lines):
         raise ValueError("model gone")

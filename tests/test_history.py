@@ -5,21 +5,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedback_rank import RunSpec, delete_runs, export_name, history_cards, history_detail, load_run_features, load_runs, save_run, write_csv
-from feedback_rank.sinks.csv import FEATURE_EXPORT, RAW_EXPORT, read_csv
-from feedback_rank.sinks.history import next_run_id
-from feedback_rank.sources.history import load_features
+from feedback_rank.sinks.csv import FEATURE_EXPORT, RAW_EXPORT, export_table, read_csv
+from feedback_rank.sinks.history import next_run_id, purge, run_features, save_features
+from feedback_rank.sources.history import load_features, load_run_accounts
 from feedback_rank.spec import MINIMUM_MRR
 
 RANKED = (
-    "rank int, feature string, total_mrr decimal(18,2), account_count int, accounts_part int, accounts string, "
-    "sample_feedbacks string, ai_insight string"
+    "rank long, feature string, total_mrr decimal(18,2), account_count long, sample_feedbacks string, ai_insight string"
 )
 SPEC = RunSpec(date(2025, 10, 1), date(2025, 10, 31), ["s'1"], [], MINIMUM_MRR, 1500.0, 0, "ach")
 
 
 @pytest.fixture
 def ranked(spark):
-    rows = [(i, f"f\0{i}", Decimal(100 - i), i, 1, f"A{i}", "s1 | s2", "why") for i in range(1, 6)]
+    rows = [(i, f"f\0{i}", Decimal(100 - i), i, "s1 | s2", "why") for i in range(1, 6)]
     return spark.createDataFrame(rows, RANKED)
 
 
@@ -65,6 +64,51 @@ def test_save_load_delete(spark, tmp_path, ranked, totals):
     assert next_run_id(spark, path) == 3
 
 
+@pytest.fixture
+def accounts(spark):
+    return spark.createDataFrame([("f\0001", "A\0", "1", Decimal(5), "A (1)"), ("f\0001", "B", "", Decimal(3), "B")], "feature string, account_name string, platform_client_id string, mrr decimal(18,2), label string")
+
+
+def test_an_empty_save_replaces_the_one_before(spark, tmp_path, ranked, totals, accounts):
+    path = str(tmp_path)
+    save_run(SPEC, totals, ranked, path, run_id=1, accounts=accounts)
+    assert sorted((r["feature"], r["account_name"]) for r in load_run_accounts(spark, path, 1).collect()) == [("f1", "A"), ("f1", "B")]
+    save_run(SPEC, totals, ranked.limit(0), path, run_id=1)
+    assert load_run_features(spark, path, 1).count() == 0 and load_run_accounts(spark, path, 1).count() == 0
+    assert load_runs(spark, path).count() == 1
+
+
+def test_a_deleted_run_can_be_saved_again(spark, tmp_path, ranked, totals):
+    path = str(tmp_path)
+    gone = spark.createDataFrame([(1,)], "run_id long")
+    save_run(SPEC, totals, ranked, path, run_id=1)
+    delete_runs(gone, path)
+    delete_runs(gone, path)
+    assert load_runs(spark, path).count() == 0
+    save_run(SPEC, totals, ranked.limit(2), path, run_id=1)
+    assert load_runs(spark, path).count() == 1 and load_run_features(spark, path, 1).count() == 2
+
+
+def test_features_without_a_header_are_not_there(spark, tmp_path, ranked):
+    path = str(tmp_path)
+    save_features(run_features(ranked, 4), path, "1")
+    assert load_run_features(spark, path, 4).count() == 0 and load_features(spark, path).count() == 0
+    assert next_run_id(spark, path) == 1
+
+
+def test_purge_removes_only_what_no_header_needs(spark, tmp_path, ranked, totals, accounts):
+    path = str(tmp_path)
+    for run_id in (1, 1, 2, 3):
+        save_run(SPEC, totals, ranked, path, run_id=run_id, accounts=accounts)
+    save_features(run_features(ranked, 9), path, "unfinished")
+    delete_runs(spark.createDataFrame([(2,)], "run_id long"), path)
+    folders = lambda table: len(list((tmp_path / table).glob("run_id=*/save_id=*")))
+    assert (folders("analysis_features"), folders("analysis_accounts")) == (5, 4)
+    assert purge(spark, path) == 5  # the first save of run 1, and run 2, twice each; run 9
+    assert (folders("analysis_features"), folders("analysis_accounts")) == (2, 2)
+    assert {r["run_id"] for r in load_features(spark, path).collect()} == {1, 3} and purge(spark, path) == 0
+
+
 def test_only_the_folder_of_the_run_is_read(spark, tmp_path, ranked, totals):
     path = str(tmp_path)
     for run_id in (1, 2, 3):
@@ -72,7 +116,6 @@ def test_only_the_folder_of_the_run_is_read(spark, tmp_path, ranked, totals):
     found = load_run_features(spark, path, 2)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run_id" in plan.replace("\n", "")
-    assert len({f.rsplit("/", 2)[1] for f in found.inputFiles() if "analysis_features" in f} & {"run_id=2"}) == 1
     assert {r["run_id"] for r in found.collect()} == {2}
 
 
@@ -81,6 +124,15 @@ def test_export_names():
     assert export_name(FEATURE_EXPORT, SPEC) == "feature_analysis_2025-10-01_2025-10-31.csv"
 
 
+def test_export_headers(spark, tmp_path):
+    from feedback_rank.schemas import FEEDBACK, RUN_FEATURES
+
+    raw = export_table(spark.createDataFrame([], FEEDBACK), RAW_EXPORT)
+    assert raw.columns[:5] == ["Account Owner", "Platform Client ID", "Account Name", "Real MRR Last Month", "Last Invoiced TPV"]
+    ranked = spark.createDataFrame([], RUN_FEATURES).withColumn("accounts", F.lit(""))
+    assert export_table(ranked, FEATURE_EXPORT).columns == ["Feature", "Total MRR", "Account Count", "Accounts", "Sample Feedbacks", "AI Insight"]
+
+
 def test_csv_text(spark, tmp_path):
     """The same bytes as a pandas export, and the same rows back."""
     path = str(tmp_path / "out.csv")

@@ -41,6 +41,34 @@ def test_unreadable_payload_fails_its_chunk_only(parse, text):
     assert rows[1]["status"] == "ok" and len(rows[1]["features"]) == 1
 
 
+@pytest.mark.parametrize("text, mrr", [
+    ('{"features": [], "features": [{"feature": "x", "accounts": [{"name": "A", "mrr": 2}]}]}', 2.0),
+    ('{"feature": 1, "features": [{"feature": "y", "feature": "x", "accounts": [{"name": "A", "mrr": NaN}]}]}', 0.0),
+    ('[{"feature": "x", "accounts": [{"name": "A", "mrr": -Infinity}], "total_mrr": Infinity}]', 0.0),
+    ('[{"feature": "x", "accounts": ["A"]}]', 0.0),
+])
+def test_lenient_forms(parse, text, mrr):
+    row = parse(text).first()
+    assert row["status"] == "ok" and row["skipped"] == 0
+    assert [(f["feature"], [(a["name"], a["mrr"]) for a in f["accounts"]], f["total_mrr"]) for f in row["features"]] == [("x", [("A", mrr)], 0.0)]
+
+
+def test_texts_keep_their_words(parse):
+    row = parse('[{"feature": "NaN, \\"Infinity\\": NaN", "total_mrr": NaN}]').first()
+    assert row["status"] == "ok" and row["features"][0]["feature"] == 'NaN, "Infinity": NaN'
+
+
+def test_the_session_keeps_its_setting(parse, spark):
+    parse("[]")
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def test_skipped_entries_are_counted(parse):
+    row = parse(json.dumps([7, "x", None, {"feature": "f", "accounts": ["A", 3, None, {"name": "B"}, ["C"]]}])).first()
+    assert row["skipped"] == 6 and [a["name"] for a in row["features"][0]["accounts"]] == ["A", "B"]
+    assert row["features"][0]["account_count"] == 2
+
+
 def test_missing_and_null_keys(parse):
     text = json.dumps({"features": [
         {}, {"feature": None, "accounts": None, "sample_feedbacks": None}, {"feature": "y", "accounts": [{"mrr": "bad"}, {}]},
@@ -58,11 +86,11 @@ def test_mentions(parse):
     text = json.dumps([{**ONE, "sample_feedbacks": ["s", "t"]}, {"feature": "alone"}, ONE])
     rows = [tuple(r)[1:] for r in payload.payload_mentions(parse(text, "{oops")).collect()]
     assert sorted(rows, key=str) == sorted([
-        ("x", "A", "CL-1", Decimal("2.50"), None), ("x", None, None, None, "s"), ("x", None, None, None, "t"),
-        ("alone", None, None, None, None), ("x", "A", "CL-1", Decimal("2.50"), None), ("x", None, None, None, "s"),
+        ("x", "A", "CL-1", Decimal("2.50"), None, None), ("x", None, None, None, "s", None), ("x", None, None, None, "t", None),
+        ("alone", None, None, None, None, None), ("x", "A", "CL-1", Decimal("2.50"), None, None), ("x", None, None, None, "s", None),
     ], key=str)
 
 
 def test_chunk_status(parse):
     rows = {r["status"]: tuple(r)[1:] for r in payload.chunk_status(parse("[]", "{oops", "[]")).collect()}
-    assert rows == {"ok": (2, 3, 66), "failed": (1, 3, 33)}
+    assert rows == {"ok": (2, 0, 3, 66), "failed": (1, 0, 3, 33)}

@@ -6,7 +6,7 @@ from checks.queries import QUERIES
 from checks.tables import Tables
 from feedback_rank import session
 
-PYTHON = {"extract_plugin"}
+PYTHON = {"extract_plugin", "extract_late_phrase"}
 
 
 def plan_of(df):
@@ -55,3 +55,12 @@ def test_checkpoints_go_to_the_folder_of_the_session(spark):
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert session.shared_dir(spark) == folder
     assert session.scratch_path(spark, "x").startswith(folder)
+
+
+def test_a_local_checkpoint_folder_is_for_local_mode_only(spark, monkeypatch):
+    from pyspark import SparkConf
+
+    monkeypatch.setattr(session, "_is_local", lambda spark: False)
+    monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda self: SparkConf(loadDefaults=False).set("spark.checkpoint.dir", "file:///tmp/x"))
+    with pytest.raises(ValueError):
+        session.shared_dir(spark)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from feedback_rank.operators import rollup
 from feedback_rank.operators.numbering import number_rows
-from feedback_rank.plans.history import history_cards
 
 MENTION = "feature string, account_name string, platform_client_id string, mrr decimal(18,2), sample string"
 
@@ -46,39 +45,46 @@ def mentions(spark):
 
 def test_rank_features(mentions):
     rows = {r["feature"]: r for r in rollup.rank_features(mentions).collect()}
+    labelled = {r["feature"]: r["accounts"] for r in rollup.with_labels(rollup.rank_features(mentions), rollup.feature_accounts(mentions)).collect()}
+    assert labelled == {"export": "A (1), A (2), B", "login": "C", "empty": "", "long": "D (4)"}
     assert [r["rank"] for r in sorted(rows.values(), key=lambda r: r["rank"])] == [1, 2, 3, 4]
     export = rows["export"]
     # equal revenue: the smaller text first
     assert (export["rank"], export["total_mrr"], export["account_count"]) == (1, Decimal("18.50"), 3)
-    assert export["accounts"] == "A (1), A (2), B"
+    assert rows["export"]["account_count"] == 3
     assert export["sample_feedbacks"] == "s1 | s2 | s3"
     assert export["ai_insight"] == "3 accounts with $18.50 of monthly recurring revenue asked for this. Place 1 by revenue, priority high."
-    assert (rows["login"]["rank"], rows["login"]["accounts"], rows["login"]["sample_feedbacks"]) == (2, "C", "")
+    assert (rows["login"]["rank"], rows["login"]["sample_feedbacks"]) == (2, "")
     assert rows["login"]["ai_insight"].startswith("1 account with $18.50")
-    assert (rows["empty"]["total_mrr"], rows["empty"]["account_count"], rows["empty"]["accounts"]) == (0, 0, "")
+    assert (rows["empty"]["total_mrr"], rows["empty"]["account_count"]) == (0, 0)
     assert rows["long"]["sample_feedbacks"] == "x" * 200
 
 
-def test_a_feature_with_many_accounts_takes_several_rows(spark):
-    mentions = spark.range(25).select(
-        F.lit("hot").alias("feature"), F.format_string("a%02d", "id").alias("account_name"), F.lit("").alias("platform_client_id"),
+def test_one_row_per_feature_and_one_per_account(spark):
+    mentions = spark.range(25_000).select(
+        F.lit("hot").alias("feature"), F.format_string("a%05d", "id").alias("account_name"), F.lit("").alias("platform_client_id"),
         F.lit(1).cast("decimal(18,2)").alias("mrr"), F.lit("s").alias("sample"),
     )
-    rows = sorted(rollup.rank_features(mentions, labels_per_row=10).collect(), key=lambda r: r["accounts_part"])
-    assert [r["accounts_part"] for r in rows] == [1, 2, 3]
-    assert ", ".join(r["accounts"] for r in rows).split(", ") == [f"a{i:02d}" for i in range(25)]
-    assert {(r["rank"], r["account_count"], r["total_mrr"]) for r in rows} == {(1, 25, Decimal("25.00"))}
+    ranked, accounts = rollup.rank_features(mentions), rollup.feature_accounts(mentions)
+    row = ranked.collect()
+    assert len(row) == 1 and (row[0]["rank"], row[0]["account_count"], row[0]["total_mrr"]) == (1, 25_000, Decimal("25000.00"))
+    assert accounts.count() == 25_000
+    assert rollup.with_labels(ranked, accounts).first()["accounts"].split(", ") == [f"a{i:05d}" for i in range(25_000)]
 
 
-def test_cards_count_a_feature_once_over_its_rows(spark):
-    from checks.tables import Tables
+def test_samples_with_a_common_opening_are_different(spark):
+    mentions = spark.createDataFrame([("f", "A", "", Decimal(1), "x" * 250 + str(i % 2)) for i in range(6)], MENTION)
+    assert rollup.feature_samples(mentions).first()["samples"] == ["x" * 200] * 2
+    keyed = mentions.withColumn("sample_key", F.lit(1)).withColumn("sample", F.substring("sample", 1, 200))
+    assert rollup.feature_samples(keyed).first()["samples"] == ["x" * 200]
+
 
-    run = Tables(spark, "/root/testdata/sf0.001").run().where("id = 1")
-    rows = [(1, rank, f"f{rank}", Decimal(9 - rank), 1, part) for rank in range(1, 6) for part in (1, 2)]
-    features = spark.createDataFrame(rows, "run_id long, rank int, feature string, total_mrr decimal(18,2), account_count int, accounts_part int")
-    card = history_cards(run, features).first()
-    assert (card["feature_count"], card["more_features"]) == (5, 2)
-    assert [f["feature"] for f in card["top_features"]] == ["f1", "f2", "f3"]
+def test_an_insight_of_its_own_is_kept(spark):
+    mentions = spark.createDataFrame(
+        [("f", "A", "", Decimal(2), None, None), ("f", "B", "", Decimal(1), None, "sell it"), ("g", "B", "", Decimal(1), None, " ")], MENTION + ", insight string"
+    )
+    found = {r["feature"]: r["ai_insight"] for r in rollup.rank_features(mentions).collect()}
+    assert found["f"] == "sell it" and found["g"].startswith("1 account with $1.00")
 
 
 def test_rollup_by_hand(spark, sf_dir):
