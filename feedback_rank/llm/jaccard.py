@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
@@ -123,8 +123,8 @@ def _marked(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, f
 
 
 def _signatures(grams: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A bitmap of each set, of two to four bits a shingle: a power of two, and 64 bits at least."""
-    words = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(2 * n, 1) / 64)).clip(0).astype(np.int64))
+    """A bitmap of each set, of one to two bits a shingle: a power of two, and 64 bits at least."""
+    words = 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(words)])
     at = (mixed(grams) & (np.repeat(64 * words, n) - 1).astype(np.uint64)).astype(np.int64)
     bits = np.zeros(ends[-1], dtype=np.uint64)
@@ -405,14 +405,17 @@ def _possibly_in(rows: DataFrame, column: str, values: DataFrame, of: str) -> Da
     return _marked_in(rows, column, values, of, "_likely").where("_likely").drop("_likely")
 
 
-def _blocks(marked: DataFrame) -> DataFrame:
-    """(block, key): the classes under each block, blocks of two and more."""
-    rows = marked.select("key", F.explode("first").alias("token"))
+def _blocks(marked: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, key): the classes under each block that have another one of a fitting size there."""
+    rows = marked.select("key", "n", F.explode("first").alias("token"))
     shared = rows.groupBy("token").agg(F.min("key").alias("block"), F.max("key").alias("last")).where("block < last").select("token", "block")
     shared = checkpointed(shared)
-    return checkpointed(
-        _possibly_in(rows, "token", shared, "token").join(shared, "token").groupBy("block", "key").agg(F.lit(1).alias("_one")).select("block", "key")
-    )
+    members = _possibly_in(rows, "token", shared, "token").join(shared, "token").groupBy("block", "key").agg(F.first("n").alias("n"))
+    # whose neighbours in order of size do not fit, has none that does
+    by_size = Window.partitionBy("block").orderBy("n", "key")
+    smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    fit = F.coalesce(smaller * den >= F.col("n") * num, F.lit(False)) | F.coalesce(F.col("n") * den >= larger * num, F.lit(False))
+    return checkpointed(members.withColumn("_fit", fit).where("_fit").select("block", "key"))
 
 
 def _sliced(blocks: DataFrame, classes: DataFrame, columns: list[str], block_bytes: int) -> DataFrame:
@@ -486,7 +489,7 @@ def marked_documents(docs: DataFrame, words: int, percent: int, frequent: int =
 def class_links(docs: DataFrame, marked: DataFrame, words: int, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(a, b): links between classes, by key, enough of them to connect all that are connected."""
     num, den = _similarity(percent)
-    blocks = _blocks(marked)
+    blocks = _blocks(marked, num, den)
     # one row of each class in a block, with the smallest of its ids
     members = marked.where("n > 0").join(blocks.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")
