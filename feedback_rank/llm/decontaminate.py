@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from feedback_rank.llm.tokens import ragged, shingles, word_slices
+from feedback_rank.llm.tokens import in_small_batches, ragged, shingles, word_slices
 
 SEED_WORDS = 5
 COVERAGE = 0.5
@@ -173,7 +173,7 @@ def leaked_items(
     repeated rows are each reported; other columns are not read. Empty tables give no rows.
     The benchmark's size is measured at once.
     """
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    narrow = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     schema = StructType(
         [narrow.schema["doc_id"], benchmark.schema["item_id"], StructField("item_words", LongType()),
          StructField("covered_words", LongType()), StructField("coverage", DoubleType()), StructField("tiles", LongType())]
@@ -202,5 +202,5 @@ def decontaminated(
     text_at = docs.columns.index("text")
     for part in _parts(benchmark, seed_words, part_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(part)
-        docs = docs.mapInArrow(lambda batches, shared=shared: _kept(batches, text_at, shared.value, coverage), docs.schema)
+        docs = in_small_batches(docs).mapInArrow(lambda batches, shared=shared: _kept(batches, text_at, shared.value, coverage), docs.schema)
     return docs

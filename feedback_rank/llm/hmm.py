@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedback_rank.llm.tokens import Words, mixed, word_slices
+from feedback_rank.llm.tokens import Words, in_small_batches, mixed, word_slices
 from feedback_rank.session import checkpointed
 
 STATES = 8
@@ -347,7 +347,7 @@ def score_documents(docs: DataFrame, learned: Column, states: int = STATES, roun
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(learned, F.lit(False)).alias("learned"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select("doc_id", F.coalesce(learned, F.lit(False)).alias("learned"), F.col("text").cast("string").alias("text"))
     counts = count_words(rows.where("learned"))
     known = vocabulary(counts, rows.where("learned").count(), frequent, symbols)
     shared = spark.sparkContext.broadcast(known)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from feedback_rank.llm.tokens import mixed, ragged, shingles, word_slices
+from feedback_rank.llm.tokens import in_small_batches, mixed, ragged, shingles, word_slices
 from feedback_rank.session import checkpointed
 
 FREQUENT = 1 << 16         # shingles at most that are known to be frequent and put last
@@ -480,7 +480,7 @@ def marked_documents(docs: DataFrame, words: int, percent: int, frequent: int =
     """(doc_id, n, key, first, signature) of every document; written, as two passes over the texts lead to it."""
     num, den = _similarity(percent)
     often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words, frequent))
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    narrow = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     schema = narrow.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n", "key")], F.lit(None).cast("array<bigint>").alias("first"), F.lit(None).cast("binary").alias("signature")).schema
     arrow = to_arrow_schema(schema)
     return checkpointed(narrow.mapInArrow(lambda batches: _marked(batches, words, num, den, often.value, arrow), schema))

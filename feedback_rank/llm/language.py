@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedback_rank.llm.tokens import text_slices
+from feedback_rank.llm.tokens import in_small_batches, text_slices
 
 BUCKETS = 1 << 16
 MOST_LANGUAGES = 1_000  # more labels than this are an error: the model is sent to every task
@@ -207,7 +207,7 @@ def train_language_model(labelled: DataFrame, buckets: int = BUCKETS) -> Languag
     One pass over all texts; every task adds up its own, and Spark adds up the tasks. No
     labelled row gives a model without languages. More than MOST_LANGUAGES labels raise an error.
     """
-    rows = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = in_small_batches(labelled).select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.mapInArrow(lambda batches: _counted(batches, buckets), "lang string, kind int, place int, n long")
     summed = counted.groupBy("lang", "kind", "place").agg(F.sum("n").alias("n")).groupBy("lang", "kind").agg(
         F.collect_list(F.struct("place", "n")).alias("counts")  # no more than there are buckets
@@ -292,7 +292,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, penalty: float = PEN
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    narrow = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     schema = narrow.select(
         "doc_id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
         F.lit(None).cast("array<struct<lang: string, words: int>>").alias("spans"),
@@ -317,7 +317,7 @@ def in_one_language(docs: DataFrame, model: LanguageModel, least: float = LEAST_
             langs, shares, _ = _found(batch.column(text_at), shared.value, penalty)
             yield batch.filter(pa.array([lang != UNKNOWN and share >= least for lang, share in zip(langs, shares)], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return in_small_batches(docs).mapInArrow(kept, docs.schema)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from feedback_rank.llm.tokens import Words, shingles, text_slices
+from feedback_rank.llm.tokens import Words, in_small_batches, shingles, text_slices
 from feedback_rank.session import checkpointed
 
 TRAIN_ROWS = 50_000  # about so many labelled rows at most are learned from
@@ -105,7 +105,7 @@ def _measured(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, stats): the STATISTICS of every document's whole text, zeros for a null or empty one."""
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    narrow = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     schema = StructType([narrow.schema["doc_id"], StructField("stats", ArrayType(FloatType()))])
     arrow = pa.schema([to_arrow_schema(schema).field(0), pa.field("stats", pa.list_(pa.field("item", pa.float32())))])
     return narrow.mapInArrow(lambda batches: _measured(batches, arrow), schema)

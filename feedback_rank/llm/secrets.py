@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedback_rank.llm.tokens import in_small_batches
+
 # fixed values: the base patterns, their shortest findings, and the kinds in the order they are listed
 BASE = {
     "assign": re.compile(
@@ -209,7 +211,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    narrow = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     schema = narrow.select("doc_id", F.lit(None).cast(_SPANS).alias("spans")).schema
     arrow = to_arrow_schema(schema)
     return narrow.mapInArrow(lambda batches: _scanned(batches, 1, arrow), schema)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedback_rank.llm.tokens import Words, ragged, text_slices
+from feedback_rank.llm.tokens import Words, in_small_batches, ragged, text_slices
 
 END_ID = 1
 BLOCK_IDS = 1 << 20      # ids after which a block is closed; a longer document has a block of its own
@@ -281,7 +281,7 @@ def write_tokens(
     they are encoded once. Other columns are not read. Runs its jobs at once.
     """
     spark = docs.sparkSession
-    placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    placed = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     placed = placed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     placed.mapInArrow(lambda batches: _blocks(batches, tokenizer, end_id, block_ids), _BLOCKS).write.parquet(f"{path}/blocks")
 

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4_000_000  # texts are worked on in slices of about this size, a longer text in one slice of its own
+BATCH_ROWS = 2_000       # rows, and bytes, that tasks hand to Python at once
+BATCH_BYTES = 8 << 20
 _WINDOW = 1 << 20        # bytes hashed at once
 
 # an odd base and its inverse modulo 2**64
@@ -25,6 +28,20 @@ _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose tasks hand rows to Python by BATCH_ROWS and BATCH_BYTES at most.
+
+    Whole texts are long, and a task holds a batch in several forms at once. The settings are
+    the session's: they stay, and smaller ones of its own are left as they are.
+    """
+    conf, prefix = df.sparkSession.conf, "spark.sql.execution.arrow"
+    for name, most in ((f"{prefix}.maxRecordsPerBatch", BATCH_ROWS), (f"{prefix}.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            conf.set(name, str(most))
+    return df
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64."""
     out = np.full(n, base, dtype=np.uint64)
