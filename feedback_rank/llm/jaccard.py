@@ -32,11 +32,11 @@ from feedback_rank.llm.tokens import in_small_batches, mixed, ragged, shingles,
 from feedback_rank.session import checkpointed
 
 FREQUENT = 1 << 16         # shingles at most that are known to be frequent and put last
-FREQUENT_IN_TASK = 4       # times a task must meet a shingle to report it
+FREQUENT_IN_TASK = 3       # times a task must meet a shingle, among some _RUN others, to report it
 BLOCK_BYTES = 32_000_000   # of sets in one task at once, half of it from each of two slices
 LEAF = 16
 FAN_OUT = 8
-_RUN = 1 << 22             # shingles counted at once
+_RUN = 1 << 20             # shingles counted at once
 _FILTER_BITS = 24          # of the bitmap that keeps rows without a partner from being shuffled
 _SET_BYTES = 6             # kept of a shingle's hash where sets are compared
 

@@ -28,8 +28,8 @@ MOST_LANGUAGES = 1_000  # more labels than this are an error: the model is sent
 PENALTY = 8.0           # of a change of language, in natural logarithms
 PIECE = 40              # letters after which a run without a break is parted, as in scripts without spaces
 SCRIPT_SHARE = 0.001    # of a language's letters that make a script one of its own
-LETTER_BYTES = 1_000_000     # text taken apart at once
-SCORES_AT_ONCE = 8_000_000  # scores of words by language labelled at once, or those of one longer text
+LETTER_BYTES = 500_000      # text taken apart at once
+SCORES_AT_ONCE = 4_000_000  # scores of words by language labelled at once, or those of one longer text
 LEAST_SHARE = 0.5           # of a text's letters that its language must have to be taken as written in it
 UNKNOWN = "und"
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4_000_000  # texts are worked on in slices of about this size, a longer text in one slice of its own
+SLICE_BYTES = 2_000_000  # texts are worked on in slices of about this size, a longer text in one slice of its own
 BATCH_ROWS = 2_000       # rows, and bytes, that tasks hand to Python at once
 BATCH_BYTES = 8 << 20
 _WINDOW = 1 << 20        # bytes hashed at once
