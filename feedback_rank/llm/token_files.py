@@ -33,7 +33,7 @@ from feedback_rank.llm.tokens import Words, in_small_batches, ragged, text_slice
 
 END_ID = 1
 BLOCK_IDS = 1 << 20      # ids after which a block is closed; a longer document has a block of its own
-CACHED_WORDS = 1 << 20   # words whose ids a Python worker keeps
+CACHED_WORDS = 1 << 18   # words whose ids a Python worker keeps
 _SAMPLE = 512
 
 # fixed values: the splitting of the public word-level tokenizer, as its file has it

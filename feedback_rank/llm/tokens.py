@@ -151,6 +151,8 @@ def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int
         upto = min(upto, len(column))
         yield first, upto, data[offsets[first]:offsets[upto]], offsets[first:upto + 1] - offsets[first]
         first = upto
+    # Arrow's pool keeps what batches before this one took, and a worker lives for many tasks
+    pa.default_memory_pool().release_unused()
 
 
 def word_slices(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, Words]]:
