@@ -33,7 +33,8 @@ from feedback_rank.llm.tokens import Words, in_small_batches, ragged, text_slice
 
 END_ID = 1
 BLOCK_IDS = 1 << 20      # ids after which a block is closed; a longer document has a block of its own
-CACHED_WORDS = 1 << 18   # words whose ids a Python worker keeps
+CACHED_WORDS = 1 << 20   # words whose ids a Python worker keeps, in arrays
+CACHED_PIECES = 1 << 17  # and parts of words, as objects
 _SAMPLE = 512
 
 # fixed values: the splitting of the public word-level tokenizer, as its file has it
@@ -179,8 +180,10 @@ class _WordByWord:
         words = Words(data, bounds, lower=b"<|" not in data.tobytes())
         if not len(words.starts):
             return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64)
-        if len(self.keys) > CACHED_WORDS or len(self.known) > CACHED_WORDS:
+        if len(self.keys) > CACHED_WORDS:
             self.forget()
+        if len(self.known) > CACHED_PIECES:
+            self.known.clear()
         keys, places, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), dtype=bool)
