@@ -30,7 +30,6 @@ PIECE = 40              # letters after which a run without a break is parted, a
 SCRIPT_SHARE = 0.001    # of a language's letters that make a script one of its own
 LETTER_BYTES = 500_000      # text taken apart at once
 SCORES_AT_ONCE = 4_000_000  # scores of words by language labelled at once, or those of one longer text
-LEAST_SHARE = 0.5           # of a text's letters that its language must have to be taken as written in it
 UNKNOWN = "und"
 
 # fixed values: where scripts lie, by their first and last code points
@@ -304,18 +303,19 @@ def predict_language(docs: DataFrame, model: LanguageModel, penalty: float = PEN
     return narrow.mapInArrow(lambda batches: _predicted(batches, shared.value, penalty, arrow), schema)
 
 
-def in_one_language(docs: DataFrame, model: LanguageModel, least: float = LEAST_SHARE, penalty: float = PENALTY) -> DataFrame:
-    """The rows of ``docs`` in which one language has ``least`` of the letters or more; the columns stay.
+def in_known_languages(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``docs`` with a language, however many languages share the text; the columns stay.
 
-    Texts that are null or without letters go, and all do under a model without languages.
+    What is ``und`` to :func:`predict_language` goes: texts that are null or without letters,
+    and all under a model without languages.
     """
     text_at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, shares, _ = _found(batch.column(text_at), shared.value, penalty)
-            yield batch.filter(pa.array([lang != UNKNOWN and share >= least for lang, share in zip(langs, shares)], pa.bool_()))
+            langs, _, _ = _found(batch.column(text_at), shared.value, penalty)
+            yield batch.filter(pa.array([lang != UNKNOWN for lang in langs], pa.bool_()))
 
     return in_small_batches(docs).mapInArrow(kept, docs.schema)
 

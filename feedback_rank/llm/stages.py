@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedback_rank.llm.decontaminate import decontaminated
 from feedback_rank.llm.jaccard import deduplicated
-from feedback_rank.llm.language import in_one_language, train_language_model
+from feedback_rank.llm.language import in_known_languages, train_language_model
 from feedback_rank.llm.mixing import mixed_documents
 from feedback_rank.llm.queries import tokenizer_path
 from feedback_rank.llm.token_files import read_tokens, write_tokens
@@ -14,8 +14,8 @@ from feedback_rank.session import scratch_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents mostly in one of the languages that the labelled ones teach; those without letters go."""
-    return in_one_language(docs, train_language_model(docs))
+    """Documents in the languages that the labelled ones teach, mixed or not; those without letters go."""
+    return in_known_languages(docs, train_language_model(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

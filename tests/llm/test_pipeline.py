@@ -46,6 +46,22 @@ def test_language(stages):
     assert all(not any(c.isalpha() for c in text or "") for _, text, *_ in gone) and sum(gone.values()) >= 3
 
 
+def test_mixed_languages_stay(spark):
+    """Three languages at 40/35/25, and two at 49.5 each with a few words of a third."""
+    from feedback_rank.llm.language import predict_language, train_language_model
+    from feedback_rank.llm.stages import language
+
+    en, ru, el = "the cat and the dog were there ", "это не тот дом который мы видели ", "αυτό είναι το σπίτι μας "
+    letters = {x: sum(c.isalpha() for c in x) for x in (en, ru, el)}
+    part = lambda x, n: x * (n // letters[x])
+    texts = [en * 3, ru * 3, el * 3, part(en, 4000) + part(ru, 3500) + part(el, 2500), part(en, 4950) + part(ru, 4950) + part(el, 100), "12 --- 34", "", None]
+    langs = ["en", "ru", "el"] + [None] * 5
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, (t, x) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string, source string, n_chars long")
+    scores = {r.doc_id: (r.score, [s.lang for s in r.spans]) for r in predict_language(docs, train_language_model(docs)).collect()}
+    assert all(score < 0.5 and spans == ["en", "ru", "el"] for score, spans in (scores[3], scores[4]))
+    assert sorted(r.doc_id for r in language(spark, docs, "").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_near_duplicates(stages):
     _, rows, _, kept = stages[1]
     label = plain_components([text_set(r[1], 5) for r in rows], 80, 100)
