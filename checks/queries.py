@@ -310,18 +310,25 @@ def extract_mentions(t):
     return extract.extract_mentions(t.spread(t.feedback()), t.phrase()).drop("sample_key")
 
 
-@query
-def extract_late_phrase(t):
-    """The plug-in finds phrases that stand beyond the first window of a text."""
-    def marked(lines: str) -> str:
+def late_phrases(feedback, marked):
+    """The plug-in's findings, once a text, of a phrase with the text's id behind the whole texts that are ``marked``."""
+    def listed(lines: str) -> str:
         import json
+        import re
+
+        return json.dumps({"features": [{"feature": "late", "accounts": sorted(set(re.findall(r"zz (\S+) marker zz", lines)))}]})
 
-        return json.dumps({"features": [{"feature": "late", "accounts": ["found"] * lines.count("zz marker zz")}]})
+    # within the overlap of windows a phrase stands in both of them, which may go to different calls
+    text = F.concat(F.coalesce("feedback", F.lit("")), F.lit(" zz "), "insight_id", F.lit(" marker zz"))
+    chunks = extract.extract_plugin(feedback.withColumn("feedback", F.when(marked, text).otherwise(F.col("feedback"))), listed)
+    found = payload.payload_mentions(payload.parse_payload(chunks)).where(F.col("account_name") != "")
+    return found.groupBy("feature", F.lit("found").alias("account_name")).agg(F.countDistinct("account_name").alias("texts"))
 
-    text = F.concat(F.rpad(F.coalesce("feedback", F.lit("x")), 620, "x"), F.lit(" zz marker zz"))
-    late = t.feedback().withColumn("feedback", F.when(F.col("doc_id") % 5 == 0, text).otherwise(F.lit("short")))
-    chunks = extract.extract_plugin(late, marked)
-    return payload.payload_mentions(payload.parse_payload(chunks)).groupBy("feature", "account_name").agg(F.count("*").alias("texts"))
+
+@query
+def extract_late_phrase(t):
+    """The plug-in reads all texts whole: it finds a phrase at the end of every fifth, and none in the others."""
+    return late_phrases(t.feedback(), F.col("doc_id") % 5 == 0)
 
 
 @query

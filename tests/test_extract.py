@@ -177,6 +177,31 @@ def test_long_texts_have_several_lines(spark):
         extract.prompt_lines(_feedback(spark, ["x"]), overlap=500)
 
 
+def test_late_phrases_of_whole_texts(spark):
+    """A phrase behind texts of any length counts once a text: in one window, in two, and after many."""
+    from checks.queries import late_phrases
+
+    # 470 to 530, 870 to 930: the phrase crosses a window's end or stands in the overlap of two
+    sizes = [1, 620, 1700, 9000, *range(380, 540), *range(860, 940)]
+    feedback = _feedback(spark, ["y" * n for n in sizes] + [None, "  "])
+    assert [tuple(r) for r in late_phrases(feedback, F.lit(True)).collect()] == [("late", "found", len(sizes) + 2)]
+    assert [tuple(r) for r in late_phrases(feedback, F.col("insight_id") < "i004").collect()] == [("late", "found", 4)]
+    assert late_phrases(feedback, F.lit(False)).count() == 0
+
+
+def test_late_phrase_query_keeps_texts_whole(spark, sf_dir, monkeypatch):
+    from checks import queries
+
+    t, seen = Tables(spark, sf_dir), []
+    real = extract.extract_plugin
+    monkeypatch.setattr(extract, "extract_plugin", lambda feedback, fn: seen.append(feedback) or real(feedback, fn))
+    queries.QUERIES["extract_late_phrase"](t)
+    whole = {r.insight_id: r.feedback for r in t.feedback().collect()}
+    read = {r.insight_id: r.feedback for r in seen[0].collect()}
+    assert set(read) == set(whole)
+    assert all((read[i] or "").startswith(text or "") for i, text in whole.items())
+
+
 def test_plugin_error_is_kept(spark):
     def fn(lines):
         raise ValueError("model gone")
