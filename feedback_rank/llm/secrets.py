@@ -4,7 +4,9 @@ Base spans are what three patterns find: assignments, access keys and long runs
 digits. On top of them come spans that are reported only after decoding: a base64 or hex
 run must decode, and the bytes must be a private key (a DER or OpenSSH encoding whose
 nested lengths add up to the last byte) or, for three dotted parts, a signed token whose
-header is a JSON object that names an algorithm.
+header is a JSON object that names an algorithm. Such runs may be wrapped, escaped or
+quoted, or stand behind a path; a PEM body that its headers call encrypted must decode to
+whole blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +37,16 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "token")
 
 # candidates that have to be decoded
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_BEFORE, _BEHIND = " \t>|#*\"'`", " \t,;\\\"'`"  # around a line of a PEM body
+_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
+_KEY_START = re.compile(r"M(?=[A-P][A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjE")  # a sequence, or OpenSSH's mark
+_RUN = re.compile(r"[A-Za-z0-9+/_-]++")
+# between two lines of base64: an end of line, plain or escaped, with quotes and indents around it
+_WRAP = re.compile(
+    r"""["'`]?+[ \t]*+(?:(?:\\++[nr])++["'`]?+(?:[ \t]*+\+(?=[ \t]*+\r?\n))?+|(?:\+(?=[ \t]*+\r?\n))?+\\?+[ \t]*+\r?\n)[\s>|#*"'`]*+"""
+)
+_KEY_LEAST = 40  # base64 characters
 _HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}(?![0-9A-Fa-f])")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 
@@ -147,9 +158,108 @@ def _key_kind(data: bytes | None) -> str | None:
     return "openssh" if is_openssh_key(data) else "der" if is_der_key(data) else None
 
 
-def _base64_kind(text: str) -> str | None:
-    # only these beginnings can decode to a sequence of a fitting length or to the OpenSSH mark
-    return _key_kind(_decoded(text)) if text.startswith(("M", "b3BlbnNzaC1rZXktdjE")) else None
+def _is_pem_body(label: str, body: str) -> bool:
+    """Whether a body between marks is a key, under escapes, quotes and header lines; an encrypted one can only decode."""
+    body = re.sub(r"(?<!\\)\\++[nr]", "\n", body).replace("\\t", " ").replace("\\/", "/")
+    body = re.sub(r"""["'`]\s*\+\s*["'`]""", "\n", body)  # strings that are added up
+    lines = [line.lstrip(_BEFORE).rstrip(_BEHIND) for line in body.splitlines()]
+    headers = [i for i, line in enumerate(lines) if _HEADER.match(line)]
+    texts = ["".join(line for line in lines if not _HEADER.match(line))]
+    if headers and "" in lines[headers[0]:]:  # headers with continued lines end at an empty one
+        texts.append("".join(lines[lines.index("", headers[0]):]))
+    encrypted = "ENCRYPTED" in label
+    cipher = any("4,ENCRYPTED" in lines[i] for i in headers) and any(lines[i].startswith("DEK-Info:") for i in headers)
+    for data in map(_decoded, texts):
+        if _key_kind(data) or data and (encrypted or cipher and len(data) % 8 == 0):
+            return True
+    return False
+
+
+def _pem_spans(text: str) -> list[tuple[int, int]]:
+    """Blocks of two marks of one label that follow each other, around a key."""
+    found, begin = [], None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin:
+            if begin[2] == m[2] and _is_pem_body(m[2], text[begin.end():m.start()]):
+                found.append((begin.start(), m.end()))
+            begin = None
+    return found
+
+
+class _Chain:
+    """Runs of base64 that follow each other as wrapped lines, from ``start`` on."""
+
+    def __init__(self, text: str, start: int):
+        self.places, self.offsets, parts, size = [], [], [], 0
+        at = start
+        while m := _RUN.match(text, at):
+            self.places.append(m.start())
+            self.offsets.append(size)
+            parts.append(m[0])
+            size += len(m[0])
+            self.end = m.end()
+            wrap = _WRAP.match(text, m.end())
+            if not wrap:
+                break
+            at = wrap.end()
+        self.chars = "".join(parts).translate({ord("-"): "+", ord("_"): "/"})
+        self.ends = {o: p + o - b for p, b, o in zip(self.places, self.offsets, [*self.offsets[1:], size])}
+
+    def offset(self, place: int) -> int:
+        line = bisect_right(self.places, place) - 1
+        return self.offsets[line] + place - self.places[line]
+
+    def read(self, offset: int, first: int, count: int) -> bytes:
+        """Bytes of what is encoded from ``offset`` on; fewer where it ends."""
+        part = self.chars[offset + first // 3 * 4:offset + -(-(first + count) // 3) * 4]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        return base64.b64decode(part + "=" * (-len(part) % 4))[first % 3:first % 3 + count]
+
+
+def _key_length(chain: _Chain, offset: int) -> int | None:
+    """The bytes that a key at ``offset`` must have, by its own lengths."""
+    head = chain.read(offset, 0, 15)
+    if head == _OPENSSH:
+        at, most = len(_OPENSSH), len(chain.chars) - offset
+        for _ in range(3):
+            at += 4 + int.from_bytes(chain.read(offset, at, 4), "big")
+        keys, at = int.from_bytes(chain.read(offset, at, 4), "big"), at + 4
+        for _ in range(min(keys, most) + 1):
+            if at > most:
+                return None
+            at += 4 + int.from_bytes(chain.read(offset, at, 4), "big")
+        return at
+    if len(head) < 15 or head[0] != _SEQUENCE:
+        return None
+    size = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if size > 4 or head[2 + size:4 + size] != b"\2\1" or head[4 + size] > 1:  # all keys begin with a version
+        return None
+    return 2 + size + (int.from_bytes(head[2:2 + size], "big") if size else head[1])
+
+
+def _base64_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64 at any start that no letter or digit precedes; they end where a run or a wrapped line does."""
+    found, chain, upto = [], None, 0
+    for m in _KEY_START.finditer(text):
+        start = m.start()
+        before = text[start - 1:start]
+        escaped = before in ("n", "r", "t") and text[start - 2:start - 1] == "\\"
+        if start < upto or before.isascii() and before.isalnum() and not escaped:
+            continue
+        if chain is None or start >= chain.end:
+            chain = _Chain(text, start)
+        offset = chain.offset(start)
+        length = _key_length(chain, offset)
+        chars = -(-4 * length // 3) if length else 0
+        end = chain.ends.get(offset + chars)
+        if chars < _KEY_LEAST or end is None:
+            continue
+        if kind := _key_kind(_decoded(chain.chars[offset:offset + chars])):
+            upto = end + len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+            found.append((start, upto, kind))
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -165,15 +275,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what the structure confirms; a key within a PEM block counts once, as the block."""
-    found, taken = [], []
-    for m in _PEM.finditer(text):
-        if "ENCRYPTED" in m[1] and _decoded(m[2]) or _key_kind(_decoded(m[2])):
-            found.append((m.start(), m.end(), "pem"))
-            taken.append(m.span())
-    inside = lambda m: any(a <= m.start() < b for a, b in taken)
-    for m in _BASE64.finditer(text):
-        if (kind := _base64_kind(m[0])) and not inside(m):
-            found.append((m.start(), m.end(), kind))
+    taken = _pem_spans(text) if "-----BEGIN " in text else []
+    found = [(a, b, "pem") for a, b in taken]
+    for start, end, kind in _base64_spans(text):
+        at = bisect_right(taken, (start, len(text))) - 1
+        if at < 0 or start >= taken[at][1]:
+            found.append((start, end, kind))
     for m in _HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
             found.append((m.start(), m.end(), kind))

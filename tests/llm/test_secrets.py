@@ -109,6 +109,30 @@ def test_confirmed_spans():
     assert confirmed_spans(json.dumps({"k": token()}))[0][2] == "token"
 
 
+def test_keys_in_other_forms():
+    """Escaped, quoted, with headers, wrapped without marks, and behind a separator inside a run."""
+    key, ssh = base64.b64encode(rsa_key()).decode(), base64.b64encode(openssh_key()).decode()
+    lines = [key[i:i + 64] for i in range(0, len(key), 64)]
+    pem = ["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----"]
+    cipher = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "", base64.b64encode(b"\7" * 64).decode()]
+    blocks = [
+        "\\n".join(pem), "\\r\\n".join(pem), "\\\\n".join(pem), "\n> ".join(pem), "\n    ".join(pem), '\\n" +\n  "'.join(pem), '",\n "'.join(pem),
+        "\n".join([pem[0], "Comment: mine", "", *pem[1:]]), "\n".join([pem[0], *cipher, pem[-1]]),
+    ]
+    for block in blocks:
+        assert [(a, b, k) for a, b, k in confirmed_spans(f'x "{block}" y')] == [(3, 3 + len(block), "pem")], block
+    wrapped = [ssh[i:i + 70] for i in range(0, len(ssh), 70)]
+    for parts, kind in ((lines, "der"), (wrapped, "openssh")):
+        for by in ("\n", "\r\n", "\\n", "\n> ", "\n    ", '" +\n  "'):
+            run = by.join(parts)
+            assert confirmed_spans(f"x {run}\nmore words") == [(2, 2 + len(run), kind)], run
+    for run, kind in ((key, "der"), (ssh, "openssh")):
+        for head in ("/keys/", "a+", "a-b_", "\\n", "key="):
+            assert confirmed_spans(f"{head}{run} z") == [(len(head), len(head) + len(run), kind)], head
+    assert confirmed_spans(f"a{key}") == [] and confirmed_spans("\n".join(lines[:-1])) == []
+    assert confirmed_spans("\n".join([pem[0], *cipher[:-1], "AAAA", pem[-1]])) == []
+
+
 def test_empty_and_extra_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, spans string")
     assert secret_digests(empty).count() == 0
