@@ -12,11 +12,14 @@ from feedback_rank.llm.fixity import audit, fixity, laid_out, warc_records
 from feedback_rank.llm.hmm import score_documents
 from feedback_rank.llm.jaccard import near_duplicates
 from feedback_rank.llm.language import held_out, predict_language, train_language_model
+from feedback_rank.llm.merge_replay import encoding_digests
 from feedback_rank.llm.mixing import mixed_sizes
+from feedback_rank.llm.negatives import hard_negatives, labelled_vectors
 from feedback_rank.llm.quality import document_statistics, quality_scores, train_quality
 from feedback_rank.llm.secrets import secret_digests
 from feedback_rank.llm.token_files import read_tokens, write_tokens
 from feedback_rank.llm.topk import top_products, whole_vectors
+from feedback_rank.llm.variants import dented_words, spelling_variants
 from feedback_rank.session import checkpointed, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,10 +35,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_pattern() -> str:
+    """The pattern that parts texts before the merges of the rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,3 +176,47 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
     model = train_language_model(docs.where(F.col("doc_id").isNotNull() & ~held))
     return predict_language(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every fiftieth vector and each of its five positives, the three best rows of other labels that are clearly less alike."""
+    vectors = labelled_vectors(_table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", label)
+    return hard_negatives(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+ORACLE_SQL["op11_hard_negatives"] = """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS point
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.point, v.point)::BIGINT AS score
+  FROM valid a JOIN valid v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
+@_query
+def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as byte-level tokens, and decoded again, in digests."""
+    return encoding_digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), word_pattern())
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent enough word of all documents with its neighbours, its form and its root."""
+    return spelling_variants(dented_words(_table(spark, sf_dir, "documents")))
