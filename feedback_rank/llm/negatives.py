@@ -4,7 +4,7 @@ Every vector is turned by a fixed random rotation (signs and Hadamard transforms
 as the signs of its sides, one bit each, with its alignment: the length of its projection on
 the unit vector of these signs. What the projection leaves is coded again, a few times over,
 and the length of what is left after each level is kept too. Against a query whose turned
-sides are cut to eight bit planes, a level's product is a popcount of code and planes, and
+sides are cut to six bit planes, a level's product is a popcount of code and planes, and
 the part not coded is orthogonal to the code, so by Cauchy and Schwarz
 
     |product - estimate| <= |rest of the vector| * sqrt(|query|**2 - <query, code>**2),
@@ -36,7 +36,7 @@ from feedback_rank.session import checkpointed
 SHARD_BYTES = 16_000_000  # of the vectors of a shard, as doubles
 BLOCK_ANCHORS = 256
 LEVELS = 4                # codes of each vector, one of the rest of the other
-PLANES = 8                # bits of each side of a query
+PLANES = 6                # bits of each side of a query
 SEEDS = 32                # rows scored at each level to learn what score is needed
 _EXACT = float(1 << 53)   # products of whole numbers up to here are exact in doubles
 _SLACK = 1e-9             # of |vector| * |query|, far above what rounding in doubles can add
@@ -65,11 +65,11 @@ def rotated(points: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """One-bit codes of some vectors: for each level the signs, the alignment, and the length of the rest."""
+    """One-bit codes of some vectors: for each level the signs (words of 64 bits by row), the alignment, and the length of the rest."""
 
     def __init__(self, signs: np.ndarray, aligned: np.ndarray, rest: np.ndarray, norms: np.ndarray):
         self.signs, self.aligned, self.rest, self.norms = signs, aligned, rest, norms
-        self.ones = np.bitwise_count(signs).sum(axis=2, dtype=np.int64)
+        self.ones = np.bitwise_count(signs).sum(axis=1, dtype=np.int32)  # signs are by level, word of 64, and row
 
     @staticmethod
     def of(points: np.ndarray, levels: int = LEVELS) -> Codes:
@@ -82,7 +82,7 @@ class Codes:
             unit = np.where(up, 1.0, -1.0) / np.sqrt(width)
             along = (left * unit).sum(axis=1)
             left = left - along[:, None] * unit
-            signs.append(np.packbits(up, axis=1, bitorder="little").view(np.uint64))
+            signs.append(np.packbits(up, axis=1, bitorder="little").view(np.uint64).T)
             aligned.append(along)
             rest.append(np.linalg.norm(left, axis=1))
         return Codes(np.stack(signs), np.stack(aligned), np.stack(rest), norms)
@@ -104,10 +104,13 @@ class Query:
 
     def along(self, signs: np.ndarray, ones: np.ndarray) -> np.ndarray:
         """The products with the unit vectors of these signs, each at most ``off`` wrong."""
-        inside = np.zeros(len(signs), dtype=np.int64)
-        for bit, plane in enumerate(self.planes):
-            inside += np.bitwise_count(signs & plane).sum(axis=1, dtype=np.int64) << bit
-        return (self.step * (2 * inside - self.total) + self.low * (2 * ones - self.width)) / np.sqrt(self.width)
+        inside = np.zeros(signs.shape[1], dtype=np.int32)
+        for word, part in enumerate(signs):
+            for bit, plane in enumerate(self.planes[:, word]):
+                inside += np.left_shift(np.bitwise_count(part & plane), bit, dtype=np.int32)
+        root = np.sqrt(self.width)
+        fixed = (self.step * self.total + self.low * self.width) / root
+        return inside * (2 * self.step / root) + (ones * (2 * self.low / root) - fixed)
 
 
 class Shard:
@@ -155,12 +158,13 @@ class Shard:
         top, scored, found = max(high for _, high in bands), np.empty(0, np.int64), []
         estimate, slack = np.zeros(len(rows)), np.zeros(len(rows))
         for level in range(len(codes.signs)):
-            along = query.along(codes.signs[level, rows], codes.ones[level, rows])
-            estimate = estimate + codes.aligned[level, rows] * along
-            slack = slack + codes.aligned[level, rows] * query.off
+            aligned = codes.aligned[level][rows]
+            along = query.along(codes.signs[level][:, rows], codes.ones[level][rows])
+            estimate += aligned * along
+            slack += aligned * query.off
             sure = np.maximum(0.0, np.abs(along) - query.off)
-            half = codes.rest[level, rows] * np.sqrt(np.maximum(0.0, query.norm**2 - sure**2))
-            half = half + slack + _SLACK * codes.norms[rows] * query.norm
+            half = codes.rest[level][rows] * np.sqrt(np.maximum(0.0, query.norm**2 - sure * sure))
+            half += slack + (_SLACK * query.norm) * codes.norms[rows]
             if len(rows) > seeds:  # the best estimates not above the bands tell what scores there are
                 hopeful = np.where(estimate <= top, estimate, -_NONE)
                 first = rows[np.argpartition(-hopeful, seeds)[:seeds]]
@@ -170,9 +174,8 @@ class Shard:
                     inside = np.sort(found[(found >= low) & (found <= high)].astype(object))
                     if len(inside) >= k:
                         needed[i] = max(needed[i], inside[-k])
-            stays = np.zeros(len(rows), dtype=bool)
-            for need, (_, high) in set(zip(needed, bands)):
-                stays |= (estimate + half >= float(need)) & (estimate - half <= float(high))
+            # bands of one query overlap, so one test of all of them together loses little
+            stays = (estimate + half >= float(min(needed))) & (estimate - half <= float(top))
             rows, estimate, slack = rows[stays], estimate[stays], slack[stays]
         found = self.scores(rows, point)
         out = []

@@ -33,7 +33,7 @@ def test_rotation_keeps_products_and_intervals_hold(width, spread):
         estimate = slack = 0
         for level in range(4):
             along = query.along(codes.signs[level], codes.ones[level])
-            unit = np.where(np.unpackbits(codes.signs[level].view(np.uint8), axis=1, bitorder="little"), 1, -1) / np.sqrt(turned.shape[1])
+            unit = np.where(np.unpackbits(np.ascontiguousarray(codes.signs[level].T).view(np.uint8), axis=1, bitorder="little"), 1, -1) / np.sqrt(turned.shape[1])
             assert (np.abs(unit @ turned[i] - along) <= query.off + 1e-9 * query.norm).all()
             estimate, slack = estimate + codes.aligned[level] * along, slack + codes.aligned[level] * query.off
             sure = np.maximum(0, np.abs(along) - query.off)
