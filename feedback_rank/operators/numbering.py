@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedback_rank.functions.names import free_names
 from feedback_rank.session import checkpointed
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row in its lower 33 bits
@@ -21,30 +22,29 @@ def number_rows(
     them; each task numbers its own rows, and the count of rows in the tasks
     before is added. ``order`` must end in a key that has no ties. The sorted
     rows are checkpointed: range bounds are sampled, and both passes must see
-    the same ones. Select only the columns you need before the call.
+    the same ones. Select only the columns you need before the call. A column that
+    is named like the number is replaced; all other names are kept apart from ours.
     """
+    at, task, first, rows, so_far = free_names([*df.columns, name], "at", "task", "first", "rows", "before")
     keys = [F.col(group) for group in groups]
     placed = checkpointed(
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_task", F.shiftright("_at", _ROW_BITS))
+        .withColumn(at, F.monotonically_increasing_id())
+        .withColumn(task, F.shiftright(at, _ROW_BITS))
     )
-    runs = placed.groupBy("_task", *groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_task").rowsBetween(
+    runs = placed.groupBy(task, *groups).agg(F.min(at).alias(first), F.count("*").alias(rows))
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(task).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = runs.select(
-        "_task", *groups, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
-    )
+    offsets = runs.select(task, *groups, first, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(so_far))
+    same = F.col(f"p.{task}") == F.col(f"o.{task}")
     if groups:
-        same = F.col("p._task") == F.col("o._task")
         for group in groups:
             same = same & F.col(f"p.{group}").eqNullSafe(F.col(f"o.{group}"))
     else:
         # one row per task of the sort, however many rows there are
-        offsets, same = F.broadcast(offsets), F.col("p._task") == F.col("o._task")
-    number = F.col("p._at") - F.col("o._first") + F.col("o._before") + 1
-    return placed.alias("p").join(offsets.alias("o"), same).select(
-        *[F.col(f"p.{c}") for c in df.columns], number.alias(name)
-    )
+        offsets = F.broadcast(offsets)
+    number = F.col(f"p.{at}") - F.col(f"o.{first}") + F.col(f"o.{so_far}") + 1
+    kept = [F.col(f"p.{c}") for c in df.columns if c != name]
+    return placed.alias("p").join(offsets.alias("o"), same).select(*kept, number.alias(name))
