@@ -119,11 +119,64 @@ VIEWS = {
         SELECT l_orderkey * 10 + l_linenumber AS chunk_id,
                CASE WHEN l_linenumber = 1 THEN 10 + l_orderkey % 5 ELSE l_linenumber END AS form,
                feature, account_name, platform_client_id, mrr, sample FROM v_account_mention""",
-    # a line for each window of 500 characters, 100 of them shared with the one before
+    "v_text": r"""
+        SELECT insight_id, created_at, account_name, platform_client_id, mrr, feedback
+        FROM v_feedback WHERE feedback IS NOT NULL AND trim(feedback, E' \t\n\r') <> ''""",
+    # sentences with their places, then windows of at most 500 characters, one sentence after the other
+    "v_part": r"""
+        WITH RECURSIVE piece AS (
+            SELECT insight_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS nth
+            FROM (SELECT insight_id, regexp_extract_all(feedback, '(?s).*?(?:[.!?…][ \t\r\n]+|[\r\n]+)|.+') AS pieces FROM v_text)),
+        placed AS (
+            SELECT insight_id, nth, length(rtrim(piece, E' \t\r\n')) AS size,
+                   sum(length(piece)) OVER (PARTITION BY insight_id ORDER BY nth) - length(piece) AS place FROM piece),
+        sentence AS (
+            SELECT insight_id, row_number() OVER (PARTITION BY insight_id ORDER BY nth) AS i, CAST(place AS BIGINT) AS place, CAST(place AS BIGINT) + size AS stop,
+                   size, (size + 299) // 400 - 1 AS cuts
+            FROM placed WHERE size > 0),
+        fold AS (
+            SELECT insight_id, i, CASE WHEN size > 500 THEN place + cuts * 400 ELSE place END AS start, stop,
+                   CASE WHEN size > 500 THEN place + cuts * 400 ELSE place END AS last,
+                   CASE WHEN size > 500 THEN list_transform(range(cuts), lambda k: [place + k * 400, place + k * 400 + 500]) ELSE [] END AS done
+            FROM sentence WHERE i = 1
+            UNION ALL
+            SELECT s.insight_id, s.i,
+                   CASE WHEN s.stop - f.start <= 500 THEN f.start WHEN size > 500 THEN place + cuts * 400 WHEN s.stop - f.last <= 500 THEN f.last ELSE place END,
+                   s.stop,
+                   CASE WHEN s.stop - f.start <= 500 THEN place WHEN size > 500 THEN place + cuts * 400 ELSE place END,
+                   CASE WHEN s.stop - f.start <= 500 THEN [] WHEN size <= 500 THEN [[f.start, f.stop]]
+                        ELSE list_concat([[f.start, f.stop]], list_transform(range(cuts), lambda k: [place + k * 400, place + k * 400 + 500])) END
+            FROM fold f JOIN sentence s ON s.insight_id = f.insight_id AND s.i = f.i + 1)
+        SELECT insight_id, w[1] AS start, w[2] AS stop, row_number() OVER (PARTITION BY insight_id ORDER BY w[1]) AS part
+        FROM (SELECT insight_id, unnest(done) AS w FROM fold
+              UNION ALL SELECT insight_id, [start, stop] FROM fold
+              QUALIFY i = max(i) OVER (PARTITION BY insight_id))""",
+    "v_line": """
+        SELECT insight_id, created_at, account_name, platform_client_id, part,
+               account_name || ' | ' || platform_client_id || ' | $' || format('{:,.2f}', CAST(mrr AS DOUBLE))
+               || ' | ' || substr(feedback, start + 1, stop - start) AS line
+        FROM v_text JOIN v_part USING (insight_id)""",
+    # texts in order into chunks of 250 lines, 2000 texts by themselves
+    "v_pack": """
+        WITH RECURSIVE text AS (
+            SELECT insight_id, row_number() OVER (ORDER BY created_at DESC, insight_id) - 1 AS n, count(*) AS lines
+            FROM v_line GROUP BY insight_id, created_at),
+        pack AS (
+            SELECT n // 2000 AS block, n % 2000 AS i, insight_id, CAST(0 AS BIGINT) AS first, (lines - 1) // 250 AS chunk, lines - (lines - 1) // 250 * 250 AS used
+            FROM text WHERE n % 2000 = 0
+            UNION ALL
+            SELECT block, t.n % 2000, t.insight_id, CASE WHEN used + lines <= 250 THEN chunk ELSE chunk + 1 END,
+                   CASE WHEN used + lines <= 250 THEN chunk ELSE chunk + 1 + (lines - 1) // 250 END,
+                   CASE WHEN used + lines <= 250 THEN used + lines ELSE lines - (lines - 1) // 250 * 250 END
+            FROM pack p JOIN text t ON t.n // 2000 = p.block AND t.n % 2000 = p.i + 1)
+        SELECT insight_id, first + before AS first
+        FROM pack JOIN (SELECT block, coalesce(sum(max(chunk) + 1) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                        FROM pack GROUP BY block) USING (block)""",
     "v_chunk": """
-        SELECT account_name, platform_client_id, (row_number() OVER (ORDER BY created_at DESC, insight_id, part) - 1) // 250 AS chunk_id
-        FROM (SELECT *, unnest(range(1, greatest(1, (length(feedback) - 100 + 399) // 400) + 1)) AS part
-              FROM v_feedback WHERE feedback IS NOT NULL AND trim(feedback, E' \\t\\n\\r') <> '')""",
+        SELECT l.*, CAST(first + (part - 1) // 250 AS BIGINT) AS chunk_id FROM v_line l JOIN v_pack USING (insight_id)""",
+    "v_call": """
+        SELECT chunk_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY created_at DESC, insight_id, part) AS lines
+        FROM v_chunk GROUP BY chunk_id""",
 }
 
 # Likeness by brute force: all pairs of word sets that share a word, with their counts.
@@ -181,10 +234,32 @@ _PARSED_FILTERS = (
 )
 
 # (CTEs beyond the views, SELECT)
+_CARD_PARTS = """
+    n AS (SELECT run_id, count(*) AS feature_count FROM {features} GROUP BY run_id),
+    top AS (SELECT run_id, string_agg('#' || rank || ' ' || feature || ' $' || format('{{:,.2f}}', CAST(total_mrr AS DOUBLE))
+                   || ' ' || account_count || ' accounts', '; ' ORDER BY rank) AS top_features
+            FROM {features} WHERE rank <= 3 GROUP BY run_id)"""
+_CARDS = """
+        SELECT id, strftime(created_at, '%Y-%m-%d') AS run_date, start_date || ' to ' || end_date AS period, total_feedbacks,
+               COALESCE(CAST(unique_accounts AS VARCHAR), '-') AS unique_accounts,
+               '$' || format('{{:,.0f}}', CAST(total_mrr AS DOUBLE)) AS mrr_in_scope, tags,
+               COALESCE(feature_count, 0) AS feature_count, COALESCE(top_features, '') AS top_features,
+               greatest(COALESCE(feature_count, 0) - 3, 0) AS more_features
+        FROM {runs} JOIN v_tags USING (id) LEFT JOIN n ON id = n.run_id LEFT JOIN top ON id = top.run_id"""
+_SCOPE_TOP = """top AS (SELECT account_name FROM v_scope GROUP BY account_name
+        ORDER BY max(mrr) DESC, account_name LIMIT 25)"""
+_SCOPE = r"""
+        SELECT insight_id, account_name, mrr, created_at{more} FROM v_scope
+        WHERE account_name IN (SELECT account_name FROM top)
+          AND regexp_matches(COALESCE(feedback, ''), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])la($|[^\p{{L}}\p{{M}}\p{{N}}_])', 'i')"""
+
 _QUERIES: dict[str, tuple[str, str]] = {
     "feedback_scan": ("", """
         SELECT account_owner, platform_client_id, account_name, mrr, tpv, insight_id, created_at, subcategory, feedback, created_by
         FROM v_scope"""),
+    "feedback_scan_lists": ("", """
+        SELECT account_owner, platform_client_id, account_name, mrr, tpv, insight_id, created_at, subcategory, feedback, created_by
+        FROM v_scope"""),
     "flatten": ("", """
         SELECT CASE WHEN a.account_id IS NULL OR doc_id % 3 = 0 THEN '' ELSE account_owner END AS account_owner,
                CASE WHEN a.account_id IS NULL THEN '' WHEN doc_id % 5 = 0 THEN NULL ELSE platform_client_id END AS platform_client_id,
@@ -208,11 +283,7 @@ _QUERIES: dict[str, tuple[str, str]] = {
     "account_label": ("", """
         SELECT account_id, account_name || CASE WHEN platform_client_id = '' THEN '' ELSE ' (' || platform_client_id || ')' END AS label
         FROM v_account"""),
-    "prompt_lines": ("", r"""
-        SELECT insight_id, CAST(part AS INT) AS part,
-               account_name || ' | ' || platform_client_id || ' | $' || format('{:,.2f}', CAST(mrr AS DOUBLE))
-               || ' | ' || substr(feedback, (part - 1) * 400 + 1, 500) AS line
-        FROM (SELECT *, unnest(range(1, greatest(1, (length(feedback) - 100 + 399) // 400) + 1)) AS part FROM v_words)"""),
+    "prompt_lines": ("", "SELECT insight_id, CAST(part AS INT) AS part, line FROM v_line"),
     "sample_split": ("", r"""
         SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, '|'), lambda x: trim(x, E' \t\n\r')),
                lambda x: x <> '')[1:3], '~') AS samples FROM documents"""),
@@ -240,11 +311,7 @@ _QUERIES: dict[str, tuple[str, str]] = {
         SELECT insight_id FROM v_feedback
         WHERE regexp_matches(COALESCE(feedback, ''), '(^|[^\p{L}\p{M}\p{N}_])ou($|[^\p{L}\p{M}\p{N}_])', 'i')"""),
     "nonblank": ("", r"SELECT insight_id FROM v_feedback WHERE trim(COALESCE(feedback, ''), E' \t\n\r') <> ''"),
-    "scope": ("""top AS (SELECT account_name FROM v_scope GROUP BY account_name
-        ORDER BY max(mrr) DESC, account_name LIMIT 25)""", r"""
-        SELECT insight_id, account_name, mrr, created_at FROM v_scope
-        WHERE account_name IN (SELECT account_name FROM top)
-          AND regexp_matches(COALESCE(feedback, ''), '(^|[^\p{L}\p{M}\p{N}_])la($|[^\p{L}\p{M}\p{N}_])', 'i')"""),
+    "scope": (_SCOPE_TOP, _SCOPE.format(more="")),
     "scope_totals": ("", """
         SELECT count(*) AS total_feedbacks, count(DISTINCT account_name) AS unique_accounts,
                CAST(sum(mrr) AS DECIMAL(18,2)) AS total_mrr
@@ -258,6 +325,13 @@ _QUERIES: dict[str, tuple[str, str]] = {
     "actionable_default": ("", r"""
         SELECT insight_id FROM v_feedback_fact
         WHERE doc_id % 4 IN (0, 2) OR regexp_matches(COALESCE(feedback, ''), '(^|[^\p{L}\p{M}\p{N}_])(need|needs|want|wants|would like|would love|wish|add|allow|enable|support for|integrate|integration|feature|request|requests|should be able|necesita|necesitan|necesitamos|quiere|quieren|queremos|agregar|permitir|integrar|solicita|solicitan|solicitamos|funcionalidad)($|[^\p{L}\p{M}\p{N}_])', 'i')"""),
+    "cue_scores": ("", r"""
+        SELECT insight_id, 0.25::DOUBLE + coalesce(list_sum(list_transform(buckets, lambda b: ((b * 37) % 101 - 50) / 64.0::DOUBLE)), 0) AS score
+        FROM (SELECT insight_id, list_distinct(list_transform(
+                         list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])),
+                         lambda run: CAST('0x' || md5(run)[1:7] AS BIGINT) % 1024)) AS buckets
+              FROM (SELECT insight_id, list_filter(regexp_split_to_array(lower(COALESCE(feedback, '')), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '') AS words
+                    FROM v_feedback))"""),
     "feature_accounts": ("", "SELECT feature, account_name, platform_client_id, mrr, label FROM v_labelled"),
     "account_labels": ("", "SELECT feature, accounts FROM v_labels"),
     "feature_rollup": ("", "SELECT feature, total_mrr, account_count FROM v_rollup"),
@@ -293,8 +367,16 @@ _QUERIES: dict[str, tuple[str, str]] = {
         FROM v_feedback"""),
     "extract_mentions": ("", "SELECT insight_id, feature, account_name, platform_client_id, mrr, sample FROM v_found"),
     "extract_late_phrase": ("", """
-        SELECT 'late' AS feature, 'found' AS account_name, count(*) AS texts FROM v_feedback WHERE doc_id % 5 = 0
-        HAVING count(*) > 0"""),
+        SELECT 'late' AS feature, 'found' AS account_name, count(*) AS texts FROM v_feedback HAVING count(*) > 0"""),
+    "chunk_lines": ("", "SELECT chunk_id, n_lines, md5(lines) AS lines FROM v_call"),
+    "call_ledger": ("", """
+        SELECT chunk_id, 'ok' AS status, length(lines) || ' characters' AS feature,
+               CAST(CASE WHEN length(lines) % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS calls FROM v_call"""),
+    "call_lanes": ("", """
+        SELECT chunk_id, CAST(chunk_id % 3 AS INT) AS lane, chunk_id // 6 AS wave FROM v_call"""),
+    "call_progress": ("", """
+        SELECT CAST(step AS INT) AS step, CAST(floor(100 * least(total, 6 * step) / total) AS INT) AS percent
+        FROM (SELECT total, unnest(range((total + 5) // 6 + 1)) AS step FROM (SELECT count(*) AS total FROM v_call) WHERE total > 0)"""),
     "extract_plugin": ("", r"""
         SELECT c.chunk_id, 'listed' AS feature, l.account_name, l.platform_client_id
         FROM (SELECT DISTINCT chunk_id FROM v_chunk) c
@@ -348,17 +430,11 @@ _QUERIES: dict[str, tuple[str, str]] = {
     "cascade_delete": ("", """
         SELECT h.id, COALESCE(f.features, 0) AS features FROM (SELECT id FROM v_run WHERE COALESCE(filters, '') NOT LIKE '%Top N%') h
         LEFT JOIN (SELECT run_id, count(*) AS features FROM v_run_feature GROUP BY run_id) f ON h.id = f.run_id"""),
-    "history_cards": ("""
-    n AS (SELECT run_id, count(*) AS feature_count FROM v_run_feature GROUP BY run_id),
-    top AS (SELECT run_id, string_agg('#' || rank || ' ' || feature || ' $' || format('{:,.2f}', CAST(total_mrr AS DOUBLE))
-                   || ' ' || account_count || ' accounts', '; ' ORDER BY rank) AS top_features
-            FROM v_run_feature WHERE rank <= 3 GROUP BY run_id)""", """
-        SELECT id, strftime(created_at, '%Y-%m-%d') AS run_date, start_date || ' to ' || end_date AS period, total_feedbacks,
-               COALESCE(CAST(unique_accounts AS VARCHAR), '-') AS unique_accounts,
-               '$' || format('{:,.0f}', CAST(total_mrr AS DOUBLE)) AS mrr_in_scope, tags,
-               COALESCE(feature_count, 0) AS feature_count, COALESCE(top_features, '') AS top_features,
-               greatest(COALESCE(feature_count, 0) - 3, 0) AS more_features
-        FROM v_run JOIN v_tags USING (id) LEFT JOIN n ON id = n.run_id LEFT JOIN top ON id = top.run_id"""),
+    "history_cards": (_CARD_PARTS.format(features="v_run_feature"), _CARDS.format(runs="v_run")),
+    "history_saved_cards": (_CARD_PARTS.format(
+        features="(SELECT * FROM v_run_feature WHERE rank <= 2 OR run_id % 3 <> 2 OR run_id % 10 = 0)"
+    ), _CARDS.format(runs="(SELECT * FROM v_run WHERE id % 5 <> 0 OR id % 10 = 0)")),
+    "scope_cached": (_SCOPE_TOP, _SCOPE.format(more=", 1 AS times_made")),
     "history_top3": ("", "SELECT run_id, rank, feature, total_mrr, account_count FROM v_run_feature WHERE rank <= 3"),
     "history_detail": ("", f"SELECT created_at, {_RUN_COLUMNS} FROM v_run_feature JOIN (SELECT id, created_at FROM v_run) ON run_id = id"),
     "csv_roundtrip": ("", """

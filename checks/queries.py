@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from checks.tables import Tables
 from feedback_rank.functions import columns as C
 from feedback_rank.functions.text import is_actionable
-from feedback_rank.operators import extract, merge, payload, rollup, scope
-from feedback_rank.plans import analyze, history
+from feedback_rank.operators import calls, cues, extract, merge, payload, rollup, scope
+from feedback_rank.plans import analyze, cache, history
 from feedback_rank.session import checkpointed, scratch_path
 from feedback_rank.sinks import csv as csv_sink
 from feedback_rank.sinks import history as saved
@@ -57,6 +57,16 @@ def feedback_scan(t):
     return source.read_feedback(t.feedback_fact(), t.account(), full(t))
 
 
+@query
+def feedback_scan_lists(t):
+    """The same run with its categories and owners as tables."""
+    categories = t.read("documents").select("source").where(F.col("source").isin(*CATEGORIES))
+    owners = t.read("nation").where("n_nationkey BETWEEN 2 AND 19").select("n_name")
+    return source.read_feedback(
+        t.feedback_fact(), t.account(), RunSpec(START, t.window_end()), subcategories=categories, account_owners=owners
+    )
+
+
 @query
 def flatten(t):
     return source.flatten(t.feedback_raw()).withColumn("created_at", naive("created_at"))
@@ -236,6 +246,28 @@ def actionable_default(t):
     return t.letter().where(is_actionable(F.col("feedback"))).select("insight_id")
 
 
+MARKS = cues.CueModel(tuple(((bucket * 37) % 101 - 50) / 64 for bucket in range(1 << 10)), 0.25)
+
+
+@query
+def cue_scores(t):
+    """The sums that given weights make of every whole text."""
+    return t.feedback().select("insight_id", cues.cue_score(F.col("feedback"), MARKS).alias("score"))
+
+
+def labelled_sentences(t):
+    """The sentences of all letters, labelled by hand, as it were: two kinds of endings ask for something."""
+    sentences = cues.sentences_of(t.spread(t.letter()))
+    return sentences.select("sentence", F.col("sentence").rlike("^(In my case we need ACH payouts|Queremos exportar)").alias("label"))
+
+
+@query
+def learned_requests(t):
+    """Letters that ask for something, by a model of the labelled sentences; SQL cannot train it, a test does it plainly."""
+    model = cues.train_cues(labelled_sentences(t))
+    return t.spread(t.letter()).where(cues.asks(F.col("feedback"), model)).select("insight_id")
+
+
 # --- mentions to ranked features -------------------------------------------------
 
 
@@ -327,8 +359,54 @@ def late_phrases(feedback, marked):
 
 @query
 def extract_late_phrase(t):
-    """The plug-in reads all texts whole: it finds a phrase at the end of every fifth, and none in the others."""
-    return late_phrases(t.feedback(), F.col("doc_id") % 5 == 0)
+    """The plug-in reads all texts whole: it finds a phrase at the end of each."""
+    return late_phrases(t.feedback(), F.lit(True))
+
+
+@query
+def chunk_lines(t):
+    return extract.chunked_lines(t.feedback()).select("chunk_id", "n_lines", F.md5("lines").alias("lines"))
+
+
+def _characters(lines: str) -> str:
+    return f'{{"features": [{{"feature": "{len(lines)} characters"}}]}}'
+
+
+def _characters_or_error(lines: str) -> str:
+    if len(lines) % 3 == 0:
+        raise ValueError("model gone")
+    return _characters(lines)
+
+
+@query
+def call_ledger(t):
+    """Every third chunk fails at first; the next run calls these alone, and a third run calls nothing."""
+    path = scratch_path(t.spark, "call-ledger")
+    for fn in (_characters_or_error, _characters, _characters):
+        chunks = extract.extract_plugin(t.feedback(), fn, ledger=path, label="sizes")
+    made = calls.read_ledger(t.spark, path).groupBy("key").agg(F.count("*").alias("calls"))
+    keys = calls.chunk_keys(extract.chunked_lines(t.feedback()), "sizes").select("chunk_id", "key")
+    found = payload.payload_features(payload.parse_payload(chunks)).select("chunk_id", "feature")
+    return found.join(chunks.select("chunk_id", "status"), "chunk_id").join(keys.join(made, "key"), "chunk_id").select(
+        "chunk_id", "status", "feature", "calls"
+    )
+
+
+@query
+def call_lanes(t):
+    """The lane and the wave of every chunk's call, three at a time and two a wave."""
+    path = scratch_path(t.spark, "call-lanes")
+    chunks = extract.chunked_lines(t.feedback()).withColumn("lines", F.concat(F.col("chunk_id").cast("string"), F.lit(" "), "lines"))
+    calls.call_chunks(chunks, lambda lines: lines.split(" ", 1)[0], path, in_flight=3, lane_calls=2)
+    return calls.read_ledger(t.spark, path).select(F.col("payload").cast("long").alias("chunk_id"), "lane", "wave")
+
+
+@query
+def call_progress(t):
+    """The percentages that a run reports, from the first to the last."""
+    seen: list[float] = []
+    extract.extract_plugin(t.feedback(), _characters, in_flight=3, lane_calls=2, on_progress=seen.append)
+    return t.spark.createDataFrame([(step, int(100 * share + 1e-9)) for step, share in enumerate(seen)], "step int, percent int")
 
 
 @query
@@ -428,7 +506,7 @@ def run_features(t):
 def save_roundtrip(t):
     path = scratch_path(t.spark, "save-roundtrip")
     mentions = t.account_mention()
-    totals, accounts = scope.scope_totals(t.feedback()), rollup.feature_accounts(mentions)
+    totals, accounts = scope.scope_totals(t.feedback()), checkpointed(rollup.feature_accounts(mentions))
     ranked = checkpointed(rollup.rank_features(mentions))
     for run_id, table in ((1, ranked), (2, ranked), (2, ranked.limit(0)), (3, ranked)):
         saved.save_run(EVERYTHING, totals, table, path, run_id, accounts=accounts)
@@ -460,7 +538,10 @@ def cascade_delete(t):
 
 @query
 def history_cards(t):
-    cards = history.history_cards(t.run(), t.run_feature())
+    return shown_cards(history.history_cards(t.run(), t.run_feature()))
+
+
+def shown_cards(cards):
     line = F.transform("top_features", lambda f: F.concat(
         F.lit("#"), f["rank"].cast("string"), F.lit(" "), f["feature"], F.lit(" $"), f["mrr"], F.lit(" "),
         f["account_count"].cast("string"), F.lit(" accounts"),
@@ -470,6 +551,41 @@ def history_cards(t):
     })
 
 
+@query
+def history_saved_cards(t):
+    """Cards from what each save counted, after saves, saves of the same runs again, deletes and packing."""
+    path, runs, features = scratch_path(t.spark, "saved-cards"), checkpointed(t.run()), checkpointed(t.run_feature())
+
+    def save(condition):
+        of_run = features.withColumnRenamed("run_id", "id").where(condition).withColumnRenamed("id", "run_id")
+        saved.save_runs(runs.where(condition), of_run, path)
+
+    saved.save_runs(runs, features.where("rank <= 2"), path)
+    saved.compact(t.spark, path)
+    save("id % 3 <> 2")
+    saved.delete_runs(runs.where("id % 5 = 0").select(F.col("id").alias("run_id")), path)
+    saved.compact(t.spark, path, rows_per_file=1000)
+    save("id % 10 = 0")
+    return shown_cards(history.saved_cards(t.spark, path))
+
+
+@query
+def scope_cached(t):
+    """A run's feedback, made once and read from its stored table afterwards."""
+    path, spec = scratch_path(t.spark, "scope-cache"), full(t, mrr_filter=TOP_N_ACCOUNTS, top_n=25, keyword=" la ")
+    made: list[int] = []
+
+    def make():
+        made.append(1)
+        found = source.read_feedback(t.feedback_fact(), t.account(), spec, newest_first=False)
+        return scope.scope(found, spec).select("insight_id", "account_name", "mrr", "created_at")
+
+    files = [f"{t.sf_dir}/{name}.parquet" for name in ("documents", "customer", "nation")]
+    for _ in range(2):
+        table = cache.cached_scope(t.spark, path, spec, files, make)
+    return table.withColumn("times_made", F.lit(len(made)))
+
+
 @query
 def history_top3(t):
     return history.top_features(t.run_feature()).select("run_id", "rank", "feature", "total_mrr", "account_count")

@@ -30,6 +30,10 @@ SUPPORT_CUES = (
 # What ends a sentence: a mark with blanks after it, or a line break.
 SENTENCE_END = r"(?<=[.!?…])\s+|[\r\n]+"
 
+# A sentence with the blanks after it; what is left at a text's end is one too.
+SENTENCE = r"(?s).*?(?:[.!?…][ \t\r\n]+|[\r\n]+)|.+"
+_SENTENCE_BLANKS = " \t\r\n"
+
 
 def words(col: Column) -> Column:
     """Lower-case words in order, without empty ones."""
@@ -56,3 +60,44 @@ def is_actionable(
     )
     # most texts ask for nothing, and are not taken apart
     return any_phrase(col, request_cues) & asks
+
+
+def sentence_windows(col: Column, length: int, overlap: int) -> Column:
+    """Places of windows over a text, as an array of (start, stop), characters from 0.
+
+    Sentences are packed, in order, into windows of at most ``length`` characters, so every
+    sentence up to that length is whole in a window. A window begins with the last
+    sentence of the one before, unless the two do not fit together. A longer sentence has
+    windows of just ``length`` characters, ``overlap`` of them shared with the one before, and
+    the last of them is packed on. Blanks between two windows are in none.
+    """
+    step, place = length - overlap, "struct<start:int,stop:int>"
+    none = F.array().cast(f"array<{place}>")
+
+    def state(done: Column, start: Column, stop: Column, last: Column, at: Column) -> Column:
+        return F.struct(done.alias("done"), start.alias("start"), stop.alias("stop"), last.alias("last"), at.alias("at"))
+
+    def window(start: Column, stop: Column) -> Column:
+        return F.struct(start.alias("start"), stop.alias("stop"))
+
+    def packed(s: Column, sentence: Column) -> Column:
+        size = F.length(F.rtrim(sentence, F.lit(_SENTENCE_BLANKS)))
+        begin, end, after = s["at"], s["at"] + size, s["at"] + F.length(sentence)
+        first = s["start"] < 0
+        closed = F.when(first, s["done"]).otherwise(F.concat(s["done"], F.array(window(s["start"], s["stop"]))))
+        cuts = F.ceil((size - overlap) / step).cast("int") - 1  # windows of a long sentence but the last
+        whole = F.transform(F.sequence(F.lit(0), cuts - 1), lambda i: window((begin + i * step).cast("int"), (begin + i * step + length).cast("int")))
+        rest = (begin + cuts * step).cast("int")
+        return (
+            F.when(size == 0, state(s["done"], s["start"], s["stop"], s["last"], after))
+            .when(~first & (end - s["start"] <= length), state(s["done"], s["start"], end, begin, after))
+            .when(size > length, state(F.concat(closed, whole), rest, end, rest, after))
+            .when(~first & (end - s["last"] <= length), state(closed, s["last"], end, begin, after))
+            .otherwise(state(closed, begin, end, begin, after))
+        )
+
+    start = state(none, F.lit(-1), F.lit(-1), F.lit(-1), F.lit(0))
+    return F.aggregate(
+        F.regexp_extract_all(col, F.lit(SENTENCE), F.lit(0)), start, packed,
+        lambda s: F.when(s["start"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(window(s["start"], s["stop"])))),
+    )

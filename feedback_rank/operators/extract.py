@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedback_rank.functions import columns as C
-from feedback_rank.functions.text import words
+from feedback_rank.functions.names import free_names
+from feedback_rank.functions.text import sentence_windows, words
+from feedback_rank.operators.calls import IN_FLIGHT, LANE_CALLS, RETRY_WAITS, call_chunks
 from feedback_rank.operators.numbering import number_rows
 
 CHUNK_SIZE = 250  # fixed value: texts per call
-RETRY_WAITS = (30, 60)  # fixed values: seconds before the second and third try
+PACK_TEXTS = 2000  # texts that are packed into chunks together
 GRAM_WORDS = 4
 
 
@@ -111,10 +113,27 @@ def normalize_phrases(mentions: DataFrame, synonyms: DataFrame) -> DataFrame:
 def assign_chunks(feedback: DataFrame, chunk_size: int = CHUNK_SIZE, then: Sequence[str] = ()) -> DataFrame:
     """Add ``chunk_id``: ``chunk_size`` rows each, newest first, all columns kept.
 
-    Rows of one time and id are ordered by the columns ``then``. Numbers the rows at once.
+    Rows of one time and id are ordered by the columns ``then``. A column ``chunk_id`` of the
+    caller's is replaced. Numbers the rows at once.
     """
-    numbered = number_rows(feedback, [F.desc("created_at"), F.col("insight_id"), *map(F.col, then)], name="_n")
-    return numbered.select(*feedback.columns, F.floor((F.col("_n") - 1) / chunk_size).alias("chunk_id"))
+    (n,) = free_names(feedback.columns, "n")
+    numbered = number_rows(feedback, [F.desc("created_at"), F.col("insight_id"), *map(F.col, then)], name=n)
+    return numbered.select(
+        *[c for c in feedback.columns if c != "chunk_id"], F.floor((F.col(n) - 1) / chunk_size).alias("chunk_id")
+    )
+
+
+def _windows(length: int, overlap: int, first_only: bool = False) -> Column:
+    if not 0 <= overlap < length:
+        raise ValueError("overlap must be at least 0 and below the length")
+    if first_only:
+        return F.array(F.struct(F.lit(0).alias("start"), F.lit(length).alias("stop")))
+    return sentence_windows(F.col("feedback"), length, overlap)
+
+
+def _line(window: Column) -> Column:
+    text = F.substr("feedback", window["start"] + 1, window["stop"] - window["start"])
+    return C.prompt_line(F.col("account_name"), F.col("platform_client_id"), F.col("mrr"), text)
 
 
 def prompt_lines(
@@ -122,40 +141,65 @@ def prompt_lines(
 ) -> DataFrame:
     """Texts that are not blank as prompt lines: (insight_id, created_at, part, line).
 
-    A text longer than ``length`` has a line for each window of so many characters, ``overlap``
-    of them shared with the window before, so all of it is seen. ``first_only`` cuts it instead.
+    A text has a line for each of its windows of at most ``length`` characters, which end
+    where sentences end (see :func:`sentence_windows`): every sentence of up to ``length``
+    characters is whole in a line, and the lines of a text share a sentence where there is room. Only a
+    longer sentence is cut, into pieces that share ``overlap`` characters. ``first_only`` cuts the text instead.
     """
-    if not 0 <= overlap < length:
-        raise ValueError("overlap must be at least 0 and below the length")
-    text, step = F.col("feedback"), length - overlap
-    parts = F.lit(1) if first_only else F.greatest(F.ceil((F.length(text) - overlap) / step), F.lit(1)).cast("int")
-    windows = feedback.where(C.nonblank(text)).select(
+    windows = feedback.where(C.nonblank(F.col("feedback"))).select(
         "insight_id", "created_at", "account_name", "platform_client_id", "mrr", "feedback",
-        F.explode(F.sequence(F.lit(1), parts)).alias("part"),
-    )
-    window = F.substring(text, (F.col("part") - 1) * step + 1, F.lit(length))
-    return windows.select(
-        "insight_id", "created_at", "part",
-        C.prompt_line(F.col("account_name"), F.col("platform_client_id"), F.col("mrr"), window).alias("line"),
+        F.posexplode(_windows(length, overlap, first_only)).alias("part", "window"),
     )
+    return windows.select("insight_id", "created_at", (F.col("part") + 1).alias("part"), _line(F.col("window")).alias("line"))
+
 
+def _packed(sizes: Column, room: int) -> Column:
+    """Sizes in order, as (n, lines), into chunks of ``room`` lines: (used chunks, lines in the last, and of each n its first chunk)."""
 
-def retrying(
-    fn: Callable[[str], str], waits: Sequence[float] = RETRY_WAITS, sleep: Callable[[float], None] = time.sleep
-) -> Callable[[str], str]:
-    """``fn`` with one more try per wait, where the error says the rate limit (429) was hit."""
+    def state(chunk: Column, used: Column, placed: Column) -> Column:
+        return F.struct(chunk.cast("long").alias("chunk"), used.cast("long").alias("used"), placed.alias("placed"))
 
-    def call(data: str) -> str:
-        for wait in waits:
-            try:
-                return fn(data)
-            except Exception as error:
-                if "429" not in str(error):
-                    raise
-                sleep(wait)
-        return fn(data)
+    def add(s: Column, text: Column) -> Column:
+        fits = s["used"] + text["lines"] <= room
+        first = F.when(fits | (s["used"] == 0), s["chunk"]).otherwise(s["chunk"] + 1)
+        more = F.floor((text["lines"] - 1) / room)  # chunks that a long text fills
+        return state(
+            first + F.when(fits, 0).otherwise(more), F.when(fits, s["used"] + text["lines"]).otherwise(text["lines"] - more * room),
+            F.concat(s["placed"], F.array(F.struct(text["n"].alias("n"), first.alias("first")))),
+        )
 
-    return call
+    none = F.array().cast("array<struct<n:bigint,first:bigint>>")
+    return F.aggregate(sizes, state(F.lit(0), F.lit(0), none), add)
+
+
+def chunked_lines(
+    feedback: DataFrame, chunk_size: int = CHUNK_SIZE, length: int = C.PROMPT_TEXT_LENGTH, overlap: int = C.PROMPT_OVERLAP,
+    pack_texts: int = PACK_TEXTS,
+) -> DataFrame:
+    """The prompt lines in chunks of at most ``chunk_size``, newest first: (chunk_id, lines, n_lines).
+
+    ``lines`` is one text. A text's lines are kept in one chunk where they fit in one: a text that
+    does not fit behind those before it begins the next chunk, and one of more lines fills chunks of its own.
+    ``pack_texts`` texts each are packed by themselves, which is what one task sees at once, as
+    numbers; so at most every so many texts a chunk is not full. Runs jobs at once.
+    """
+    names = ["insight_id", "created_at", "account_name", "platform_client_id", "mrr", "feedback"]
+    texts = feedback.where(C.nonblank(F.col("feedback"))).select(*names, _windows(length, overlap).alias("windows"))
+    numbered = number_rows(texts, [F.desc("created_at"), *(F.col(c) for c in names if c != "created_at")], name="n")
+    block = F.floor((F.col("n") - 1) / pack_texts).alias("block")
+    sizes = numbered.select("n", F.size("windows").cast("long").alias("lines"), block)
+    packs = sizes.groupBy("block").agg(_packed(F.array_sort(F.collect_list(F.struct("n", "lines"))), chunk_size).alias("pack"))
+    # one row per pack
+    before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    places = packs.select(
+        F.coalesce(F.sum(F.col("pack.chunk") + 1).over(before), F.lit(0)).alias("before"), F.col("pack.placed").alias("placed")
+    ).select("before", F.inline("placed")).select("n", (F.col("before") + F.col("first")).alias("first"))
+    lines = numbered.join(places, "n").select("n", "first", *names, F.posexplode("windows").alias("part", "window"))
+    chunk = (F.col("first") + F.floor(F.col("part") / chunk_size)).alias("chunk_id")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "part", "line"))), lambda x: x["line"])
+    return lines.select("n", "part", _line(F.col("window")).alias("line"), chunk).groupBy("chunk_id").agg(
+        F.array_join(ordered, "\n").alias("lines"), F.count("*").alias("n_lines")
+    )
 
 
 def extract_plugin(
@@ -164,27 +208,19 @@ def extract_plugin(
     chunk_size: int = CHUNK_SIZE,
     waits: Sequence[float] = RETRY_WAITS,
     sleep: Callable[[float], None] = time.sleep,
+    ledger: str | None = None,
+    label: str = "",
+    in_flight: int = IN_FLIGHT,
+    lane_calls: int = LANE_CALLS,
+    on_progress: Callable[[float], None] | None = None,
 ) -> DataFrame:
     """Call ``fn`` with the prompt lines of each chunk: (chunk_id, status, error, payload).
 
     ``fn`` takes the lines as one text and returns payload text; ``chunk_size`` counts lines,
-    of which a long text has several (see :func:`prompt_lines`). Chunks run in parallel; a chunk whose call fails is a row with status 'failed'. Write or
-    checkpoint the result before using it twice, since each use calls again.
+    of which a long text has several (see :func:`chunked_lines`). ``in_flight`` chunks are called
+    at once; one whose call fails is a row with status 'failed'. All calls are made now and kept in a
+    ledger, so the result can be read often; with a ``ledger`` of the caller's, a later run calls
+    only what is missing or failed (see :func:`call_chunks`).
     """
-    call = retrying(fn, waits, sleep)
-
-    def one_chunk(chunk):
-        import pandas as pd
-
-        status, error, payload = "ok", None, None
-        try:
-            ordered = chunk.sort_values(["created_at", "insight_id", "part"], ascending=[False, True, True])
-            payload = call("\n".join(ordered["line"]))
-        except Exception as failure:
-            status, error = "failed", str(failure)
-        row = {"chunk_id": [chunk["chunk_id"].iloc[0]], "status": [status], "error": [error], "payload": [payload]}
-        return pd.DataFrame(row)
-
-    return assign_chunks(prompt_lines(feedback), chunk_size, ["part", "line"]).groupBy("chunk_id").applyInPandas(
-        one_chunk, "chunk_id long, status string, error string, payload string"
-    )
+    chunks = chunked_lines(feedback, chunk_size)
+    return call_chunks(chunks, fn, ledger, label, in_flight, lane_calls, waits, sleep, on_progress)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedback_rank.functions import columns as C
+from feedback_rank.functions.names import free_names
+from feedback_rank.sources.history import load_card_parts, load_runs
 
 TOP_SHOWN = 3  # fixed value: features shown on a card
 
@@ -13,7 +15,16 @@ TOP_SHOWN = 3  # fixed value: features shown on a card
 def top_features(features: DataFrame, n: int = TOP_SHOWN) -> DataFrame:
     """The first n features of each run; the filter is a group limit, applied before the shuffle."""
     by_rank = Window.partitionBy("run_id").orderBy("rank")
-    return features.withColumn("_n", F.row_number().over(by_rank)).where(F.col("_n") <= n).drop("_n")
+    (place,) = free_names(features.columns, "place")
+    return features.withColumn(place, F.row_number().over(by_rank)).where(F.col(place) <= n).drop(place)
+
+
+def card_parts(features: DataFrame) -> DataFrame:
+    """(run_id, feature_count, top_features): what a run's card shows of its features."""
+    shown = F.struct("rank", "feature", C.money(F.col("total_mrr"), 2).alias("mrr"), "account_count")
+    counts = features.groupBy("run_id").agg(F.count("*").alias("feature_count"))
+    top = top_features(features).groupBy("run_id").agg(F.array_sort(F.collect_list(shown)).alias("top_features"))
+    return counts.join(top, "run_id").select("run_id", "feature_count", "top_features")
 
 
 def history_cards(runs: DataFrame, features: DataFrame) -> DataFrame:
@@ -21,14 +32,19 @@ def history_cards(runs: DataFrame, features: DataFrame) -> DataFrame:
 
     One job for all runs.
     """
-    counts = features.groupBy("run_id").agg(F.count("*").alias("feature_count"))
-    shown = F.struct("rank", "feature", C.money(F.col("total_mrr"), 2).alias("mrr"), "account_count")
-    top = top_features(features).groupBy("run_id").agg(F.array_sort(F.collect_list(shown)).alias("top_features"))
+    return _cards(runs, card_parts(features))
+
+
+def saved_cards(spark: SparkSession, path: str) -> DataFrame:
+    """The cards of a history, from what each save counted: no feature is read."""
+    return _cards(load_runs(spark, path), load_card_parts(spark, path))
+
+
+def _cards(runs: DataFrame, parts: DataFrame) -> DataFrame:
     filters = C.filters_parse(F.col("filters"))
     number = F.coalesce("feature_count", F.lit(0))
     return (
-        runs.join(counts, runs["id"] == counts["run_id"], "left").drop("run_id")
-        .join(top, runs["id"] == top["run_id"], "left").drop("run_id")
+        runs.join(parts, runs["id"] == parts["run_id"], "left")
         .select(
             "id",
             F.date_format("created_at", "yyyy-MM-dd").alias("run_date"),

@@ -79,5 +79,17 @@ RUN_ACCOUNTS = T.StructType([
     T.StructField("label", T.StringType()),
 ])
 
+# What a run's card shows of its features.
+RUN_CARDS = T.StructType([
+    T.StructField("run_id", T.LongType()),
+    T.StructField("feature_count", T.LongType()),
+    T.StructField("top_features", T.ArrayType(T.StructType([
+        T.StructField("rank", T.LongType()),
+        T.StructField("feature", T.StringType()),
+        T.StructField("mrr", T.StringType()),
+        T.StructField("account_count", T.LongType()),
+    ]))),
+])
+
 # Saves that were deleted.
 DELETED_RUNS = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("save_id", T.StringType())])

@@ -1,11 +1,15 @@
-"""Runs with their features and accounts saved, and deleted again.
-
-Every save has an id of its own. Its features and accounts are written first, into folders
-of the run and the save, and its header, which names the save, last. Readers go by headers:
-of a run the newest one counts, and only what was written under its save is read. So a run is
-there once its header is, a repeated save replaces the one before even if it has no rows, and
-what a crashed save left is never seen. A delete names the saves that it deletes, so a run
-saved again under a deleted id is there; :func:`purge` removes the files that no header needs.
+"""Runs with their features, accounts and cards saved, deleted again, and packed.
+
+Every save has an id of its own. Its features, accounts and card are written first and its header,
+which names the save, last. Readers go by headers: of a run the newest one counts, and only
+what was written under its save is read. So a run is there once its header is, a repeated
+save replaces the one before even if it has no rows, and what a crashed save left is never
+seen. A delete names the saves that it deletes, so a run saved again under a deleted id is there.
+
+:func:`compact` may run at any time. It opens a new generation before it reads the old one, and who
+saves looks after its header which generation is open: if that changed, it saves once
+more, into the new one. Whatever comes to its end is so in the packed files or in loose ones
+that are still read.
 """
 
 from __future__ import annotations
@@ -18,14 +22,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedback_rank.functions import columns as C
-from feedback_rank.schemas import DELETED_RUNS, MONEY, RUN_ACCOUNTS, RUN_FEATURES, RUNS
-from feedback_rank.sources.history import HEADERS, _read, accounts_path, current_saves, deleted_path, features_path, runs_path
+from feedback_rank.plans.history import card_parts
+from feedback_rank.schemas import DELETED_RUNS, MONEY, RUN_ACCOUNTS, RUN_CARDS, RUN_FEATURES, RUNS
+from feedback_rank.session import checkpointed
+from feedback_rank.sources import history as stored
+from feedback_rank.sources.stored import append_rows, claim_number, stored_table
 from feedback_rank.spec import RunSpec
 
+COMPACT_SAVES = 200        # loose saves after which a save packs the store
+ROWS_PER_FILE = 1_000_000  # of a packed table
+
 
 def next_run_id(spark: SparkSession, path: str) -> int:
-    """One above the highest id ever given; for a single writer."""
-    return (_read(spark, runs_path(path), HEADERS).agg(F.max("id").alias("id")).first()["id"] or 0) + 1
+    """One above the highest id of a saved run."""
+    return _known(spark, path)[0] + 1
+
+
+def _known(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(highest id of a run that was ever saved, saves in loose files)."""
+    now = stored.generations(spark, path)
+    loose = stored.stored_rows(spark, path, stored.RUN_TABLE, now, files=[]).agg(F.max("id").alias("id"), F.countDistinct("save_id").alias("saves")).first()
+    return max(loose["id"] or 0, now.last_id), loose["saves"]
+
+
+def claim_run_id(spark: SparkSession, path: str) -> int:
+    """An id that no other writer gets, however many ask at once, from one above the highest known."""
+    return claim_number(spark, f"{path.rstrip('/')}/run_ids", next_run_id(spark, path))
 
 
 def new_save_id() -> str:
@@ -70,59 +92,130 @@ def run_accounts(accounts: DataFrame, run_id: int) -> DataFrame:
     return _of_run(accounts, run_id, ("feature", "account_name", "platform_client_id", "label"), RUN_ACCOUNTS)
 
 
-def _save(table: DataFrame, path: str, save_id: str, schema) -> None:
-    table.select(*schema.names, F.lit(save_id).alias("save_id")).write.mode("append").partitionBy("run_id", "save_id").parquet(path)
+def _append(table: DataFrame, path: str, name: str, generation: int | None) -> None:
+    if generation is None:
+        generation = stored.generations(table.sparkSession, path).open
+    append_rows(table, stored.loose_path(path, name, generation))
 
 
-def save_features(features: DataFrame, path: str, save_id: str = "0") -> None:
+def _save(table: DataFrame, path: str, name: str, save_id: str, schema, generation: int | None) -> None:
+    _append(table.select(*schema.names, F.lit(save_id).alias("save_id")), path, name, generation)
+
+
+def save_features(features: DataFrame, path: str, save_id: str = "0", generation: int | None = None) -> None:
     """Write features of any runs under a save."""
-    _save(features, features_path(path), save_id, RUN_FEATURES)
+    _save(features, path, stored.FEATURE_TABLE, save_id, RUN_FEATURES, generation)
 
 
-def save_accounts(accounts: DataFrame, path: str, save_id: str = "0") -> None:
+def save_accounts(accounts: DataFrame, path: str, save_id: str = "0", generation: int | None = None) -> None:
     """Write accounts of any runs under a save."""
-    _save(accounts, accounts_path(path), save_id, RUN_ACCOUNTS)
+    _save(accounts, path, stored.ACCOUNT_TABLE, save_id, RUN_ACCOUNTS, generation)
 
 
-def save_headers(runs: DataFrame, path: str, save_id: str = "0") -> None:
+def save_headers(runs: DataFrame, path: str, save_id: str = "0", generation: int | None = None) -> None:
     """Write headers that name a save; from then on its rows are there."""
-    runs.select(*RUNS.names, F.lit(save_id).alias("save_id")).write.mode("append").parquet(runs_path(path))
+    _save(runs, path, stored.RUN_TABLE, save_id, RUNS, generation)
+
+
+def save_runs(runs: DataFrame, features: DataFrame, path: str, accounts: DataFrame | None = None) -> str:
+    """Save any number of runs, with their features, cards and accounts, under one save; returns its id.
+
+    ``runs`` are headers, ``features`` and ``accounts`` rows of these runs. Cards are counted
+    from the features as they were written.
+    """
+    spark, now = features.sparkSession, stored.generations(features.sparkSession, path).open
+    while True:
+        save_id = new_save_id()
+        save_features(features, path, save_id, now)
+        written = stored_table(spark, stored.loose_path(path, stored.FEATURE_TABLE, now), stored.STORED[stored.FEATURE_TABLE])
+        _save(card_parts(written.where(F.col("save_id") == save_id)), path, stored.CARD_TABLE, save_id, RUN_CARDS, now)
+        if accounts is not None:
+            save_accounts(accounts, path, save_id, now)
+        save_headers(runs, path, save_id, now)
+        then, now = now, stored.generations(spark, path).open
+        if now == then:
+            return save_id
 
 
 def save_run(
     spec: RunSpec, totals: DataFrame, ranked: DataFrame, path: str, run_id: int | None = None,
     created_at: datetime | None = None, accounts: DataFrame | None = None,
 ) -> int:
-    """Save a run with its features and their accounts; returns the id of the run."""
-    spark, save_id = ranked.sparkSession, new_save_id()
+    """Save a run with its features and their accounts; returns the id of the run.
+
+    Without an id the run gets one that no other writer has. Every :data:`COMPACT_SAVES` saves
+    the store is packed.
+    """
+    spark = ranked.sparkSession
     if run_id is None:
-        run_id = next_run_id(spark, path)
-    save_features(run_features(ranked, run_id), path, save_id)
-    if accounts is not None:
-        save_accounts(run_accounts(accounts, run_id), path, save_id)
-    save_headers(run_header(spec, totals, run_id, created_at), path, save_id)
+        run_id = claim_run_id(spark, path)
+    of_run = None if accounts is None else run_accounts(accounts, run_id)
+    save_runs(run_header(spec, totals, run_id, created_at), run_features(ranked, run_id), path, of_run)
+    if _known(spark, path)[1] >= COMPACT_SAVES:
+        compact(spark, path)
     return run_id
 
 
 def delete_runs(runs: DataFrame, path: str) -> None:
-    """Delete the runs in column ``run_id`` as they are saved now, and with them their features and accounts."""
-    saves = _read(runs.sparkSession, runs_path(path), HEADERS).select(F.col("id").alias("run_id"), "save_id")
+    """Delete the runs in column ``run_id`` as they are saved now, and with them their features, accounts and cards."""
+    spark = runs.sparkSession
     ids = runs.select(F.col("run_id").cast("long").alias("run_id")).distinct()
-    saves.join(ids, "run_id").select(*DELETED_RUNS.names).distinct().write.mode("append").parquet(deleted_path(path))
+    now = stored.generations(spark, path)
+    while True:
+        saves = stored.stored_rows(spark, path, stored.RUN_TABLE, now).select(F.col("id").alias("run_id"), "save_id")
+        _append(saves.join(ids, "run_id").select(*DELETED_RUNS.names).distinct(), path, stored.DELETED_TABLE, now.open)
+        then, now = now, stored.generations(spark, path)
+        if now.open == then.open:
+            return
+
+
+def _mark(spark: SparkSession, path: str, generation: int, state: str, last_id: int | None = None) -> None:
+    row = spark.createDataFrame([(generation, state, last_id)], stored.MARKS)
+    append_rows(row.coalesce(1), stored.marks_path(path))
+
+
+def compact(spark: SparkSession, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Pack all that is current into few files, sorted by run; returns the number of the new generation.
+
+    Readers see the old files until the new ones are all there, and then the new ones: what turns them is one
+    row, written last. A run of any size is dealt over as many files as it needs. If this
+    crashes, nothing is lost, and the next call packs what this one should have.
+    """
+    last_id = _known(spark, path)[0]
+    target = claim_number(spark, f"{path.rstrip('/')}/generation_ids", stored.generations(spark, path).open + 1)
+    _mark(spark, path, target, stored.OPENED, last_id)
+    # all generations before, as they are now that nobody ends a save in them any more
+    now = stored.generations(spark, path)
+    before = now._replace(packed=min(now.packed, target - 1), open=target - 1)
+    headers = checkpointed(stored.current_saves(spark, path, before).withColumnRenamed("run_id", "id"))
+    headers.select(*stored.HEADERS.names).coalesce(1 + headers.count() // rows_per_file).write.parquet(stored.packed_path(path, stored.RUN_TABLE, target))
+    saves = headers.select(F.col("id").alias("run_id"), "save_id")
+    for table, order in ((stored.FEATURE_TABLE, ("run_id", "rank")), (stored.ACCOUNT_TABLE, ("run_id", "feature", "account_name")), (stored.CARD_TABLE, ("run_id",))):
+        rows = stored.stored_rows(spark, path, table, before).join(saves, ["run_id", "save_id"], "left_semi").select(*stored.STORED[table].names)
+        folder = stored.packed_path(path, table, target)
+        rows.repartitionByRange(1 + rows.count() // rows_per_file, *order).sortWithinPartitions(*order).write.parquet(folder)
+        held = stored_table(spark, folder, stored.STORED[table]).groupBy(F.col("_metadata.file_name").alias("file")).agg(
+            F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"), F.count("*").alias("rows")
+        )
+        held.coalesce(1).write.parquet(stored.manifest_path(path, table, target))
+    _mark(spark, path, target, stored.PACKED)
+    return target
 
 
 def purge(spark: SparkSession, path: str) -> int:
-    """Remove the folders that no header needs: of deleted, replaced and unfinished saves. Returns how many.
+    """Pack the store and remove all files that are not needed any more; returns the number of generations removed.
 
-    Not while someone saves. The folders of features and accounts are listed, one name for
-    each save, and those without a current header go.
+    A generation's files go together, table by table, whatever number of runs they hold. Not while
+    someone else packs the store; frames that were loaded before cannot be read afterwards.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    current = current_saves(spark, path).select("run_id", "save_id")
-    removed = 0
-    for folder, schema in ((features_path(path), RUN_FEATURES), (accounts_path(path), RUN_ACCOUNTS)):
-        stored = _read(spark, folder, schema, saves=True).select("run_id", "save_id").distinct()
-        for row in stored.join(current, ["run_id", "save_id"], "left_anti").toLocalIterator():
-            where = hadoop.Path(f"{folder}/run_id={row.run_id}/save_id={row.save_id}")
-            removed += where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    return removed
+    keep = compact(spark, path)
+    gone = range(stored.generations(spark, path).purged + 1, keep)
+    for generation in gone:
+        for table, schema in stored.STORED.items():
+            # writing nothing over a folder removes its files, in whatever file system they are
+            empty = spark.createDataFrame([], schema).coalesce(1)
+            empty.write.mode("overwrite").parquet(stored.loose_path(path, table, generation))
+            if generation and table != stored.DELETED_TABLE:
+                empty.write.mode("overwrite").parquet(stored.packed_path(path, table, generation))
+        _mark(spark, path, generation, stored.PURGED)
+    return len(gone)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedback_rank.functions import columns as C
-from feedback_rank.operators.scope import source_conditions
+from feedback_rank.functions.membership import Bloom, bloom
+from feedback_rank.operators.scope import among, source_conditions
 from feedback_rank.schemas import FEEDBACK_RAW, MONEY
 from feedback_rank.spec import RunSpec
 
@@ -86,21 +87,43 @@ def lookup_creator(fact: DataFrame, users: DataFrame) -> DataFrame:
     return joined.select(*[F.col(f"f.{c}") for c in fact.columns], name.alias("created_by"))
 
 
-def read_feedback(fact: DataFrame, accounts: DataFrame, spec: RunSpec, newest_first: bool = True) -> DataFrame:
+def read_feedback(
+    fact: DataFrame, accounts: DataFrame, spec: RunSpec, newest_first: bool = True,
+    subcategories: DataFrame | None = None, account_owners: DataFrame | None = None,
+) -> DataFrame:
     """The feedback a run asks for, with account and owner, newest first.
 
     The conditions reach the scans: those on the record the fact table, those on
     the owner the account table. Dates before the first day with data are moved to it.
+
+    Lists too long for a condition come as tables, whose first columns are the values, and
+    hold beside those of ``spec``. Such a list is a bloom filter at the scan first, which is
+    made at once: of the categories for the records; of the owners for the accounts, and of the accounts
+    left for the records. The join by the values themselves then comes last, on few rows.
     """
     spec = spec.bounded()
+    if subcategories is not None:
+        fact = _sifted(fact, "subcategory", bloom(subcategories))
+    if account_owners is not None:
+        value = F.col(account_owners.columns[0])
+        if account_owners.where(value == "").isEmpty():  # records without an account have the owner ''
+            accounts = _sifted(accounts, "account_owner", bloom(account_owners))
+            fact = _sifted(fact, "account_id", bloom(accounts.select("account_id")))
     joined = lookup_account(fact, accounts)
     found = joined.where(source_conditions(spec, joined)).select(
         "account_owner", "platform_client_id", "account_name", "mrr", "tpv",
         "insight_id", "created_at", "subcategory", "feedback", "created_by",
     )
+    for column, values in (("subcategory", subcategories), ("account_owner", account_owners)):
+        if values is not None:
+            found = among(found, column, values)
     return found.orderBy(F.desc("created_at"), "insight_id") if newest_first else found
 
 
+def _sifted(df: DataFrame, column: str, values: Bloom | None) -> DataFrame:
+    return df if values is None else df.where(values.may_hold(F.col(column)))
+
+
 def describe(df: DataFrame) -> DataFrame:
     """Name, label and type of each column; the label is the column comment, if any."""
     rows = [

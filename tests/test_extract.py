@@ -1,3 +1,4 @@
+import random
 import re
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.tables import Tables
-from feedback_rank.operators import extract, payload
+from feedback_rank.operators import calls, extract, payload
 from feedback_rank.plans.analyze import analyze_with
 
 FEEDBACK = (
@@ -110,19 +111,19 @@ def test_chunks(spark):
 
 class TestRetry:
     def _call(self, errors):
-        calls, waited = [], []
+        made, waited = [], []
 
         def fn(data):
-            calls.append(data)
-            if len(calls) <= len(errors):
-                raise RuntimeError(errors[len(calls) - 1])
+            made.append(data)
+            if len(made) <= len(errors):
+                raise RuntimeError(errors[len(made) - 1])
             return "done"
 
         try:
-            result = extract.retrying(fn, sleep=waited.append)("x")
+            result = calls.Lane(fn, sleep=waited.append)("x")
         except RuntimeError as error:
             result = str(error)
-        return result, len(calls), waited
+        return result, len(made), waited
 
     def test_first_try(self):
         assert self._call([]) == ("done", 1, [])
@@ -165,18 +166,103 @@ def test_plugin_sees_lines_newest_first(spark):
     assert rows == {0: "A2 | CL | $2.00 | c\nA1 | CL | $1.00 | b", 1: "A0 | CL | $0.00 | a"}
 
 
-def test_long_texts_have_several_lines(spark):
-    text = "".join(chr(97 + i % 26) for i in range(1234))
-    lines = {r["part"]: r["line"].split(" | ", 3)[3] for r in extract.prompt_lines(_feedback(spark, [text])).collect()}
-    assert lines == {1: text[:500], 2: text[400:900], 3: text[800:1300]}
-    assert [r["line"][-500:] for r in extract.prompt_lines(_feedback(spark, [text]), first_only=True).collect()] == [text[:500]]
-    sizes = (1, 100, 499, 500, 501, 900, 901)
-    counts = extract.prompt_lines(_feedback(spark, ["x" * n for n in sizes])).groupBy("insight_id").count().orderBy("insight_id").collect()
-    assert [r["count"] for r in counts] == [1, 1, 1, 1, 2, 2, 3]
+def _texts_of_lines(spark, texts, **options):
+    rows = extract.prompt_lines(_feedback(spark, texts), **options).orderBy("insight_id", "part").collect()
+    found = {f"i{i:03d}": [] for i in range(len(texts))}
+    for r in rows:
+        assert r["part"] == len(found[r["insight_id"]]) + 1
+        found[r["insight_id"]].append(r["line"].split(" | ", 3)[3])
+    return list(found.values())
+
+
+def _plain_windows(text, length, overlap):
+    out, now, at = [], None, 0
+    for piece in re.findall(r"(?s).*?(?:[.!?…][ \t\r\n]+|[\r\n]+)|.+", text):
+        size = len(piece.rstrip(" \t\r\n"))
+        begin, end, at = at, at + size, at + len(piece)
+        if not size:
+            continue
+        if now and end - now[0] <= length:
+            now = now[0], end, begin
+            continue
+        if now:
+            out.append(now[:2])
+        if size > length:
+            while begin + length < end:
+                out.append((begin, begin + length))
+                begin += length - overlap
+            now = begin, end, begin
+        else:
+            now = (now[2], end, begin) if now and end - now[2] <= length else (begin, end, begin)
+    return [text[a:b] for a, b in out + ([now[:2]] if now else [])]
+
+
+def test_windows_by_hand(spark):
+    text = "".join(chr(97 + i % 26) for i in range(1234))  # one long sentence: cut
+    assert _texts_of_lines(spark, [text]) == [[text[:500], text[400:900], text[800:1300]]]
+    assert _texts_of_lines(spark, [text], first_only=True) == [[text[:500]]]
+    assert [len(x) for x in _texts_of_lines(spark, ["x" * n for n in (1, 499, 500, 501, 900, 901)])] == [1, 1, 1, 2, 2, 3]
+    three = [c * 200 + "." for c in "abc"]
+    assert _texts_of_lines(spark, [" ".join(three)]) == [[" ".join(three[:2]), " ".join(three[1:])]]
+    # no room for a sentence of the line before
+    assert _texts_of_lines(spark, ["a" * 400 + ". " + "b" * 450 + "!"]) == [["a" * 400 + ".", "b" * 450 + "!"]]
     with pytest.raises(ValueError):
         extract.prompt_lines(_feedback(spark, ["x"]), overlap=500)
 
 
+@pytest.mark.parametrize("length,overlap", [(20, 5), (30, 0), (7, 6)])
+def test_windows_equal_plain_ones(spark, length, overlap):
+    rng = random.Random(length)
+    texts = ["".join(rng.choice("abc🙂. !\n?… ") for _ in range(rng.randrange(1, 120))) for _ in range(500)] + ["..", "\n\n", ". a. b", "a.\r\n b"]
+    assert _texts_of_lines(spark, texts, length=length, overlap=overlap) == [
+        _plain_windows(t, length, overlap) if t.strip() else [] for t in texts
+    ]
+
+
+def test_a_sentence_is_whole_in_some_line_wherever_it_stands(spark):
+    wish = "We would like to export all payments of the last three years to a file that our accountants can open without your app."
+    texts = ["y" * 60 + ". " + "x" * n + ". " + wish + " " + "z" * 700 + "." for n in range(0, 620, 3)]
+    assert all(any(wish in line for line in lines) for lines in _texts_of_lines(spark, texts))
+    # and every sentence of a text of many
+    rng = random.Random(4)
+    sentences = ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 490))).strip() + "w." for _ in range(300)]
+    (lines,) = _texts_of_lines(spark, [" ".join(sentences)])
+    assert all(any(s in line for line in lines) for s in sentences) and max(map(len, lines)) <= 500
+
+
+def test_chunks_keep_texts_together(spark):
+    rng = random.Random(8)
+    # texts of 1 to 9 lines, and some of more than a chunk
+    counts = [rng.choice([1, 1, 2, 3, 9, 25]) for _ in range(90)]
+    texts = ["\n".join([f"t{i:02d}" + "x" * 400] * n) for i, n in enumerate(counts)]
+    found = {r["chunk_id"]: r for r in extract.chunked_lines(_feedback(spark, texts), 10, pack_texts=40).collect()}
+    expected, chunk, room = [], [], 10
+    for place, i in enumerate(reversed(range(90))):
+        lines = [f"t{i:02d}"] * counts[i]
+        if chunk and (place % 40 == 0 or len(chunk) + len(lines) > room):
+            expected.append(chunk)
+            chunk = []
+        chunk = chunk + lines
+        while len(chunk) > room:
+            expected.append(chunk[:room])
+            chunk = chunk[room:]
+    expected.append(chunk)
+    assert sorted(found) == list(range(len(expected)))
+    for chunk_id, lines in enumerate(expected):
+        assert [line.split(" | ")[3][:3] for line in found[chunk_id]["lines"].split("\n")] == lines
+        assert found[chunk_id]["n_lines"] == len(lines)
+
+
+def test_own_names_beside_the_callers(spark):
+    feedback = _feedback(spark, ["a", "b"]).selectExpr(
+        "*", "1 AS n", "2 AS _n", "3 AS at", "4 AS task", "5 AS first", "6 AS rows", "7 AS before", "8 AS p", "9 AS o", "10 AS _at", "11 AS chunk_id"
+    )
+    rows = extract.assign_chunks(feedback, 1, ["feedback"]).collect()
+    assert sorted((r["chunk_id"], r["feedback"], r["n"], r["_n"], r["at"], r["task"], r["first"], r["rows"], r["before"], r["p"], r["o"], r["_at"]) for r in rows) == [
+        (0, "b", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10), (1, "a", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
+    ]
+
+
 def test_late_phrases_of_whole_texts(spark):
     """A phrase behind texts of any length counts once a text: in one window, in two, and after many."""
     from checks.queries import late_phrases

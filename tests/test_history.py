@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from feedback_rank import RunSpec, delete_runs, export_name, history_cards, history_detail, load_run_features, load_runs, save_run, write_csv
 from feedback_rank.sinks.csv import FEATURE_EXPORT, RAW_EXPORT, export_table, read_csv
-from feedback_rank.sinks.history import next_run_id, purge, run_features, save_features
-from feedback_rank.sources.history import load_features, load_run_accounts
+from feedback_rank.plans.history import saved_cards
+from feedback_rank.sinks.history import claim_run_id, compact, next_run_id, purge, run_features, save_features, save_runs
+from feedback_rank.sources.history import generations, load_accounts, load_features, load_run_accounts
 from feedback_rank.spec import MINIMUM_MRR
 
 RANKED = (
@@ -96,27 +97,166 @@ def test_features_without_a_header_are_not_there(spark, tmp_path, ranked):
     assert next_run_id(spark, path) == 1
 
 
-def test_purge_removes_only_what_no_header_needs(spark, tmp_path, ranked, totals, accounts):
+def _files(tmp_path, table):
+    return [p for p in (tmp_path / table).rglob("part-*") if "manifest" not in str(p)]
+
+
+def test_purge_keeps_what_a_header_needs(spark, tmp_path, ranked, totals, accounts):
     path = str(tmp_path)
     for run_id in (1, 1, 2, 3):
         save_run(SPEC, totals, ranked, path, run_id=run_id, accounts=accounts)
     save_features(run_features(ranked, 9), path, "unfinished")
     delete_runs(spark.createDataFrame([(2,)], "run_id long"), path)
-    folders = lambda table: len(list((tmp_path / table).glob("run_id=*/save_id=*")))
-    assert (folders("analysis_features"), folders("analysis_accounts")) == (5, 4)
-    assert purge(spark, path) == 5  # the first save of run 1, and run 2, twice each; run 9
-    assert (folders("analysis_features"), folders("analysis_accounts")) == (2, 2)
-    assert {r["run_id"] for r in load_features(spark, path).collect()} == {1, 3} and purge(spark, path) == 0
+    before = {table: sorted(map(str, load(spark, path).collect())) for table, load in (("f", load_features), ("a", load_accounts), ("r", load_runs))}
+    assert purge(spark, path) == 1
+    after = {table: sorted(map(str, load(spark, path).collect())) for table, load in (("f", load_features), ("a", load_accounts), ("r", load_runs))}
+    assert after == before and {r["run_id"] for r in load_features(spark, path).collect()} == {1, 3}
+    stored_rows = spark.read.parquet(*[str(p) for p in _files(tmp_path, "analysis_features")])
+    assert stored_rows.count() == 10  # five of each run: what was replaced, deleted or unfinished is gone
+    assert next_run_id(spark, path) == 4
+    save_run(SPEC, totals, ranked, path, run_id=2)
+    assert purge(spark, path) == 1 and {r["run_id"] for r in load_features(spark, path).collect()} == {1, 2, 3}
+
+
+def _many(spark, n, features=4):
+    runs = spark.range(1, n + 1).selectExpr(
+        "id", "timestamp '2025-11-01 00:00:00' AS created_at", "date '2025-10-01' AS start_date", "date '2025-10-02' AS end_date",
+        "cast(null AS string) AS filters", "id AS total_feedbacks", "id AS unique_accounts", "cast(id AS decimal(18,2)) AS total_mrr",
+    )
+    rows = spark.range(n * features).selectExpr(
+        f"id div {features} + 1 AS run_id", f"id % {features} + 1 AS rank", "concat('f', id) AS feature", "cast(id AS decimal(18,2)) AS total_mrr",
+        "id AS account_count", "'s' AS sample_feedbacks", "'w' AS ai_insight",
+    )
+    return runs, rows
+
+
+def test_many_runs_are_in_few_files(spark, tmp_path, ranked, totals):
+    path = str(tmp_path)
+    runs, rows = _many(spark, 10_000)
+    save_runs(runs, rows, path)
+    save_run(SPEC, totals, ranked, path)
+    assert compact(spark, path, rows_per_file=5_000) == 1
+    save_run(SPEC, totals, ranked, path)
+    detail = history_detail(load_runs(spark, path), load_features(spark, path))
+    assert detail.count() == 40_010
+    files = [f for f in load_features(spark, path).inputFiles() if "analysis_features" in f]
+    assert len([f for f in files if "packed" in f]) == 9 and len(files) <= 9 + 8
+    # one run: of the packed files those that hold it
+    one = load_run_features(spark, path, 7_000)
+    assert [r["rank"] for r in one.collect()] == [1, 2, 3, 4]
+    assert len([f for f in one.inputFiles() if "analysis_features/packed" in f]) <= 2
+    assert load_run_features(spark, path, 10_002).count() == 5 and load_run_features(spark, path, 20_000).count() == 0
+    assert saved_cards(spark, path).count() == 10_002
+
+
+def test_a_run_larger_than_a_file(spark, tmp_path):
+    path = str(tmp_path)
+    runs, rows = _many(spark, 3, features=500)
+    save_runs(runs, rows, path)
+    compact(spark, path, rows_per_file=200)
+    assert [r["rank"] for r in load_run_features(spark, path, 2).collect()] == list(range(1, 501))
+
+
+def test_saves_pack_the_store_by_themselves(spark, tmp_path, ranked, totals, monkeypatch):
+    from feedback_rank.sinks import history
+
+    monkeypatch.setattr(history, "COMPACT_SAVES", 3)
+    path = str(tmp_path)
+    for _ in range(7):
+        save_run(SPEC, totals, ranked.limit(1), path)
+    assert generations(spark, path).packed == 2
+    assert [r["id"] for r in load_runs(spark, path).orderBy("id").collect()] == list(range(1, 8))
 
 
-def test_only_the_folder_of_the_run_is_read(spark, tmp_path, ranked, totals):
+def test_ids_of_many_writers(spark, tmp_path, ranked, totals):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path)
+    sessions = [spark.newSession() for _ in range(4)]
+
+    def writer(session):
+        mine, of_all = session.createDataFrame(ranked.collect(), ranked.schema), session.createDataFrame(totals.collect(), totals.schema)
+        return [save_run(SPEC, of_all, mine, path) for _ in range(2)]
+
+    with ThreadPoolExecutor(4) as pool:
+        ids = [i for found in pool.map(writer, sessions) for i in found]
+    assert len(set(ids)) == 8
+    assert {r["id"] for r in load_runs(spark, path).collect()} == set(ids) and load_features(spark, path).count() == 40
+
+
+def test_an_id_that_someone_claimed_is_left_out(spark, tmp_path, ranked, totals):
     path = str(tmp_path)
-    for run_id in (1, 2, 3):
-        save_run(SPEC, totals, ranked, path, run_id=run_id)
-    found = load_run_features(spark, path, 2)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(run_id" in plan.replace("\n", "")
-    assert {r["run_id"] for r in found.collect()} == {2}
+    assert claim_run_id(spark, path) == 1  # and never saved
+    assert save_run(SPEC, totals, ranked, path) == 2
+    delete_runs(spark.createDataFrame([(2,)], "run_id long"), path)
+    purge(spark, path)
+    assert save_run(SPEC, totals, ranked, path) == 3
+
+
+@pytest.mark.parametrize("when", ["before the header", "after the header"])
+def test_a_save_while_the_store_is_packed_is_not_lost(spark, tmp_path, ranked, totals, monkeypatch, when):
+    from feedback_rank.sinks import history
+
+    path, real, done = str(tmp_path), history.save_headers, []
+    save_run(SPEC, totals, ranked, path)
+
+    def header(*args, **options):
+        if when == "after the header":
+            real(*args, **options)
+        if not done:
+            done.append(compact(spark, path))
+        if when == "before the header":
+            real(*args, **options)
+
+    monkeypatch.setattr(history, "save_headers", header)
+    assert save_run(SPEC, totals, ranked.limit(2), path) == 2
+    assert [r["id"] for r in load_runs(spark, path).orderBy("id").collect()] == [1, 2]
+    assert load_run_features(spark, path, 2).count() == 2
+    purge(spark, path)
+    assert load_run_features(spark, path, 2).count() == 2 and load_features(spark, path).count() == 7
+
+
+def test_a_crash_while_packing_loses_nothing(spark, tmp_path, ranked, totals, monkeypatch):
+    from feedback_rank.sinks import history
+
+    path, real = str(tmp_path), history._mark
+    save_run(SPEC, totals, ranked, path)
+
+    def crash(spark, path, generation, state, *more):
+        if state == "packed":
+            raise RuntimeError("gone")
+        real(spark, path, generation, state, *more)
+
+    monkeypatch.setattr(history, "_mark", crash)
+    with pytest.raises(RuntimeError):
+        compact(spark, path)
+    monkeypatch.setattr(history, "_mark", real)
+    assert load_features(spark, path).count() == 5
+    save_run(SPEC, totals, ranked.limit(1), path)
+    compact(spark, path)
+    assert load_features(spark, path).count() == 6 and load_runs(spark, path).count() == 2
+
+
+def test_cards_are_those_from_scratch(spark, tmp_path, ranked, totals):
+    path = str(tmp_path)
+
+    def check():
+        from_scratch = history_cards(load_runs(spark, path), load_features(spark, path)).collect()
+        assert saved_cards(spark, path).collect() == from_scratch
+        return [(r["id"], r["feature_count"]) for r in from_scratch]
+
+    at = datetime(2025, 11, 1, 10, tzinfo=timezone.utc)
+    for run_id, n in ((1, 5), (2, 0), (3, 4)):
+        save_run(SPEC, totals, ranked.limit(n), path, run_id, at)
+    assert check() == [(3, 4), (2, 0), (1, 5)]
+    save_run(SPEC, totals, ranked.limit(1), path, 1, at)
+    delete_runs(spark.createDataFrame([(3,)], "run_id long"), path)
+    assert check() == [(2, 0), (1, 1)]
+    compact(spark, path)
+    save_run(SPEC, totals, ranked, path, 3, at)
+    assert check() == [(3, 5), (2, 0), (1, 1)]
+    plan = saved_cards(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "analysis_features" not in plan
 
 
 def test_export_names():

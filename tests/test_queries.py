@@ -6,6 +6,8 @@ import __spark_entry__ as contract
 from checks import queries as checks_queries
 from checks.compare import difference, duck
 
+#: trained models: held against plain training in test_cues.py
+NO_SQL = {"learned_requests"}
 QUERIES, SQL = {name: contract.queries()[name] for name in checks_queries.QUERIES}, contract.oracle_sql()
 
 
@@ -15,10 +17,10 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) <= set(SQL)
+    assert set(QUERIES) - NO_SQL <= set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_SQL))
 def test_query_equals_sql(spark, sf_dir, con, name):
     what, _ = difference(spark, name, QUERIES[name], SQL[name], con, sf_dir)
     assert what is None
