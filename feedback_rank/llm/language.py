@@ -31,6 +31,8 @@ SCRIPT_SHARE = 0.001    # of a language's letters that make a script one of its
 LETTER_BYTES = 500_000      # text taken apart at once
 SCORES_AT_ONCE = 4_000_000  # scores of words by language labelled at once, or those of one longer text
 UNKNOWN = "und"
+LEAST_LETTERS = 20      # a text of fewer is too short to say that it is no language
+LEAST_SOUND = 0.5       # share of a text's letters in sound spans, from which on it is in known languages
 
 # fixed values: where scripts lie, by their first and last code points
 SCRIPTS = {
@@ -141,9 +143,13 @@ class LanguageModel:
         smoothed = counts + 0.5
         logs = np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
         self.logs = np.ascontiguousarray(logs.T, dtype=np.float32)  # buckets by languages
+        # what a letter of the language's own texts reaches, what one of any letters does, and half-way between
+        share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        self.sound = ((share * logs).sum(axis=1) + logs.mean(axis=1)) / 2
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         written = (share >= SCRIPT_SHARE).T  # scripts by languages
-        written[~written.any(axis=1)] = True  # a script nobody was seen in narrows nothing
+        self.taught = written.any(axis=1)
+        written[~self.taught] = True  # a script nobody was seen in narrows nothing
         self.barred = np.where(written, 0, -1e6).astype(np.float32)
 
     def word_scores(self, found: _Letters) -> np.ndarray:
@@ -226,43 +232,45 @@ def train_language_model(labelled: DataFrame, buckets: int = BUCKETS) -> Languag
     )
 
 
-def _found(column: pa.Array, model: LanguageModel, penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
-    """(languages, shares of letters, spans) of all texts of a batch."""
+def _found(column: pa.Array, model: LanguageModel, penalty: float) -> tuple[list[str], list[float], list[list[dict]], list[bool]]:
+    """(languages, shares of letters, spans, whether in known languages) of all texts of a batch."""
     langs: list[str] = []
     shares: list[float] = []
     spans: list[list[dict]] = []
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    known: list[bool] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for _, _, data, bounds in text_slices(column, LETTER_BYTES):
         found = _Letters(data, bounds)
-        held.append((found.lengths, np.diff(found.bounds), model.word_scores(found)))
-        if sum(scores.size for _, _, scores in held) > SCORES_AT_ONCE:
-            _label(held, model, penalty, langs, shares, spans)
-    _label(held, model, penalty, langs, shares, spans)
-    return langs, shares, spans
+        held.append((found.lengths, np.diff(found.bounds), model.word_scores(found), found.scripts))
+        if sum(scores.size for _, _, scores, _ in held) > SCORES_AT_ONCE:
+            _label(held, model, penalty, langs, shares, spans, known)
+    _label(held, model, penalty, langs, shares, spans, known)
+    return langs, shares, spans, known
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel, penalty: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, shares, spans = _found(batch.column(1), model, penalty)
+        langs, shares, spans, _ = _found(batch.column(1), model, penalty)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, schema.field(3).type)], schema=schema
         )
 
 
 def _label(
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], model: LanguageModel, penalty: float,
-    langs: list[str], shares: list[float], spans: list[list[dict]],
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], model: LanguageModel, penalty: float,
+    langs: list[str], shares: list[float], spans: list[list[dict]], known: list[bool],
 ) -> None:
-    """Add the results for the texts held, (letters by word, words by text, scores), and let go of them."""
+    """Add the results for the texts held, (letters by word, words by text, scores, scripts), and let go of them."""
     if not held:
         return
-    lengths, words, scores = (np.concatenate(part) for part in zip(*held))
+    lengths, words, scores, scripts = (np.concatenate(part) for part in zip(*held))
     held.clear()
     texts, size = len(words), len(model.langs)
     if not size:
         langs += [UNKNOWN] * texts
         shares += [0.0] * texts
         spans += [[]] * texts
+        known += [False] * texts
         return
     labels = model.labels(scores, np.concatenate([[0], np.cumsum(words)]), penalty).astype(np.int64)
     of_text = np.repeat(np.arange(texts), words)
@@ -274,12 +282,31 @@ def _label(
     new = np.ones(len(labels), dtype=bool)
     new[1:] = (labels[1:] != labels[:-1]) | (of_text[1:] != of_text[:-1])
     heads = np.flatnonzero(new)
+    known += _in_known(model, lengths, scores, scripts, labels, of_text, new, texts).tolist()
     mine: list[list[dict]] = [[] for _ in range(texts)]
     for at, n in zip(heads.tolist(), np.diff(np.append(heads, len(labels))).tolist()):
         mine[of_text[at]].append({"lang": model.langs[labels[at]], "words": n})
     spans += mine
 
 
+def _in_known(
+    model: LanguageModel, lengths: np.ndarray, scores: np.ndarray, scripts: np.ndarray, labels: np.ndarray, of_text: np.ndarray,
+    new: np.ndarray, texts: int,
+) -> np.ndarray:
+    """Whether half or more of each text's letters lie in sound spans, see :func:`in_known_languages`."""
+    if not len(labels):
+        return np.zeros(texts, dtype=bool)
+    taught = model.taught[scripts]
+    span, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+    letters = np.bincount(span, lengths * taught)
+    reached = np.bincount(span, scores[np.arange(len(labels)), labels].astype(np.float64) * taught)
+    sound = reached >= model.sound[labels[heads]] * letters
+    total, taught_letters = np.bincount(of_text, lengths, texts), np.bincount(of_text, lengths * taught, texts)
+    in_sound = np.bincount(of_text[heads], letters * sound, texts)
+    enough = np.where(total < LEAST_LETTERS, taught_letters, in_sound)
+    return (total > 0) & (enough >= LEAST_SOUND * total)
+
+
 def predict_language(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) -> DataFrame:
     """(doc_id, lang_pred, score, spans): every document with its language.
 
@@ -304,18 +331,23 @@ def predict_language(docs: DataFrame, model: LanguageModel, penalty: float = PEN
 
 
 def in_known_languages(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) -> DataFrame:
-    """The rows of ``docs`` with a language, however many languages share the text; the columns stay.
-
-    What is ``und`` to :func:`predict_language` goes: texts that are null or without letters,
-    and all under a model without languages.
+    """The rows of ``docs`` that are in languages of the model, one or several in any shares; the columns stay.
+
+    A text stays if at least LEAST_SOUND of its letters lie in sound spans. A span, as
+    :func:`predict_language` finds them, is sound if its letters reach, on average, under the language of
+    the span, at least half-way from what letters at random have (the mean of the language's
+    log-probabilities over all buckets) to what the language's own texts have (their mean over
+    its trigrams). Letters of scripts that are no language's own never are sound. A text of fewer than
+    LEAST_LETTERS letters is too short for that and stays if half of them are of a script taught. So what goes is: texts
+    that are null, empty or without letters, scripts nobody taught, letters at random; all under a model
+    without languages. Very long texts count whole; repeated rows each stay or go; nothing is shuffled.
     """
     text_at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, _, _ = _found(batch.column(text_at), shared.value, penalty)
-            yield batch.filter(pa.array([lang != UNKNOWN for lang in langs], pa.bool_()))
+            yield batch.filter(pa.array(_found(batch.column(text_at), shared.value, penalty)[3], pa.bool_()))
 
     return in_small_batches(docs).mapInArrow(kept, docs.schema)
 

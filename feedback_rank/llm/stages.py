@@ -14,7 +14,10 @@ from feedback_rank.session import scratch_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the languages that the labelled ones teach, mixed or not; those without letters go."""
+    """Documents in the languages that the labelled ones teach, mixed or not.
+
+    Those go that have no letters, or most of them in untaught scripts or in spans like letters at random.
+    """
     return in_known_languages(docs, train_language_model(docs))
 
 

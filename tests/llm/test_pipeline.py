@@ -39,11 +39,61 @@ def test_order_and_columns(stages):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-def test_language(stages):
+def plain_known(text, model, spans):
+    """Whether half of the text's letters lie in spans that reach half-way from random letters to the language's own."""
+    letters, words = "", []
+    for c in (text or "") + " ":
+        if c.isalpha():
+            letters += c.lower() if len(c.lower()) == 1 else c
+        elif letters:
+            words += [letters[i:i + 40] for i in range(0, len(letters), 40)] if len(letters) <= 40 else [letters]
+            letters = ""
+    assert all(len(w) <= 40 for w in words) and sum(s.words for s in spans) == len(words)
+    total = sum(map(len, words))
+    if not total:
+        return False
+    sound = at = 0
+    for span in spans:
+        mine, lang = words[at:at + span.words], model.langs.index(span.lang)
+        at += span.words
+        reached = 0.0
+        for word in mine:
+            points = [0, *map(ord, word), 0]
+            for before, own, after in zip(points, points[1:], points[2:]):
+                mix = ((before * 0x110000 + own) * 0x110000 + after) * 0x9E3779B97F4A7C15 % 2**64
+                reached += float(model.logs[(mix >> 48) % len(model.logs), lang])
+        n = sum(map(len, mine))
+        sound += n * (reached >= model.sound[lang] * n)
+    return total < 20 or sound >= 0.5 * total
+
+
+def test_language(stages, spark):
+    """Against the plain version; the texts are of Latin letters, and words of up to 40."""
+    from feedback_rank.llm.language import predict_language, train_language_model
+
     _, rows, _, kept = stages[0]
-    gone = Counter(rows) - Counter(kept)
-    assert not Counter(kept) - Counter(rows)
-    assert all(not any(c.isalpha() for c in text or "") for _, text, *_ in gone) and sum(gone.values()) >= 3
+    docs = spark.createDataFrame([(i, *row[1:]) for i, row in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    model = train_language_model(docs)
+    spans = {r.doc_id: r.spans for r in predict_language(docs, model).collect()}
+    assert Counter(kept) == Counter(row for i, row in enumerate(rows) if plain_known(row[1], model, spans[i]))
+    assert len(kept) < len(rows)
+
+
+def test_what_is_no_known_language_goes(spark):
+    import random
+
+    from feedback_rank.llm.language import in_known_languages, train_language_model
+
+    rng = random.Random(5)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxzaeiouy") for _ in range(rng.randrange(3, 12))) for _ in range(400))
+    books = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    model = train_language_model(books)
+    clean = books.orderBy("doc_id").first().text
+    texts = [clean, noise, "漢字仮名交じり文" * 50, "digits 1 2 3", "a1 2 3 4 5", clean[:300] + " " + noise, clean + " " + noise[:300], "漢字", "", None, "漢字" * 100_000 + clean]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(None, clean, 1, 2)] * 2, "id long, text string, sound int, known int").repartition(3)
+    found = in_known_languages(docs, model)
+    assert found.columns == docs.columns
+    assert sorted((r.id for r in found.collect()), key=str) == [0, 3, 4, 6, None, None]
 
 
 def test_mixed_languages_stay(spark):
