@@ -6,7 +6,9 @@ follow each other are joined to matches. Then, as in running Karp-Rabin greedy s
 tiling (Wise 1993), the longest match free of marked words is marked in both, what is
 left of the others is shortened, and so on down to the shortest length. The share of the
 item's words that is tiled in the end tells how much of the item the document holds, in
-whatever order its parts come.
+whatever order its parts come; one long tile tells as much, however long the item is. An
+item of fewer words than a seed is one run of all its words, and so is a document of
+fewer words: such an item is found where it is the whole document.
 
 Documents are not shuffled. The benchmark goes to the tasks in parts of bounded size, one
 pass over the documents for each part.
@@ -28,6 +30,7 @@ from feedback_rank.llm.tokens import in_small_batches, ragged, shingles, word_sl
 
 SEED_WORDS = 5
 COVERAGE = 0.5
+LONG_TILE = 50             # words in one tile that are a leak whatever the coverage
 PART_BYTES = 8_000_000     # of benchmark text in one pass; a longer item has a pass of its own
 MATCHES_AT_ONCE = 2_000_000
 _TABLE_BITS = 22
@@ -66,21 +69,20 @@ def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, in
 class BenchmarkPart:
     """Some benchmark items' seeds, sorted for lookup."""
 
-    def __init__(self, item_ids: list, texts: list[str | None], size: int):
+    def __init__(self, item_ids: list, texts: list[str | None], size: int, long_tile: int = LONG_TILE):
         hashes, counts = [], []
         for first, upto, words in word_slices(pa.array(texts, pa.string())):
             hashes.append(words.hashes())
             counts.append(words.counts)
-        self.item_ids, self.size = item_ids, size
+        self.item_ids, self.size, self.long_tile = item_ids, size, long_tile
         self.words = np.concatenate(counts) if counts else np.empty(0, np.int64)
         bounds = np.concatenate([[0], np.cumsum(self.words)]).astype(np.int64)
         grams, gram_bounds = shingles(np.concatenate(hashes) if hashes else np.empty(0, np.uint64), bounds, size)
         gram_counts = np.diff(gram_bounds)
         item = np.repeat(np.arange(len(self.words)), gram_counts)
         place = np.arange(len(grams)) - np.repeat(gram_bounds[:-1], gram_counts)
-        long_enough = self.words[item] >= size
-        order = np.argsort(grams[long_enough], kind="stable")
-        grams, self.item, self.place = (x[long_enough][order] for x in (grams, item, place))
+        order = np.argsort(grams, kind="stable")
+        grams, self.item, self.place = (x[order] for x in (grams, item, place))
         self.seeds, self.first, self.repeats = np.unique(grams, return_index=True, return_counts=True)
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[self.seeds >> np.uint64(64 - _TABLE_BITS)] = True
@@ -121,28 +123,30 @@ class BenchmarkPart:
         heads = np.flatnonzero(new)
         lengths = np.diff(np.append(heads, len(i))) + self.size - 1
         i, j, item, text = i[heads], j[heads], item[heads], text[heads]
+        lengths = np.minimum(lengths, self.words[item])  # of an item shorter than a seed
         pair = np.ones(len(heads), dtype=bool)
         pair[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
         pairs = np.append(np.flatnonzero(pair), len(heads))
-        # the matches together cannot tile more words than they have
+        # the matches together cannot tile more words than they have, nor make a longer tile
         enough = np.add.reduceat(lengths, pairs[:-1]) >= coverage * self.words[item[pairs[:-1]]]
+        enough |= np.maximum.reduceat(lengths, pairs[:-1]) >= self.long_tile
         found = []
         for a, b in zip(pairs[:-1][enough].tolist(), pairs[1:][enough].tolist()):
             mine = tiles(list(zip(lengths[a:b].tolist(), i[a:b].tolist(), j[a:b].tolist())), self.size)
             words = sum(length for length, _, _ in mine)
-            if words >= coverage * self.words[item[a]]:
+            if words >= coverage * self.words[item[a]] or mine[0][0] >= self.long_tile:  # the first is the longest
                 found.append((int(text[a]), int(item[a]), words, len(mine)))
         return found
 
 
-def _parts(benchmark: DataFrame, size: int, part_bytes: int) -> Iterator[BenchmarkPart]:
+def _parts(benchmark: DataFrame, size: int, part_bytes: int, long_tile: int) -> Iterator[BenchmarkPart]:
     """The benchmark in parts that each hold about ``part_bytes`` of text at most."""
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_bytes))
     for part in range(parts):
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        yield BenchmarkPart([r.item_id for r in mine], [r.text for r in mine], size)
+        yield BenchmarkPart([r.item_id for r in mine], [r.text for r in mine], size, long_tile)
 
 
 def _matched(batches: Iterator[pa.RecordBatch], part: BenchmarkPart, coverage: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -163,14 +167,16 @@ def _matched(batches: Iterator[pa.RecordBatch], part: BenchmarkPart, coverage: f
 
 
 def leaked_items(
-    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed_words: int = SEED_WORDS, part_bytes: int = PART_BYTES
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed_words: int = SEED_WORDS, part_bytes: int = PART_BYTES,
+    long_tile: int = LONG_TILE,
 ) -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, coverage, tiles): what documents hold of the benchmark.
 
     One row for each row of ``docs`` and of ``benchmark`` (item_id, text) whose words are
-    tiled to ``coverage`` or more, by matches of ``seed_words`` words or more. Items of fewer
-    words, or without text, are found nowhere, and null or empty documents hold nothing;
-    repeated rows are each reported; other columns are not read. Empty tables give no rows.
+    tiled to ``coverage`` or more, by matches of ``seed_words`` words or more, or that has a tile of ``long_tile``
+    words or more. An item of fewer words than ``seed_words`` is found in documents that have just its
+    words and no others. Items without a word are found nowhere, and null or empty documents hold
+    nothing; very long texts count whole; repeated rows are each reported; other columns are not read. Empty tables give no rows.
     The benchmark's size is measured at once.
     """
     narrow = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
@@ -179,7 +185,7 @@ def leaked_items(
          StructField("covered_words", LongType()), StructField("coverage", DoubleType()), StructField("tiles", LongType())]
     )
     arrow, found = to_arrow_schema(schema), None
-    for part in _parts(benchmark, seed_words, part_bytes):
+    for part in _parts(benchmark, seed_words, part_bytes, long_tile):
         shared = docs.sparkSession.sparkContext.broadcast(part)
         rows = narrow.mapInArrow(lambda batches, shared=shared: _matched(batches, shared.value, coverage, arrow), schema)
         found = rows if found is None else found.unionByName(rows)
@@ -196,11 +202,12 @@ def _kept(batches: Iterator[pa.RecordBatch], text_at: int, part: BenchmarkPart,
 
 
 def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed_words: int = SEED_WORDS, part_bytes: int = PART_BYTES
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed_words: int = SEED_WORDS, part_bytes: int = PART_BYTES,
+    long_tile: int = LONG_TILE,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; see :func:`leaked_items`. The columns stay as they are."""
     text_at = docs.columns.index("text")
-    for part in _parts(benchmark, seed_words, part_bytes):
+    for part in _parts(benchmark, seed_words, part_bytes, long_tile):
         shared = docs.sparkSession.sparkContext.broadcast(part)
         docs = in_small_batches(docs).mapInArrow(lambda batches, shared=shared: _kept(batches, text_at, shared.value, coverage), docs.schema)
     return docs

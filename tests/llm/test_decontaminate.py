@@ -95,3 +95,29 @@ def test_empty_tables(spark):
     assert leaked_items(docs.limit(0), benchmark).count() == 0
     assert leaked_items(docs, benchmark.limit(0)).count() == 0
     assert decontaminated(docs, benchmark.where(F.lit(False))).count() == len(documents())
+
+
+def test_short_items_and_long_excerpts(spark):
+    long, filler = words(50, 1000), words(51, 300)
+    items = [(1, "Too few words"), (2, "yes"), (3, " ".join(long)), (4, ""), (5, "too few  words")]
+    texts = {
+        10: "too FEW\nwords", 11: "too few words here", 12: "Yes", 13: "yes yes", 14: "few words too", 15: "",
+        20: " ".join(filler + long[200:250] + filler), 21: " ".join(filler + long[200:249] + filler), 22: " ".join(long[500:950]),
+        23: " ".join(long[:30] + filler + long[100:130] + filler[:20] + long[300:330]),  # much of it, but in short tiles
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.item_words, r.covered_words, r.tiles) for r in leaked_items(docs, benchmark).collect()}
+    # by chance a run of words may stand twice; at least the excerpt is covered
+    assert set(found) == {(10, 1), (10, 5), (12, 2), (20, 3), (22, 3)}
+    assert found[10, 1] == (3, 3, 1) and found[12, 2] == (1, 1, 1) and found[20, 3][1] >= 50 and found[22, 3][1] >= 450
+    assert sorted(r.doc_id for r in decontaminated(docs, benchmark).collect()) == [11, 13, 14, 15, 21, 23]
+    assert leaked_items(docs, benchmark, long_tile=49).where("doc_id = 21").count() == 1
+
+
+def test_a_very_long_text(spark):
+    item = words(60, 40)
+    text = " ".join(words(61, 60_000) + item + words(62, 200_000))
+    docs = spark.createDataFrame([(1, text), (2, " ".join(words(61, 60_000)))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.covered_words) for r in leaked_items(docs, benchmark).collect()] == [(1, 7, 40)]
