@@ -442,6 +442,9 @@ _QUERIES: dict[str, tuple[str, str]] = {
                created_by AS "Created By", NULLIF(account_name, '') AS "Account Name", NULLIF(account_owner, '') AS "Account Owner",
                NULLIF(platform_client_id, '') AS "Platform Client ID", mrr AS "Real MRR Last Month", tpv AS "Last Invoiced TPV"
         FROM v_feedback"""),
+    "csv_accounts": ("", """
+        SELECT feature AS "Feature", account_name AS "Account Name", NULLIF(platform_client_id, '') AS "Platform Client ID",
+               mrr AS "Real MRR Last Month" FROM v_once"""),
     "csv_features": ("", """
         SELECT feature AS "Feature", total_mrr AS "Total MRR", account_count AS "Account Count", accounts AS "Accounts",
                samples AS "Sample Feedbacks", ai_insight AS "AI Insight"

@@ -604,10 +604,17 @@ def csv_roundtrip(t):
 @query
 def csv_features(t):
     mentions = t.account_mention()
-    ranked = rollup.with_labels(rollup.rank_features(mentions), rollup.feature_accounts(mentions))
+    ranked = rollup.with_labels(rollup.rank_features(mentions), rollup.feature_accounts(mentions), most_characters=100_000_000)
     return through_csv(t, csv_sink.export_table(ranked, csv_sink.FEATURE_EXPORT), csv_sink.FEATURE_EXPORT)
 
 
+@query
+def csv_accounts(t):
+    """The accounts of the features as rows: no text grows with a feature."""
+    accounts = rollup.feature_accounts(t.account_mention())
+    return through_csv(t, csv_sink.export_table(accounts, csv_sink.ACCOUNT_EXPORT), csv_sink.ACCOUNT_EXPORT)
+
+
 def through_csv(t, table, kind):
     path = f"{scratch_path(t.spark, 'csv')}/{csv_sink.export_name(kind, RunSpec(START, t.window_end()))}"
     csv_sink.write_csv(table, path)

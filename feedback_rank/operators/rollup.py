@@ -28,19 +28,26 @@ def feature_accounts(mentions: DataFrame) -> DataFrame:
     return _once(mentions.where(F.col("account_name").isNotNull())).withColumn("label", label)
 
 
-def joined_labels(accounts: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+def joined_labels(accounts: DataFrame, keys: Sequence[str] = ("feature",), most_characters: int | None = None) -> DataFrame:
     """The labels of :func:`feature_accounts` as one text for each feature.
 
-    For a page or an export: the text of a feature is as long as the list of its accounts.
+    For a page or an export: the text of a feature is as long as the list of its accounts, and one task
+    makes it. With ``most_characters`` the texts' lengths are summed first, at once, and a longer one raises an
+    error before any is made; the accounts as rows have no such bound (``csv.ACCOUNT_EXPORT``).
     """
+    if most_characters is not None:
+        size = (F.sum(F.length("label") + len(C.LABEL_SEPARATOR)) - len(C.LABEL_SEPARATOR)).alias("size")
+        long = accounts.groupBy(*keys).agg(size).where(F.col("size") > most_characters).orderBy(F.desc("size"), *keys).head()
+        if long:
+            raise ValueError(f"the accounts of {tuple(long[key] for key in keys)} make a text of {long['size']} characters, above {most_characters}")
     return accounts.groupBy(*keys).agg(
         F.array_join(F.array_sort(F.collect_list("label")), C.LABEL_SEPARATOR).alias("accounts")
     )
 
 
-def with_labels(ranked: DataFrame, accounts: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+def with_labels(ranked: DataFrame, accounts: DataFrame, keys: Sequence[str] = ("feature",), most_characters: int | None = None) -> DataFrame:
     """The ranked table with the joined labels of its accounts, '' where it has none."""
-    joined = ranked.join(joined_labels(accounts, keys), list(keys), "left")
+    joined = ranked.join(joined_labels(accounts, keys, most_characters), list(keys), "left")
     return joined.select(*ranked.columns, F.coalesce("accounts", F.lit("")).alias("accounts"))
 
 

@@ -22,8 +22,9 @@ _FORMAT = {
 # The first words of the two export names.
 RAW_EXPORT = "feedback_raw"
 FEATURE_EXPORT = "feature_analysis"
+ACCOUNT_EXPORT = "feature_accounts"  # our own: the accounts of the features as rows
 
-# The columns of the two exports, and their headers.
+# The columns of the exports, and their headers.
 HEADERS = {
     RAW_EXPORT: {
         "account_owner": "Account Owner", "platform_client_id": "Platform Client ID", "account_name": "Account Name",
@@ -34,6 +35,9 @@ HEADERS = {
         "feature": "Feature", "total_mrr": "Total MRR", "account_count": "Account Count", "accounts": "Accounts",
         "sample_feedbacks": "Sample Feedbacks", "ai_insight": "AI Insight",
     },
+    ACCOUNT_EXPORT: {
+        "feature": "Feature", "account_name": "Account Name", "platform_client_id": "Platform Client ID", "mrr": "Real MRR Last Month",
+    },
 }
 
 

@@ -98,3 +98,11 @@ def test_rollup_by_hand(spark, sf_dir):
     want = {f: (sum(v.values()), len(v)) for f, v in best.items()}
     got = {r["feature"]: (r["total_mrr"], r["account_count"]) for r in rollup.feature_rollup(mentions).collect()}
     assert got == want
+
+
+def test_joined_labels_have_a_bound(spark):
+    accounts = spark.createDataFrame([("f", "ab"), ("f", "cde"), ("g", "x")], "feature string, label string")
+    assert {r[0]: r[1] for r in rollup.joined_labels(accounts, most_characters=7).collect()} == {"f": "ab, cde", "g": "x"}
+    with pytest.raises(ValueError, match=r"'f',.*7 characters, above 6"):
+        rollup.joined_labels(accounts, most_characters=6)
+    assert rollup.joined_labels(accounts.limit(0), most_characters=0).collect() == []
