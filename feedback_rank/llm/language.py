@@ -29,7 +29,7 @@ PENALTY = 8.0           # of a change of language, in natural logarithms
 PIECE = 40              # letters after which a run without a break is parted, as in scripts without spaces
 SCRIPT_SHARE = 0.001    # of a language's letters that make a script one of its own
 LETTER_BYTES = 500_000      # text taken apart at once
-SCORES_AT_ONCE = 4_000_000  # scores of words by language labelled at once, or those of one longer text
+SCORES_AT_ONCE = 2_000_000  # scores of words by language labelled at once, or those of one longer text
 UNKNOWN = "und"
 LEAST_LETTERS = 20      # a text of fewer is too short to say that it is no language
 LEAST_SOUND = 0.5       # share of a text's letters in sound spans, from which on it is in known languages
@@ -299,7 +299,9 @@ def _in_known(
     taught = model.taught[scripts]
     span, heads = np.cumsum(new) - 1, np.flatnonzero(new)
     letters = np.bincount(span, lengths * taught)
-    reached = np.bincount(span, scores[np.arange(len(labels)), labels].astype(np.float64) * taught)
+    own = np.take_along_axis(scores, labels[:, None], axis=1)[:, 0]
+    own[~taught] = 0
+    reached = np.bincount(span, own)
     sound = reached >= model.sound[labels[heads]] * letters
     total, taught_letters = np.bincount(of_text, lengths, texts), np.bincount(of_text, lengths * taught, texts)
     in_sound = np.bincount(of_text[heads], letters * sound, texts)
