@@ -14,6 +14,7 @@ that are still read.
 
 from __future__ import annotations
 
+import random
 import time
 import uuid
 from datetime import datetime, timezone
@@ -30,6 +31,7 @@ from feedback_rank.sources.stored import append_rows, claim_number, stored_table
 from feedback_rank.spec import RunSpec
 
 COMPACT_SAVES = 200        # loose saves after which a save packs the store
+LOOKS = 16                 # times that a save looks for so many, on average, before there are so many
 ROWS_PER_FILE = 1_000_000  # of a packed table
 
 
@@ -144,14 +146,14 @@ def save_run(
     """Save a run with its features and their accounts; returns the id of the run.
 
     Without an id the run gets one that no other writer has. Every :data:`COMPACT_SAVES` saves
-    the store is packed.
+    or a few more the store is packed; not every save looks for that.
     """
     spark = ranked.sparkSession
     if run_id is None:
         run_id = claim_run_id(spark, path)
     of_run = None if accounts is None else run_accounts(accounts, run_id)
     save_runs(run_header(spec, totals, run_id, created_at), run_features(ranked, run_id), path, of_run)
-    if _known(spark, path)[1] >= COMPACT_SAVES:
+    if random.random() * COMPACT_SAVES < LOOKS and _known(spark, path)[1] >= COMPACT_SAVES:
         compact(spark, path)
     return run_id
 
