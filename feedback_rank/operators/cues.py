@@ -72,6 +72,14 @@ def sentences_of(texts: DataFrame, column: str = "feedback") -> DataFrame:
     return texts.select(*[c for c in texts.columns if c != "sentence"], split).where(F.size(words(F.col("sentence"))) > 0)
 
 
+def _errors(rows: DataFrame, model: CueModel, share: Column) -> DataFrame:
+    """(error, bucket): the error of each sentence, once for every bucket of it and once for the bias."""
+    wrong = share * (1 / (1 + F.exp(-_total(F.col("buckets"), model))) - F.col("asked").cast("double"))
+    # scored in a select of its own: beside the explode, the row of every bucket would score the whole sentence again
+    scored = rows.select(wrong.alias("error"), F.concat("buckets", F.array(F.lit(len(model.weights)))).alias("buckets"))
+    return scored.select("error", F.explode("buckets").alias("bucket"))
+
+
 def train_cues(
     labelled: DataFrame, buckets: int = BUCKETS, run_words: int = RUN_WORDS, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE
 ) -> CueModel:
@@ -92,8 +100,7 @@ def train_cues(
     weights, seen = [0.0] * (buckets + 1), [0.0] * (buckets + 1)  # the last one is the bias
     for _ in range(rounds):
         now = CueModel(tuple(weights[:-1]), weights[-1], run_words)
-        wrong = share * (1 / (1 + F.exp(-_total(F.col("buckets"), now))) - F.col("asked").cast("double"))
-        errors = rows.select(wrong.alias("error"), F.explode(F.concat("buckets", F.array(F.lit(buckets)))).alias("bucket"))
+        errors = _errors(rows, now, share)
         for row in errors.groupBy("bucket").agg(F.sum("error").alias("error")).collect():  # at most one row a bucket
             at = row["bucket"]
             slope = row["error"] + (ridge * weights[at] if at < buckets else 0.0)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedback_rank.functions.text import is_actionable
+from feedback_rank.operators import cues
 from feedback_rank.operators.cues import CueModel, asks, cue_score, run_buckets, sentences_of, train_cues
 from feedback_rank.plans.analyze import analyze
 
@@ -127,3 +128,12 @@ def test_analysis_with_a_model(spark):
     phrases = spark.createDataFrame([("dark", "dark theme")], "feature string, phrase string")
     assert analyze(feedback, phrases).first()["sample_feedbacks"].count("|") == 1
     assert analyze(feedback, phrases, request_cues=model).first()["sample_feedbacks"] == "Could you build a dark theme?"
+
+
+def test_a_round_scores_a_sentence_once(spark):
+    """Below the explode: above it, a sentence would be scored as often as it has buckets, each time over all of them."""
+    rows = spark.createDataFrame([(True, 1.0, [1, 2])], "asked boolean, times double, buckets array<int>")
+    errors = cues._errors(rows, cues.CueModel((0.5,) * 4), F.col("times"))
+    plan = errors._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("aggregate(")
+    assert sorted(r["bucket"] for r in errors.collect()) == [1, 2, 4]
