@@ -4,9 +4,11 @@ A ledger, a Parquet table in a shared folder, keeps what every call gave, under
 chunk's text. A run looks up its chunks there and calls only what is missing or has failed so
 far. What is called is dealt to lanes. A lane is one task, so there are never more calls at
 once than lanes; it makes its calls one after the other and keeps the pause that the service
-asked for from chunk to chunk. The chunks go in waves, a job each, whose tasks append to the
-ledger when they end. So a lost executor, or a crash of the whole run, costs the calls of the
-tasks that were under way, and the next run goes on from there.
+asked for from chunk to chunk. The chunks go in waves. A job begins with the next wave of each
+lane, whose tasks append to the ledger when they end. While TASK_SECONDS have not passed, a task
+goes on with its lane's following waves, as many as are in the ledger already, so that quick calls
+do not wait for a job each. So a lost executor, or a crash of the whole run, costs the calls of the
+tasks that were under way, a wave or those few seconds, and the next run goes on from there.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from feedback_rank.sources.stored import stored_table
 
 RETRY_WAITS = (30, 60)  # fixed values: seconds before the second and third try
 IN_FLIGHT = 8           # calls at once
-LANE_CALLS = 16         # calls of a lane in a wave; a task that is lost costs so many at most
+LANE_CALLS = 16         # calls of a lane in a wave; a task that is lost costs so many at most, or what it called in TASK_SECONDS
+TASK_SECONDS = 2.0      # after these a task ends with the wave it is in
+JOB_CHUNKS = 1024       # chunks that a job sorts to its lanes at most, beside one wave
 OK, FAILED = "ok", "failed"
 _LEAST_PAUSE = 1.0      # seconds; a shorter pause is none
 
@@ -40,7 +44,7 @@ LEDGER = T.StructType([
     T.StructField("ended_at", T.TimestampType()),
 ])
 _TODO = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("lane", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("lines", T.StringType()),
+    T.StructField("n", T.LongType()), T.StructField("lane", T.IntegerType()), T.StructField("wave", T.LongType()), T.StructField("key", T.StringType()), T.StructField("lines", T.StringType()),
 ])
 
 
@@ -81,23 +85,28 @@ def outcomes(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("key").agg(F.max_by(F.struct("status", "error", "payload"), newest).alias("of")).select("key", "of.*")
 
 
-def _called(fn: Callable[[str], str], waits, sleep) -> Callable:
+def _called(fn: Callable[[str], str], waits, sleep, seconds: float = TASK_SECONDS) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        lane = Lane(fn, waits, sleep)
+        lane, begun, wave, rows = Lane(fn, waits, sleep), time.monotonic(), None, []
         for batch in batches:
             for row in batch.itertuples(index=False):
+                if row.wave != wave:
+                    if rows:
+                        yield pd.DataFrame(rows, columns=LEDGER.names)
+                    if wave is not None and time.monotonic() - begun >= seconds:
+                        return
+                    wave, rows = row.wave, []
                 started = pd.Timestamp.now(tz="UTC")
                 status, error, payload = OK, None, None
                 try:
                     payload = lane(row.lines)
                 except Exception as failure:
                     status, error = FAILED, str(failure)
-                yield pd.DataFrame({
-                    "key": [row.key], "lane": [row.lane], "wave": [row.wave], "status": [status], "error": [error], "payload": [payload],
-                    "started_at": [started], "ended_at": [pd.Timestamp.now(tz="UTC")],
-                })
+                rows.append((row.key, row.lane, row.wave, status, error, payload, started, pd.Timestamp.now(tz="UTC")))
+        if rows:
+            yield pd.DataFrame(rows, columns=LEDGER.names)
 
     return run
 
@@ -134,9 +143,11 @@ def call_chunks(
     called once. ``in_flight`` is the number of lanes, ``lane_calls`` what each does in a wave.
     A call that raises makes its chunk 'failed'; a later run with the same ledger calls it again.
 
+    A task that is lost costs a wave of its lane, or what it called in :data:`TASK_SECONDS`, if that is more.
+
     ``on_progress`` gets the share of texts with a result: first what the ledger already has,
     then after each wave, at last 1. Waves count once their job is done, so repeated tasks do
-    not. Null lines count as empty; an empty table calls nothing. Speculative copies of tasks
+    not; those of one job are told one after the other. Null lines count as empty; an empty table calls nothing. Speculative copies of tasks
     would call twice at once: with ``spark.speculation`` on this raises an error.
     """
     spark = chunks.sparkSession
@@ -147,18 +158,33 @@ def call_chunks(
     ledger = ledger or scratch_path(spark, "ledger")
     keyed = checkpointed(chunk_keys(chunks, label))
     path, mine = scratch_path(spark, "calls"), f"{ledger.rstrip('/')}/{uuid.uuid4().hex}"  # each run adds a folder of its own
-    _pending(keyed, read_ledger(spark, ledger), in_flight, lane_calls).repartition("wave").write.partitionBy("wave").parquet(path)
+    wave_chunks = in_flight * lane_calls
+    at_once = max(1, JOB_CHUNKS // wave_chunks)  # waves that a job has at hand; a folder each
+    pending = _pending(keyed, read_ledger(spark, ledger), in_flight, lane_calls).withColumn("part", F.floor(F.col("wave") / at_once).cast("long"))
+    pending.repartition("part").write.partitionBy("part").parquet(path)
     total, waiting = keyed.select("key").distinct().count(), stored_table(spark, path, _TODO).count()
     progress = on_progress or (lambda share: None)
     if total:
         progress((total - waiting) / total)
-    for wave in range(-(-waiting // (in_flight * lane_calls))):
-        todo = stored_table(spark, f"{path}/wave={wave}", _TODO).withColumn("wave", F.lit(wave).cast("long"))
+    done, job, waves = 0, 0, -(-waiting // wave_chunks)
+    ahead = [0] * in_flight  # the wave that each lane has next
+    while done < waves:
+        part = done // at_once
+        upto = min(waves, (part + 1) * at_once, done + max(1, done))
+        begins = F.get(F.array(*[F.lit(wave).cast("long") for wave in ahead]), F.col("lane"))
+        todo = stored_table(spark, f"{path}/part={part}", _TODO).where((F.col("wave") >= begins) & (F.col("wave") < upto))
         # a lane is a partition of its own; a task's rows are there as soon as it ends, not only when all have ended
         lanes = todo.repartitionById(in_flight, F.col("lane")).sortWithinPartitions("n").select("key", "lane", "wave", "lines")
-        lanes.mapInPandas(_called(fn, waits, sleep), LEDGER).write.option(
+        folder, job = f"{mine}/{job}", job + 1
+        lanes.mapInPandas(_called(fn, waits, sleep, TASK_SECONDS), LEDGER).write.option(
             "mapreduce.fileoutputcommitter.algorithm.version", "2"
-        ).mode("append").parquet(mine)
-        progress((total - max(0, waiting - (wave + 1) * in_flight * lane_calls)) / total)
+        ).mode("append").parquet(folder)
+        for row in stored_table(spark, folder, LEDGER).groupBy("lane").agg(F.max("wave").alias("wave")).collect():  # a row a lane
+            ahead[row["lane"]] = row["wave"] + 1
+        # some lanes may have no chunk in the last wave
+        now = min(waves if wave == waves - 1 and lane + wave * wave_chunks >= waiting else wave for lane, wave in enumerate(ahead))
+        for wave in range(done, now):
+            progress((total - max(0, waiting - (wave + 1) * wave_chunks)) / total)
+        done = now
     known = read_ledger(spark, ledger).join(keyed.select("key").distinct(), "key", "left_semi")
     return keyed.select("chunk_id", "key").join(outcomes(known), "key").select("chunk_id", "status", "error", "payload")

@@ -146,3 +146,22 @@ def test_repeated_null_and_no_chunks(spark, tmp_path):
     assert calls.call_chunks(chunks.limit(0), Service(tmp_path), on_progress=seen.append).collect() == [] and len(seen) == 2
     with pytest.raises(ValueError):
         calls.call_chunks(chunks, Service(tmp_path), in_flight=0)
+
+
+def test_quick_calls_take_several_waves_a_job(spark, tmp_path, monkeypatch):
+    """A job a wave before: 25 of them; now the waves of a job double, and all else is the same."""
+    ledger, seen = str(tmp_path / "ledger"), []
+    found = calls.call_chunks(_chunks(spark, 99), Service(tmp_path), ledger, in_flight=2, lane_calls=2, on_progress=seen.append)
+    assert _rows(found) == [(i, "ok", None, json.dumps(f"lines of {i}")) for i in range(99)]
+    assert seen == [0.0, *(min(1.0, (99 - max(0, 99 - 4 * wave)) / 99) for wave in range(1, 26))]
+    rows = calls.read_ledger(spark, ledger).collect()
+    assert sorted((r["lane"], r["wave"]) for r in rows) == sorted((i % 2, i // 4) for i in range(99))
+    assert len(list(Path(ledger).glob("*/*/_SUCCESS"))) < 15
+
+
+def test_a_task_ends_with_its_wave_once_its_time_is_over(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(calls, "TASK_SECONDS", 0.0)
+    ledger = str(tmp_path / "ledger")
+    calls.call_chunks(_chunks(spark, 13), Service(tmp_path), ledger, in_flight=2, lane_calls=2)
+    assert sorted(Service(tmp_path).asked()) == sorted(f"lines of {i}" for i in range(13))
+    assert len(list(Path(ledger).glob("*/*/_SUCCESS"))) == 4  # a job a wave
