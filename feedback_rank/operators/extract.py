@@ -13,6 +13,7 @@ from feedback_rank.functions.names import free_names
 from feedback_rank.functions.text import sentence_windows, words
 from feedback_rank.operators.calls import IN_FLIGHT, LANE_CALLS, RETRY_WAITS, call_chunks
 from feedback_rank.operators.numbering import number_rows
+from feedback_rank.session import checkpointed
 
 CHUNK_SIZE = 250  # fixed value: texts per call
 PACK_TEXTS = 2000  # texts that are packed into chunks together
@@ -184,8 +185,10 @@ def chunked_lines(
     numbers; so at most every so many texts a chunk is not full. Runs jobs at once.
     """
     names = ["insight_id", "created_at", "account_name", "platform_client_id", "mrr", "feedback"]
-    texts = feedback.where(C.nonblank(F.col("feedback"))).select(*names, _windows(length, overlap).alias("windows"))
-    numbered = number_rows(texts, [F.desc("created_at"), *(F.col(c) for c in names if c != "created_at")], name="n")
+    texts = feedback.where(C.nonblank(F.col("feedback"))).select(*names)
+    placed = number_rows(texts, [F.desc("created_at"), *(F.col(c) for c in names if c != "created_at")], name="n")
+    # cut once: before the sort they would be cut for its sample too
+    numbered = checkpointed(placed.select("n", *names, _windows(length, overlap).alias("windows")))
     block = F.floor((F.col("n") - 1) / pack_texts).alias("block")
     sizes = numbered.select("n", F.size("windows").cast("long").alias("lines"), block)
     packs = sizes.groupBy("block").agg(_packed(F.array_sort(F.collect_list(F.struct("n", "lines"))), chunk_size).alias("pack"))
