@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from feedback_rank.llm.tokens import in_small_batches, mixed, ragged, shingles, word_slices
+from feedback_rank.llm.tokens import in_small_batches, lean, mixed, ragged, shingles, word_slices
 from feedback_rank.session import checkpointed
 
 FREQUENT = 1 << 16         # shingles at most that are known to be frequent and put last
@@ -483,7 +483,7 @@ def marked_documents(docs: DataFrame, words: int, percent: int, frequent: int =
     narrow = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     schema = narrow.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n", "key")], F.lit(None).cast("array<bigint>").alias("first"), F.lit(None).cast("binary").alias("signature")).schema
     arrow = to_arrow_schema(schema)
-    return checkpointed(narrow.mapInArrow(lambda batches: _marked(batches, words, num, den, often.value, arrow), schema))
+    return checkpointed(narrow.mapInArrow(lean(lambda batches: _marked(batches, words, num, den, often.value, arrow)), schema))
 
 
 def class_links(docs: DataFrame, marked: DataFrame, words: int, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -579,7 +579,7 @@ def deduplicated(
     doubtful = likely.where("_likely").select(*docs.columns)
     schema = StructType([*doubtful.schema.fields, StructField("_key", LongType()), StructField("_n", LongType())])
     arrow, text_at = to_arrow_schema(schema), docs.columns.index("text")
-    keyed = doubtful.mapInArrow(lambda batches: _keyed(batches, text_at, words, arrow), schema)
+    keyed = doubtful.mapInArrow(lean(_keyed, text_at, words, arrow), schema)
     kept = placed.where("stays").select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
     chosen = keyed.where("_n > 0").join(
         kept, (F.col("_key") == F.col("_kept_key")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedback_rank.llm.tokens import in_small_batches, text_slices
+from feedback_rank.llm.tokens import in_small_batches, lean, text_slices
 
 BUCKETS = 1 << 16
 MOST_LANGUAGES = 1_000  # more labels than this are an error: the model is sent to every task
@@ -213,7 +213,7 @@ def train_language_model(labelled: DataFrame, buckets: int = BUCKETS) -> Languag
     labelled row gives a model without languages. More than MOST_LANGUAGES labels raise an error.
     """
     rows = in_small_batches(labelled).select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counted = rows.mapInArrow(lambda batches: _counted(batches, buckets), "lang string, kind int, place int, n long")
+    counted = rows.mapInArrow(lean(_counted, buckets), "lang string, kind int, place int, n long")
     summed = counted.groupBy("lang", "kind", "place").agg(F.sum("n").alias("n")).groupBy("lang", "kind").agg(
         F.collect_list(F.struct("place", "n")).alias("counts")  # no more than there are buckets
     )
@@ -351,7 +351,7 @@ def in_known_languages(docs: DataFrame, model: LanguageModel, penalty: float = P
         for batch in batches:
             yield batch.filter(pa.array(_found(batch.column(text_at), shared.value, penalty)[3], pa.bool_()))
 
-    return in_small_batches(docs).mapInArrow(kept, docs.schema)
+    return in_small_batches(docs).mapInArrow(lean(kept), docs.schema)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

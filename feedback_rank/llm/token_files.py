@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedback_rank.llm.tokens import Words, in_small_batches, ragged, text_slices
+from feedback_rank.llm.tokens import Words, in_small_batches, lean, ragged, text_slices
 
 END_ID = 1
 BLOCK_IDS = 1 << 20      # ids after which a block is closed; a longer document has a block of its own
-CACHED_WORDS = 1 << 20   # words whose ids a Python worker keeps, in arrays
+CACHED_WORDS = 1 << 19   # words whose ids a Python worker keeps, in arrays
 CACHED_PIECES = 1 << 17  # and parts of words, as objects
 _SAMPLE = 512
 
@@ -286,7 +286,7 @@ def write_tokens(
     spark = docs.sparkSession
     placed = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     placed = placed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    placed.mapInArrow(lambda batches: _blocks(batches, tokenizer, end_id, block_ids), _BLOCKS).write.parquet(f"{path}/blocks")
+    placed.mapInArrow(lean(_blocks, tokenizer, end_id, block_ids), _BLOCKS).write.parquet(f"{path}/blocks")
 
     # a row for each task of the sort, whatever the number of documents
     shards = _read_blocks(spark, path).groupBy("shard").agg(
@@ -335,7 +335,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     """
     blocks = _placed_blocks(spark, path).select("start", "id_bytes", "doc_ids", "ends", "ids")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<bigint>" if with_ids else "")
-    return blocks.mapInArrow(lambda batches: _documents(batches, with_ids), schema)
+    return blocks.mapInArrow(lean(_documents, with_ids), schema)
 
 
 def _selected(batches: Iterator[pa.RecordBatch], ordinals: list[int]) -> Iterator[pa.RecordBatch]:

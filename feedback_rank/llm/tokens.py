@@ -7,7 +7,9 @@ object is made for a text or a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,29 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Hand the memory that this Python worker has freed to the system: it waits for its next task, maybe one of another stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(run: Callable, *args) -> Callable:
+    """``run(batches, *args)`` for a task whose worker keeps no memory that it does not use, before and after."""
+
+    def task(batches: Iterator) -> Iterator:
+        give_back()
+        try:
+            yield from run(batches, *args)
+        finally:
+            give_back()
+
+    return task
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64."""
     out = np.full(n, base, dtype=np.uint64)

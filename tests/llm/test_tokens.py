@@ -69,3 +69,10 @@ def test_batches_only_become_smaller(spark):
         in_small_batches(spark.range(1))
         assert spark.conf.get(name) == kept
     spark.conf.set(name, before)
+
+
+def test_a_worker_gives_its_memory_back_before_and_after_a_task(monkeypatch):
+    told = []
+    monkeypatch.setattr(tokens, "give_back", lambda: told.append("back"))
+    task = tokens.lean(lambda batches, more: (told.append(batch) or batch + more for batch in batches), 10)
+    assert list(task(iter([1, 2]))) == [11, 12] and told == ["back", 1, 2, "back"]
