@@ -193,7 +193,7 @@ def compact(spark: SparkSession, path: str, rows_per_file: int = ROWS_PER_FILE)
     headers.select(*stored.HEADERS.names).coalesce(1 + headers.count() // rows_per_file).write.parquet(stored.packed_path(path, stored.RUN_TABLE, target))
     saves = headers.select(F.col("id").alias("run_id"), "save_id")
     for table, order in ((stored.FEATURE_TABLE, ("run_id", "rank")), (stored.ACCOUNT_TABLE, ("run_id", "feature", "account_name")), (stored.CARD_TABLE, ("run_id",))):
-        rows = stored.stored_rows(spark, path, table, before).join(saves, ["run_id", "save_id"], "left_semi").select(*stored.STORED[table].names)
+        rows = stored.under_saves(stored.stored_rows(spark, path, table, before), saves)
         folder = stored.packed_path(path, table, target)
         rows.repartitionByRange(1 + rows.count() // rows_per_file, *order).sortWithinPartitions(*order).write.parquet(folder)
         held = stored_table(spark, folder, stored.STORED[table]).groupBy(F.col("_metadata.file_name").alias("file")).agg(

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedback_rank.functions.names import free_names
 from feedback_rank.schemas import DELETED_RUNS, RUN_ACCOUNTS, RUN_CARDS, RUN_FEATURES, RUNS
 from feedback_rank.sources.stored import stored_table
 
 RUN_TABLE, FEATURE_TABLE, ACCOUNT_TABLE = "analysis_runs", "analysis_features", "analysis_accounts"
 CARD_TABLE, DELETED_TABLE = "analysis_cards", "deleted_runs"
 OPENED, PACKED, PURGED = "opened", "packed", "purged"
+SENT_SAVES = 100_000  # saves that are sent to every task, at most
+SAVE_PARTS = 64       # parts that the rows of a save are dealt to where there are more saves
 
 _SAVE = T.StructField("save_id", T.StringType())
 HEADERS = T.StructType([*RUNS.fields, _SAVE])  # a header as it is stored: with the save that it names
@@ -103,10 +106,25 @@ def load_runs(spark: SparkSession, path: str) -> DataFrame:
     return runs.select(*RUNS.names).orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def under_saves(rows: DataFrame, saves: DataFrame) -> DataFrame:
+    """The rows under the given (run_id, save_id), each pair given once.
+
+    One save may hold most of a table, so rows are not brought together by their save: the saves go to every
+    task, or, if there are too many, meet the rows part by part of each save.
+    """
+    keys = ["run_id", "save_id"]
+    saves = saves.select(*keys)
+    if saves.limit(SENT_SAVES + 1).count() <= SENT_SAVES:
+        return rows.join(F.broadcast(saves), keys, "left_semi").select(*rows.columns)
+    (part,) = free_names(rows.columns, "part")
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*rows.columns), F.lit(SAVE_PARTS)).cast("int"))
+    parts = saves.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SAVE_PARTS - 1))))
+    return dealt.join(parts, [*keys, part], "left_semi").select(*rows.columns)
+
+
 def committed_rows(spark: SparkSession, path: str, table: str, now: Generations) -> DataFrame:
     """The rows of a table under current saves, as they are stored."""
-    saves = current_saves(spark, path, now).select("run_id", "save_id")
-    return stored_rows(spark, path, table, now).join(saves, ["run_id", "save_id"], "left_semi").select(*STORED[table].names)
+    return under_saves(stored_rows(spark, path, table, now), current_saves(spark, path, now))
 
 
 def _all(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -120,7 +138,8 @@ def _of_run(spark: SparkSession, path: str, table: str, run_id: int) -> DataFram
         manifest = stored_table(spark, manifest_path(path, table, now.packed), MANIFEST)
         # as many as the run itself fills, and one more at most on either side
         files = [row["file"] for row in manifest.where((F.col("first_run") <= run_id) & (F.col("last_run") >= run_id)).collect()]
-    saves = current_saves(spark, path, now).where(mine).select("run_id", "save_id")
+    # one save at most
+    saves = F.broadcast(current_saves(spark, path, now).where(mine).select("run_id", "save_id"))
     rows = stored_rows(spark, path, table, now, files).where(mine)
     return rows.join(saves, ["run_id", "save_id"], "left_semi").select(*STORED[table].names).drop("save_id")
 

@@ -8,6 +8,7 @@ from feedback_rank import RunSpec, delete_runs, export_name, history_cards, hist
 from feedback_rank.sinks.csv import FEATURE_EXPORT, RAW_EXPORT, export_table, read_csv
 from feedback_rank.plans.history import saved_cards
 from feedback_rank.sinks.history import claim_run_id, compact, next_run_id, purge, run_features, save_features, save_runs
+from feedback_rank.sources import history as stored
 from feedback_rank.sources.history import generations, load_accounts, load_features, load_run_accounts
 from feedback_rank.spec import MINIMUM_MRR
 
@@ -157,6 +158,27 @@ def test_a_run_larger_than_a_file(spark, tmp_path):
     assert [r["rank"] for r in load_run_features(spark, path, 2).collect()] == list(range(1, 501))
 
 
+@pytest.mark.parametrize("sent", [stored.SENT_SAVES, 1])
+def test_a_save_of_most_rows_is_not_one_task(spark, monkeypatch, sent):
+    """Rows meet their saves where they are, or in parts of a save."""
+    monkeypatch.setattr(stored, "SENT_SAVES", sent)
+    rows = spark.range(2000).select(
+        F.when(F.col("id") % 100 != 0, F.lit(1)).otherwise(F.nullif(F.col("id") % 700, F.lit(0))).cast("long").alias("run_id"),
+        F.array(F.struct(F.col("id").alias("part"))).alias("part"), F.when(F.col("id") % 3 > 0, F.lit("s")).alias("save_id"),
+    )
+    saves = spark.createDataFrame([("s", 1, "rest"), ("s", 100, "rest"), (None, 200, "rest"), ("t", 300, "rest")], "save_id string, run_id long, more string")
+    found = stored.under_saves(rows, saves)
+    assert found.columns == rows.columns
+    plain = rows.where("save_id = 's' AND run_id IN (1, 100)")
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty() and plain.count() > 1000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = stored.under_saves(rows, saves).groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert tasks < 500
+
+
 def test_saves_pack_the_store_by_themselves(spark, tmp_path, ranked, totals, monkeypatch):
     from feedback_rank.sinks import history
 
