@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from feedback_rank.functions import columns as C
 from feedback_rank.operators.numbering import number_rows
 from feedback_rank.schemas import MONEY
+from feedback_rank.session import written
+
 
 def _once(mentions: DataFrame) -> DataFrame:
     """Each account once per feature, with its highest revenue; a missing id is an empty one."""
@@ -22,10 +24,20 @@ def _once(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("feature", "account_name", client_id).agg(F.max("mrr").alias("mrr"))
 
 
-def feature_accounts(mentions: DataFrame) -> DataFrame:
+def written_once(mentions: DataFrame) -> DataFrame:
+    """The mentions cut to one row per feature and account, written at once.
+
+    For who needs them several times, as ``once`` of :func:`feature_accounts` and :func:`rank_features`: else each
+    makes them from all mentions, and so does each job over what they give.
+    """
+    return written(_once(mentions), "mentions-once")
+
+
+def feature_accounts(mentions: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """The accounts of each feature, one row each, with their labels: the child table of the ranked one."""
-    label = C.account_label(F.col("account_name"), F.col("platform_client_id"))
-    return _once(mentions.where(F.col("account_name").isNotNull())).withColumn("label", label)
+    label, named = C.account_label(F.col("account_name"), F.col("platform_client_id")), F.col("account_name").isNotNull()
+    accounts = _once(mentions.where(named)) if once is None else once.where(named)
+    return accounts.withColumn("label", label)
 
 
 def joined_labels(accounts: DataFrame, keys: Sequence[str] = ("feature",), most_characters: int | None = None) -> DataFrame:
@@ -51,25 +63,31 @@ def with_labels(ranked: DataFrame, accounts: DataFrame, keys: Sequence[str] = ("
     return joined.select(*ranked.columns, F.coalesce("accounts", F.lit("")).alias("accounts"))
 
 
-def feature_rollup(mentions: DataFrame) -> DataFrame:
+def feature_rollup(mentions: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """Revenue and number of accounts per feature, features without accounts included.
 
     Mentions are first cut to one row per feature and account; what is left of a
     hot feature is summed before it is shuffled.
     """
-    return _rolled_up(_once(mentions), F.col("account_name").isNotNull())
+    return _rolled_up(_once(mentions) if once is None else once, F.col("account_name").isNotNull())
 
 
 def feature_samples(mentions: DataFrame) -> DataFrame:
     """The first three distinct samples per feature, by text, each cut to 200 characters.
 
-    Samples are distinct by their whole text. The window filter is a group limit, so each
-    task sends three rows per feature.
+    Samples are distinct by their whole text. The window filters are group limits: of the texts of a feature
+    in one task only the first three are told apart from those of other tasks, and then each task sends three rows
+    per feature.
     """
     key = F.col("sample_key") if "sample_key" in mentions.columns else F.xxhash64("sample")
+    texts = mentions.where(C.nonblank(F.col("sample"))).select(
+        "feature", C.truncate(F.col("sample"), C.SAMPLE_LENGTH).alias("sample"), key.alias("_key"), F.spark_partition_id().alias("_task")
+    )
+    first_here = Window.partitionBy("feature", "_task").orderBy("sample", "_key")
     distinct = (
-        mentions.where(C.nonblank(F.col("sample")))
-        .select("feature", C.truncate(F.col("sample"), C.SAMPLE_LENGTH).alias("sample"), key.alias("_key"))
+        texts.withColumn("_n", F.dense_rank().over(first_here))
+        .where(F.col("_n") <= C.SAMPLES_KEPT)
+        .select("feature", "sample", "_key")
         .distinct()
     )
     first = Window.partitionBy("feature").orderBy("sample", "_key")
@@ -109,13 +127,13 @@ def insight_text(total_mrr: Column, account_count: Column, rank: Column) -> Colu
     )
 
 
-def rank_features(mentions: DataFrame) -> DataFrame:
+def rank_features(mentions: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """The ranked table: a row per feature. Its accounts are :func:`feature_accounts`.
 
     An insight that comes with the mentions is kept, the first by text; the others get the
     template. Numbers the rows at once, which starts jobs.
     """
-    ranked = rank_rows(feature_rollup(mentions))
+    ranked = rank_rows(feature_rollup(mentions, once))
     template = insight_text(F.col("total_mrr"), F.col("account_count"), F.col("rank"))
     insight = template
     if "insight" in mentions.columns:

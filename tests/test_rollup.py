@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 from decimal import Decimal
 
@@ -106,3 +107,29 @@ def test_joined_labels_have_a_bound(spark):
     with pytest.raises(ValueError, match=r"'f',.*7 characters, above 6"):
         rollup.joined_labels(accounts, most_characters=6)
     assert rollup.joined_labels(accounts.limit(0), most_characters=0).collect() == []
+
+
+def test_mentions_cut_once_give_the_same(spark, mentions):
+    mentions = mentions.unionByName(spark.createDataFrame([("idle", None, None, None, "s9"), (None, "N", "1", Decimal(2), "s5")], MENTION))
+    once = rollup.written_once(mentions)
+    every = lambda df: sorted(map(str, df.collect()))
+    assert every(rollup.feature_accounts(mentions, once)) == every(rollup.feature_accounts(mentions))
+    assert every(rollup.rank_features(mentions, once)) == every(rollup.rank_features(mentions))
+    labelled = rollup.with_labels(rollup.rank_features(mentions, once), rollup.feature_accounts(mentions, once))
+    assert every(labelled) == every(rollup.with_labels(rollup.rank_features(mentions), rollup.feature_accounts(mentions)))
+
+
+def test_accounts_cut_once_are_not_shuffled_again(spark, mentions):
+    plan = rollup.feature_accounts(mentions, rollup.written_once(mentions))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_samples_of_a_task_are_limited_before_they_are_told_apart(spark):
+    """Many rows of few texts, and many texts: distinct ones count, a task sends no more than three of a feature."""
+    rows = spark.range(20000, numPartitions=4).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.lit(None)).alias("feature"),
+        F.when(F.col("id") % 4 < 2, F.concat(F.lit("a"), F.col("id") % 2)).otherwise(F.concat(F.lit("b"), F.lpad(F.col("id").cast("string"), 5, "0"))).alias("sample"),
+    )
+    found = rollup.feature_samples(rows)
+    assert re.search(r"dense_rank\(.*\), 3, Partial", found._jdf.queryExecution().executedPlan().toString())
+    assert {r["feature"]: r["samples"] for r in found.collect()} == {"hot": ["a0", "b00002", "b00006"], None: ["a1", "b00003", "b00007"]}
