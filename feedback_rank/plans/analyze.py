@@ -19,7 +19,7 @@ def merged_mentions(
     """Normalise and merge; written twice on the way, as the mentions are read often. Starts jobs."""
     if synonyms is not None:
         mentions = extract.normalize_phrases(mentions, synonyms)
-    return checkpointed(merge.merge_features(checkpointed(mentions), threshold))
+    return checkpointed(merge.merge_features(mentions, threshold))
 
 
 def rank_mentions(
