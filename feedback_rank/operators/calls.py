@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedback_rank.operators.numbering import number_rows
-from feedback_rank.session import checkpointed, scratch_path
+from feedback_rank.session import Scratch, checkpointed, scratch_path, shuffles_removed
 from feedback_rank.sources.stored import stored_table
 
 RETRY_WAITS = (30, 60)  # fixed values: seconds before the second and third try
 IN_FLIGHT = 8           # calls at once
 LANE_CALLS = 16         # calls of a lane in a wave; a task that is lost costs so many at most, or what it called in TASK_SECONDS
 TASK_SECONDS = 2.0      # after these a task ends with the wave it is in
+SENT_CHUNKS = 100_000   # chunks whose places in the lanes are sent to every task, at most
 JOB_CHUNKS = 1024       # chunks that a job sorts to its lanes at most, beside one wave
 OK, FAILED = "ok", "failed"
 _LEAST_PAUSE = 1.0      # seconds; a shorter pause is none
@@ -112,15 +113,19 @@ def _called(fn: Callable[[str], str], waits, sleep, seconds: float = TASK_SECOND
 
 
 def _pending(keyed: DataFrame, ledger: DataFrame, in_flight: int, lane_calls: int) -> DataFrame:
-    """(n, lane, wave, key, lines): each text that no call went well for, in the order of the chunks."""
+    """(n, lane, wave, key, lines): each text that no call went well for, in the order of the chunks.
+
+    Texts are known by their rows in the written table ``keyed`` until they have their places.
+    """
     paid = ledger.where(F.col("status") == OK).select("key")
-    once = keyed.groupBy("key").agg(F.min(F.struct("chunk_id", "lines")).alias("of")).select("key", "of.chunk_id", "of.lines")
-    open_keys = once.select("key", "chunk_id").join(paid, "key", "left_anti")
+    once = keyed.groupBy("key").agg(F.min(F.struct("chunk_id", "row")).alias("of")).select("key", "of.chunk_id", "of.row")
+    open_keys = once.join(paid, "key", "left_anti")
     place = F.col("n") - 1
     numbered = number_rows(open_keys, [F.col("chunk_id"), F.col("key")], name="n").select(
-        "key", "n", F.pmod(place, F.lit(in_flight)).cast("int").alias("lane"), F.floor(place / (in_flight * lane_calls)).cast("long").alias("wave")
+        "row", "key", "n", F.pmod(place, F.lit(in_flight)).cast("int").alias("lane"), F.floor(place / (in_flight * lane_calls)).cast("long").alias("wave")
     )
-    return numbered.join(once.select("key", "lines"), "key").select("n", "lane", "wave", "key", "lines")
+    sent = F.broadcast(numbered) if numbered.limit(SENT_CHUNKS + 1).count() <= SENT_CHUNKS else numbered
+    return keyed.select("row", "lines").join(sent, "row").select("n", "lane", "wave", "key", "lines")
 
 
 def chunk_keys(chunks: DataFrame, label: str = "") -> DataFrame:
@@ -133,7 +138,7 @@ def chunk_keys(chunks: DataFrame, label: str = "") -> DataFrame:
 def call_chunks(
     chunks: DataFrame, fn: Callable[[str], str], ledger: str | None = None, label: str = "", in_flight: int = IN_FLIGHT,
     lane_calls: int = LANE_CALLS, waits=RETRY_WAITS, sleep: Callable[[float], None] = time.sleep,
-    on_progress: Callable[[float], None] | None = None,
+    on_progress: Callable[[float], None] | None = None, once_read: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """(chunk_id, status, error, payload) of each of the ``chunks`` (chunk_id, lines). Makes its calls at once.
 
@@ -149,6 +154,9 @@ def call_chunks(
     then after each wave, at last 1. Waves count once their job is done, so repeated tasks do
     not; those of one job are told one after the other. Null lines count as empty; an empty table calls nothing. Speculative copies of tasks
     would call twice at once: with ``spark.speculation`` on this raises an error.
+
+    ``once_read`` is called when the ``chunks`` will not be read any more. Of what is written here only the ledger
+    and the chunks' keys are left in the end.
     """
     spark = chunks.sparkSession
     if in_flight < 1 or lane_calls < 1:
@@ -156,35 +164,41 @@ def call_chunks(
     if spark.sparkContext.getConf().get("spark.speculation", "false").lower() == "true":
         raise ValueError("spark.speculation makes copies of running calls; turn it off")
     ledger = ledger or scratch_path(spark, "ledger")
-    keyed = checkpointed(chunk_keys(chunks, label))
-    path, mine = scratch_path(spark, "calls"), f"{ledger.rstrip('/')}/{uuid.uuid4().hex}"  # each run adds a folder of its own
-    wave_chunks = in_flight * lane_calls
-    at_once = max(1, JOB_CHUNKS // wave_chunks)  # waves that a job has at hand; a folder each
-    pending = _pending(keyed, read_ledger(spark, ledger), in_flight, lane_calls).withColumn("part", F.floor(F.col("wave") / at_once).cast("long"))
-    pending.repartition("part").write.partitionBy("part").parquet(path)
-    total, waiting = keyed.select("key").distinct().count(), stored_table(spark, path, _TODO).count()
-    progress = on_progress or (lambda share: None)
-    if total:
-        progress((total - waiting) / total)
-    done, job, waves = 0, 0, -(-waiting // wave_chunks)
-    ahead = [0] * in_flight  # the wave that each lane has next
-    while done < waves:
-        part = done // at_once
-        upto = min(waves, (part + 1) * at_once, done + max(1, done))
-        begins = F.get(F.array(*[F.lit(wave).cast("long") for wave in ahead]), F.col("lane"))
-        todo = stored_table(spark, f"{path}/part={part}", _TODO).where((F.col("wave") >= begins) & (F.col("wave") < upto))
-        # a lane is a partition of its own; a task's rows are there as soon as it ends, not only when all have ended
-        lanes = todo.repartitionById(in_flight, F.col("lane")).sortWithinPartitions("n").select("key", "lane", "wave", "lines")
-        folder, job = f"{mine}/{job}", job + 1
-        lanes.mapInPandas(_called(fn, waits, sleep, TASK_SECONDS), LEDGER).write.option(
-            "mapreduce.fileoutputcommitter.algorithm.version", "2"
-        ).mode("append").parquet(folder)
-        for row in stored_table(spark, folder, LEDGER).groupBy("lane").agg(F.max("wave").alias("wave")).collect():  # a row a lane
-            ahead[row["lane"]] = row["wave"] + 1
-        # some lanes may have no chunk in the last wave
-        now = min(waves if wave == waves - 1 and lane + wave * wave_chunks >= waiting else wave for lane, wave in enumerate(ahead))
-        for wave in range(done, now):
-            progress((total - max(0, waiting - (wave + 1) * wave_chunks)) / total)
-        done = now
-    known = read_ledger(spark, ledger).join(keyed.select("key").distinct(), "key", "left_semi")
-    return keyed.select("chunk_id", "key").join(outcomes(known), "key").select("chunk_id", "status", "error", "payload")
+    with Scratch(spark) as scratch:
+        keyed = scratch.written(chunk_keys(chunks, label).withColumn("row", F.monotonically_increasing_id()))
+        once_read()
+        ids = checkpointed(keyed.select("chunk_id", "key"))
+        path, mine = scratch.folder(), f"{ledger.rstrip('/')}/{uuid.uuid4().hex}"  # each run adds a folder of its own
+        wave_chunks = in_flight * lane_calls
+        at_once = max(1, JOB_CHUNKS // wave_chunks)  # waves that a job has at hand; a folder each
+        pending = _pending(keyed, read_ledger(spark, ledger), in_flight, lane_calls).withColumn("part", F.floor(F.col("wave") / at_once).cast("long"))
+        with shuffles_removed(spark):
+            pending.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
+        scratch.discard(keyed)
+        total, waiting = ids.select("key").distinct().count(), stored_table(spark, path, _TODO).count()
+        progress = on_progress or (lambda share: None)
+        if total:
+            progress((total - waiting) / total)
+        done, job, waves = 0, 0, -(-waiting // wave_chunks)
+        ahead = [0] * in_flight  # the wave that each lane has next
+        while done < waves:
+            part = done // at_once
+            upto = min(waves, (part + 1) * at_once, done + max(1, done))
+            begins = F.get(F.array(*[F.lit(wave).cast("long") for wave in ahead]), F.col("lane"))
+            todo = stored_table(spark, f"{path}/part={part}", _TODO).where((F.col("wave") >= begins) & (F.col("wave") < upto))
+            # a lane is a partition of its own; a task's rows are there as soon as it ends, not only when all have ended
+            lanes = todo.repartitionById(in_flight, F.col("lane")).sortWithinPartitions("n").select("key", "lane", "wave", "lines")
+            folder, job = f"{mine}/{job}", job + 1
+            with shuffles_removed(spark):
+                lanes.mapInPandas(_called(fn, waits, sleep, TASK_SECONDS), LEDGER).write.option(
+                    "mapreduce.fileoutputcommitter.algorithm.version", "2"
+                ).mode("append").parquet(folder)
+            for row in stored_table(spark, folder, LEDGER).groupBy("lane").agg(F.max("wave").alias("wave")).collect():  # a row a lane
+                ahead[row["lane"]] = row["wave"] + 1
+            # some lanes may have no chunk in the last wave
+            now = min(waves if wave == waves - 1 and lane + wave * wave_chunks >= waiting else wave for lane, wave in enumerate(ahead))
+            for wave in range(done, now):
+                progress((total - max(0, waiting - (wave + 1) * wave_chunks)) / total)
+            done = now
+    known = read_ledger(spark, ledger).join(ids.select("key").distinct(), "key", "left_semi")
+    return ids.join(outcomes(known), "key").select("chunk_id", "status", "error", "payload")

@@ -13,7 +13,7 @@ from feedback_rank.functions.names import free_names
 from feedback_rank.functions.text import sentence_windows, words
 from feedback_rank.operators.calls import IN_FLIGHT, LANE_CALLS, RETRY_WAITS, call_chunks
 from feedback_rank.operators.numbering import number_rows
-from feedback_rank.session import checkpointed
+from feedback_rank.session import Scratch, written
 
 CHUNK_SIZE = 250  # fixed value: texts per call
 PACK_TEXTS = 2000  # texts that are packed into chunks together
@@ -175,34 +175,38 @@ def _packed(sizes: Column, room: int) -> Column:
 
 def chunked_lines(
     feedback: DataFrame, chunk_size: int = CHUNK_SIZE, length: int = C.PROMPT_TEXT_LENGTH, overlap: int = C.PROMPT_OVERLAP,
-    pack_texts: int = PACK_TEXTS,
+    pack_texts: int = PACK_TEXTS, keep: Callable[[DataFrame], DataFrame] = lambda df: written(df, "numbered-texts"),
 ) -> DataFrame:
     """The prompt lines in chunks of at most ``chunk_size``, newest first: (chunk_id, lines, n_lines).
 
     ``lines`` is one text. A text's lines are kept in one chunk where they fit in one: a text that
     does not fit behind those before it begins the next chunk, and one of more lines fills chunks of its own.
     ``pack_texts`` texts each are packed by themselves, which is what one task sees at once, as
-    numbers; so at most every so many texts a chunk is not full. Runs jobs at once.
+    numbers; so at most every so many texts a chunk is not full. Texts meet the places of their pack, which
+    has all chunks that they go to, so they are moved once for both. ``keep`` writes the sorted texts. Runs jobs at once.
     """
     names = ["insight_id", "created_at", "account_name", "platform_client_id", "mrr", "feedback"]
     texts = feedback.where(C.nonblank(F.col("feedback"))).select(*names)
-    placed = number_rows(texts, [F.desc("created_at"), *(F.col(c) for c in names if c != "created_at")], name="n")
-    # cut once: before the sort they would be cut for its sample too
-    numbered = checkpointed(placed.select("n", *names, _windows(length, overlap).alias("windows")))
-    block = F.floor((F.col("n") - 1) / pack_texts).alias("block")
-    sizes = numbered.select("n", F.size("windows").cast("long").alias("lines"), block)
+    order = [F.desc("created_at"), *(F.col(c) for c in names if c != "created_at")]
+    placed = number_rows(texts, order, name="n", keep=keep, then={"windows": _windows(length, overlap)})
+    numbered = placed.withColumn("block", F.floor((F.col("n") - 1) / pack_texts))
+    sizes = numbered.select("n", F.size("windows").cast("long").alias("lines"), "block")
     packs = sizes.groupBy("block").agg(_packed(F.array_sort(F.collect_list(F.struct("n", "lines"))), chunk_size).alias("pack"))
     # one row per pack
     before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     places = packs.select(
-        F.coalesce(F.sum(F.col("pack.chunk") + 1).over(before), F.lit(0)).alias("before"), F.col("pack.placed").alias("placed")
-    ).select("before", F.inline("placed")).select("n", (F.col("before") + F.col("first")).alias("first"))
-    lines = numbered.join(places, "n").select("n", "first", *names, F.posexplode("windows").alias("part", "window"))
+        "block", F.coalesce(F.sum(F.col("pack.chunk") + 1).over(before), F.lit(0)).alias("before"), F.col("pack.placed").alias("placed")
+    )
+    # a pack's texts have the numbers one after the other
+    first = F.col("before") + F.get("placed", (F.col("n") - 1 - F.col("block") * pack_texts).cast("int"))["first"]
+    lines = numbered.join(places, "block").select("n", "block", first.alias("first"), *names, "windows").select(
+        "n", "block", "first", *names, F.posexplode("windows").alias("part", "window")
+    )
     chunk = (F.col("first") + F.floor(F.col("part") / chunk_size)).alias("chunk_id")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "part", "line"))), lambda x: x["line"])
-    return lines.select("n", "part", _line(F.col("window")).alias("line"), chunk).groupBy("chunk_id").agg(
+    return lines.select("n", "block", "part", _line(F.col("window")).alias("line"), chunk).groupBy("block", "chunk_id").agg(
         F.array_join(ordered, "\n").alias("lines"), F.count("*").alias("n_lines")
-    )
+    ).drop("block")
 
 
 def extract_plugin(
@@ -225,5 +229,6 @@ def extract_plugin(
     ledger, so the result can be read often; with a ``ledger`` of the caller's, a later run calls
     only what is missing or failed (see :func:`call_chunks`).
     """
-    chunks = chunked_lines(feedback, chunk_size)
-    return call_chunks(chunks, fn, ledger, label, in_flight, lane_calls, waits, sleep, on_progress)
+    with Scratch(feedback.sparkSession) as scratch:
+        chunks = chunked_lines(feedback, chunk_size, keep=scratch.written)
+        return call_chunks(chunks, fn, ledger, label, in_flight, lane_calls, waits, sleep, on_progress, once_read=scratch.close)
