@@ -19,13 +19,13 @@ import time
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedback_rank.functions import columns as C
 from feedback_rank.plans.history import card_parts
 from feedback_rank.schemas import DELETED_RUNS, MONEY, RUN_ACCOUNTS, RUN_CARDS, RUN_FEATURES, RUNS
-from feedback_rank.session import checkpointed
+from feedback_rank.session import checkpointed, write_table
 from feedback_rank.sources import history as stored
 from feedback_rank.sources.stored import append_rows, claim_number, stored_table
 from feedback_rank.spec import RunSpec
@@ -33,6 +33,7 @@ from feedback_rank.spec import RunSpec
 COMPACT_SAVES = 200        # loose saves after which a save packs the store
 LOOKS = 16                 # times that a save looks for so many, on average, before there are so many
 ROWS_PER_FILE = 1_000_000  # of a packed table
+SORTED_FILES = 32          # files' worth of rows that are sorted together, or one run of any size
 
 
 def next_run_id(spark: SparkSession, path: str) -> int:
@@ -176,6 +177,17 @@ def _mark(spark: SparkSession, path: str, generation: int, state: str, last_id:
     append_rows(row.coalesce(1), stored.marks_path(path))
 
 
+def _spans(rows: DataFrame, most: int) -> list[tuple[int, int, int]]:
+    """(first run, last run, rows), one after the other, of about ``most`` rows each or of one run; not all rows are sorted at once."""
+    of_run = checkpointed(rows.groupBy("run_id").agg(F.count("*").alias("rows")))
+    # one row per run
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = of_run.select("run_id", "rows", F.floor(before / most).alias("span")).groupBy("span").agg(
+        F.min("run_id").alias("first"), F.max("run_id").alias("last"), F.sum("rows").alias("rows")
+    )
+    return [(row["first"], row["last"], row["rows"]) for row in spans.orderBy("span").collect()]
+
+
 def compact(spark: SparkSession, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
     """Pack all that is current into few files, sorted by run; returns the number of the new generation.
 
@@ -195,7 +207,9 @@ def compact(spark: SparkSession, path: str, rows_per_file: int = ROWS_PER_FILE)
     for table, order in ((stored.FEATURE_TABLE, ("run_id", "rank")), (stored.ACCOUNT_TABLE, ("run_id", "feature", "account_name")), (stored.CARD_TABLE, ("run_id",))):
         rows = stored.under_saves(stored.stored_rows(spark, path, table, before), saves)
         folder = stored.packed_path(path, table, target)
-        rows.repartitionByRange(1 + rows.count() // rows_per_file, *order).sortWithinPartitions(*order).write.parquet(folder)
+        for first, last, count in _spans(rows, SORTED_FILES * rows_per_file) or [(0, 0, 0)]:
+            some = rows.where(F.col("run_id").between(first, last)).repartitionByRange(1 + count // rows_per_file, *order)
+            write_table(some.sortWithinPartitions(*order), folder, "append", compression="zstd")
         held = stored_table(spark, folder, stored.STORED[table]).groupBy(F.col("_metadata.file_name").alias("file")).agg(
             F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"), F.count("*").alias("rows")
         )

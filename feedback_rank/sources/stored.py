@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from feedback_rank.session import write_table
+
 
 def stored_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All that was appended to the table, with this schema; without rows where nothing was saved yet."""
@@ -28,7 +30,7 @@ def stored_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def append_rows(rows: DataFrame, path: str) -> str:
     """Add the rows to the table; returns their folder. They are seen all at once or not at all."""
     folder = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
+    write_table(rows, folder, compression="zstd")
     return folder
 
 

@@ -307,3 +307,16 @@ def test_csv_text(spark, tmp_path):
     back = read_csv(spark, path, df.schema)
     want = df.withColumn("b", F.when(F.col("b") != "", F.col("b")))
     assert sorted(map(str, back.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_store_is_sorted_some_runs_at_a_time(spark):
+    """A run of any size is sorted by itself; small ones are sorted together."""
+    from feedback_rank.sinks import history
+
+    sizes = {1: 3, 2: 3, 3: 50, 4: 3}
+    rows = [(run, rank, f"f{rank}", None, 1, "", "") for run, size in sizes.items() for rank in range(1, size + 1)]
+    features = spark.createDataFrame(rows, "run_id long, rank long, feature string, total_mrr decimal(18,2), account_count long, sample_feedbacks string, ai_insight string")
+    spans = history._spans(features, 10)
+    assert spans == [(1, 3, 56), (4, 4, 3)]
+    assert history._spans(features.limit(0), 10) == []
+    assert sum(count for _, _, count in spans) == len(rows)
